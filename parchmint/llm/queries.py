@@ -18,6 +18,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), own["source_size"].alias("source_size"), own["target"].alias("target"), F.col("_taken").alias("taken"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as own
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), own.path("byte_bpe_50k.json"), own.path("byte_bpe_50k.tiktoken"), own.PATTERN)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import even_tree, shard
 
@@ -25,6 +33,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.col("_grown").alias("grown_shard"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import dedup_exact
+
+    return dedup_exact(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("id", "doc_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -34,7 +54,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_packing": op3_packing,
     "op7_sharding": op7_sharding,
+    "op8_simhash": op8_simhash,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -43,6 +66,11 @@ _SPACE = r"[\x20\x09-\x0D]"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLES = {
+    "op9_exact_dedup": """
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+        FROM docs WINDOW w AS (PARTITION BY text)
+    """,
     "op10_line_dedup": rf"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
