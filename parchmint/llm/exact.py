@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from .common import saved, scratch_path
 
 #: Spark's state store on local disk, snapshots and change logs in the shared folder.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store claims megabytes before it holds a row
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 @contextmanager
@@ -55,7 +60,7 @@ def remember(spark: SparkSession, path: str, state: str, log: str, id_col: str =
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     rows = _digested(reader.parquet(glob), id_col, text_col, digest).select("digest", "at")
     known = rows.groupBy("digest").agg(F.max("at").alias("keep"), F.count("*").alias("n"))
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+    with _settings(spark, STORE):
         query = (
             known.writeStream.outputMode("update")
             .option("checkpointLocation", state)
