@@ -89,10 +89,10 @@ def dedup_exact(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         return table.select(F.col("at.id").alias("id"), F.col("at.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
     known = saved(spark.read.parquet(log).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n")), "known")
     several = known.where("n > 1").withColumnsRenamed({"digest": "d", "keep": "k"}).drop("n")
-    held = table.join(several, F.col("digest") == F.col("d"))
-    located = held.where(F.col("at") == F.col("k")).select(F.col("digest").alias("e"), F.col("text").alias("content"))
-    hits = table.join(several.hint("shuffle_merge"), (F.col("digest") == F.col("d")) & (F.col("at") != F.col("k"))).select("digest", "text", "at")
-    unlike = saved(hits.join(located.hint("merge"), (F.col("digest") == F.col("e")) & (F.col("text") != F.col("content"))).select("digest").distinct(), "unlike")
+    members = saved(table.join(several, F.col("digest") == F.col("d")).select("digest", "text", (F.col("at") == F.col("k")).alias("first")), "members")
+    located = members.where("first").select(F.col("digest").alias("e"), F.col("text").alias("content"))
+    hits = members.where("not first")
+    unlike = saved(hits.join(located, (F.col("digest") == F.col("e")) & (F.col("text") != F.col("content"))).select("digest").distinct(), "unlike")
     plain = table.select("digest", "at", F.sha2("text", 256).alias("text_sha256"))
     told = plain.join(known, "digest").select("digest", "at", "text_sha256", "keep", "n")
     if unlike.limit(1).count():
