@@ -39,6 +39,13 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import dedup_windows
+
+    out = dedup_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -76,6 +83,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_vector_dedup": op4_vector_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language": op6_language,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
@@ -88,6 +96,16 @@ _SPACE = r"[\x20\x09-\x0D]"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLES = {
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w WHERE len(ws) >= 50)),
+        low AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+        bad AS (SELECT DISTINCT win.doc_id, s FROM win JOIN low USING (h) WHERE d < win.doc_id),
+        gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(s, s + 50)) AS i FROM bad)),
+        each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+        kept AS (SELECT doc_id, count(g.i) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (g.i IS NULL) AS t FROM each LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op4_vector_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
             WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
