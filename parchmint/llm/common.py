@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,11 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], spread:
     return joined.withColumn(out, total.cast("long")).drop(*[f"_g{i}" for i in range(len(group))], "_b", "_start", "_bucket")
 
 
+def raw_text(text: pa.Scalar) -> bytes:
+    """The UTF-8 bytes of a string scalar; null is empty."""
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 def distinct_names(taken: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of `taken`."""
     low = {x.lower() for x in taken}

@@ -6,7 +6,6 @@ the threshold are joined back, and the lines that stay are put together by posit
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, distinct_names
+from .common import SPACES, distinct_names, raw_text
 
 
 def _key(line: bytes) -> bytes:
@@ -25,7 +24,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, keys = [], []
         for doc, text in zip(batch.column(0), batch.column(1)):
-            own = {_key(line) for line in (text.as_buffer() or b"").to_pybytes().split(b"\n")} - {b""} if text.is_valid else ()
+            own = {_key(line) for line in raw_text(text).split(b"\n")} - {b""}
             doc = doc.as_py()
             ids += [doc] * len(own)
             keys += own
@@ -36,7 +35,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest, texts, counts, drops = [batch.column(i) for i in range(batch.num_columns - 2)], [], [], []
         for text, drop in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-            lines = text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else [b""]
+            lines = raw_text(text).split(b"\n")
             if drop.is_valid:
                 gone = set(drop.as_py())
                 kept = [line for line in lines if _key(line) not in gone]
@@ -71,8 +70,3 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = ", ".join([f"`{c}` {types[c]}" for c in rest] + [f"`{text_col}` string", f"`{lines}` long", f"`{dropped}` long"])
     out = joined.mapInArrow(_rebuild, schema)
     return out.select(*[f"`{c}`" for c in docs.columns], f"`{lines}`", f"`{dropped}`")
-
-
-def sha256_hex(data: bytes) -> str:
-    """The lowercase hex digest that tests compare with."""
-    return hashlib.sha256(data).hexdigest()

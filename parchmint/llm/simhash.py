@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_names, saved
+from .common import distinct_names, raw_text, saved
 from .graph import components
 
 #: Members of a bucket that one task compares with each other; larger buckets are cut into pairs of chunks.
@@ -45,7 +45,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"", shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
+            made = np.fromiter((fingerprint(raw_text(t), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["id", "fp"])
 
     return run

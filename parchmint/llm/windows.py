@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import key_bitmap, maybe
-from .common import distinct_names, saved, scratch_path
+from .common import distinct_names, raw_text, saved, scratch_path
 
 SHINGLE = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -76,16 +76,12 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(x)]]))
 
 
-def _bytes(text: pa.Scalar) -> bytes:
-    return (text.as_buffer() or b"").to_pybytes() if text.is_valid else b""
-
-
 def _anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, hashes = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = window_hashes(_bytes(text).split(), width)
+                x = window_hashes(raw_text(text).split(), width)
                 if len(x):
                     own = np.unique(x[_runs(x)[0]])
                     hashes.append(own)
@@ -112,7 +108,7 @@ def _blocks(width: int, known: np.ndarray, open_: np.ndarray | None):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = _bytes(text)
+                raw = raw_text(text)
                 words = raw.split()
                 x = window_hashes(words, width)
                 if not len(x):
@@ -222,7 +218,7 @@ def _cut(width: int):
             k = batch.num_columns - 2
             texts, totals, gone = [], [], []
             for text, spans in zip(batch.column(k), batch.column(k + 1)):
-                words = _bytes(text).split()
+                words = raw_text(text).split()
                 if spans.is_valid:
                     flat = np.asarray(spans.values.flatten()[0]), np.asarray(spans.values.flatten()[1])
                     mark = np.zeros(len(words) + 1, np.int64)
