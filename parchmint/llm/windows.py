@@ -23,6 +23,8 @@ from .bitmap import key_bitmap, maybe
 from .common import distinct_names, raw_text, saved, scratch_path
 
 SHINGLE = 8
+#: Rows that a worker holds before it hands them on.
+ROWS = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
@@ -104,6 +106,11 @@ def block_key(digest: bytes, doc: int, row: int) -> int:
 def _blocks(width: int, known: np.ndarray, open_: np.ndarray | None):
     """Blocks whose hash may be known; with a filter of open blocks, the single windows of those."""
 
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def told(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["hash", "digest", "doc", "row", "start", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
@@ -136,8 +143,10 @@ def _blocks(width: int, known: np.ndarray, open_: np.ndarray | None):
                     made = [(0, _digest(flat[begins[s] : ends[s + width - 1] - 1]), doc, row, s, 1) for a, n in at for s in range(a, a + n)]
                 for column, values in zip(out, zip(*made)):
                     column += values
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["hash", "digest", "doc", "row", "start", "n"])
+                if len(out[0]) >= ROWS:
+                    yield told(out)
+                    out = [[] for _ in range(6)]
+            yield told(out)
 
     return run
 
