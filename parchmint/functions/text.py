@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .spans import replace_each, strip
 
@@ -20,7 +21,7 @@ CLEAN_NUMBER = r"^[\-+(]?[\d.,'\s]+[)%]?$"
 PLAIN_SYMBOLS = r".,:\-/$%()*#&+'=~_\[\]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

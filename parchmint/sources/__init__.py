@@ -1 +1 @@
-
+"""Where documents come from."""
