@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -120,14 +120,20 @@ class Field:
         return float(1 / (1 + np.exp(-(self.scale[0] + self.scale[1] * np.log(expected + 1e-3)))))
 
 
-def telling(toxic: list[set[str]], clean: list[set[str]], ratio: float = 8.0, doubt: float = 0.01) -> set[str]:
+def telling(toxic: Iterable[set[str]], clean: Iterable[set[str]], ratio: float = 8.0, doubt: float = 0.01) -> set[str]:
     """Features found in toxic documents `ratio` times as often as in clean ones, beyond chance.
 
     Beyond chance: the likelihood ratio exceeds what the best of all features would reach by luck with
     probability doubt.
     """
-    t, c = Counter(f for x in toxic for f in x), Counter(f for x in clean for f in x)
-    nt, nc = len(toxic), len(clean)
+    t, c = Counter[str](), Counter[str]()
+    nt = nc = 0
+    for x in toxic:
+        t.update(x)
+        nt += 1
+    for x in clean:  # only what toxic documents have matters
+        c.update(x & t.keys())
+        nc += 1
     least = 2 * np.log(max(1, len(t)) / doubt)
 
     def part(k: float, n: float, p: float) -> float:
@@ -172,7 +178,7 @@ def fit(toxic: list[str], clean: list[str], heavy: float = 1.0, rounds: int = 40
     heavy is how many clean documents one of the sample stands for, as a multiple of the toxic ones.
     """
     toxic, clean = unlike(toxic), unlike(clean)
-    told = telling([_words(x) for x in toxic], [_words(x) for x in clean])
+    told = telling(map(_words, toxic), map(_words, clean))
     names = {f: i for i, f in enumerate(sorted(told))}
     lines, tags = [], []  # per line: feature indices of each token, labels
     blanks: Counter[int] = Counter()
