@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import running_total, saved
 
 #: Entries of each worker's table of tokenised words; an older generation of as many stays beside it.
-CACHE = 400_000
+CACHE = 120_000
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ɏ]+")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 _ANY_SPACE = re.compile(r"\s")
@@ -64,7 +64,7 @@ class Coder(dict):
         if (ids := self.bare.get(word)) is None:
             base = word.rstrip(".,;:!?*&%$#")
             ids = self.alone(base) + self.alone(word[len(base) :]) if base and len(base) < len(word) and base.isalpha() else self.encode(word)
-            if len(self.bare) < CACHE and len(word) <= 64:
+            if len(self.bare) < CACHE // 4 and len(word) <= 64:
                 self.bare[word] = ids
         return ids
 
