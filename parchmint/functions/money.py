@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import first
+from .spans import first, let
 from .text import normalize_numeric_tokens, normalize_unicode
 
 # What counts as an amount and as a percentage.
@@ -22,12 +22,15 @@ def canonical(digits: Column, style: Column) -> Column:
     three digits follows the document's style and groups without one; before one or two digits it is
     decimal.
     """
-    c = F.regexp_replace(digits, f"[{SPACES}]", "")
+    return let(F.regexp_replace(digits, f"[{SPACES}]", ""), lambda c: _canonical(c, style))
+
+
+def _canonical(c: Column, style: Column) -> Column:
     bare = F.translate(c, ".,", "")
-    dots, commas = F.regexp_count(c, F.lit(r"\.")), F.regexp_count(c, F.lit(","))
+    dots, commas = F.length(c) - F.length(F.translate(c, ".", "")), F.length(c) - F.length(F.translate(c, ",", ""))
     dot_last = F.instr(F.reverse(c), ".") < F.instr(F.reverse(c), ",")
     both = F.when(dot_last, F.translate(c, ",", "")).otherwise(F.translate(F.translate(c, ".", ""), ",", "."))
-    tail = F.length(F.regexp_extract(c, r"[.,](\d*)$", 1))
+    tail = F.greatest(F.instr(F.reverse(c), "."), F.instr(F.reverse(c), ",")) - 1
     as_point = F.translate(c, ",", ".")
     groups = (style == "unknown") | ((dots == 1) & (style == "comma_decimal")) | ((commas == 1) & (style == "dot_decimal"))
     single = F.when(tail == 3, F.when(groups, bare).otherwise(as_point)).when(tail.isin(1, 2), as_point).otherwise(bare)
@@ -35,16 +38,17 @@ def canonical(digits: Column, style: Column) -> Column:
 
 
 def _amount(raw: Column, style: Column) -> Column:
-    digits = F.regexp_extract(raw, AMOUNT, 3)
-    negative = (F.regexp_extract(raw, AMOUNT, 2) == "-") | ((F.regexp_extract(raw, AMOUNT, 1) != "") & (F.regexp_extract(raw, AMOUNT, 4) != "")) | (F.regexp_extract(raw, AMOUNT, 5) != "")
-    value = canonical(digits, style).try_cast(MONEY)
-    return F.struct(F.when(negative, -value).otherwise(value).cast(MONEY).alias("value"), raw.alias("raw"), negative.alias("negative"))
+    """What a match says: its ends tell the sign, what is between them the value."""
+    negative = raw.rlike(r"^\(?-") | (raw.startswith("(") & raw.rlike(r"\)-?$")) | raw.endswith("-")
+    digits = F.regexp_replace(raw, r"^[(+\-]+|[)\-]+$", "")
+    told = F.struct(canonical(digits, style).try_cast(MONEY).alias("value"), negative.alias("negative"))
+    return let(told, lambda t: F.struct(F.when(t["negative"], -t["value"]).otherwise(t["value"]).cast(MONEY).alias("value"), raw.alias("raw"), t["negative"].alias("negative")))
 
 
 def amounts(text: Column, style: Column) -> Column:
     """Every amount of folded, repaired text as array<struct<value, raw, negative>>, in order."""
     found = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), lambda raw: _amount(raw, style))
-    return F.when(text.rlike(r"\d"), F.filter(found, lambda a: a["value"].isNotNull())).otherwise(F.array().cast(f"array<struct<value:{MONEY},raw:string,negative:boolean>>"))
+    return F.when(text.rlike(r"[0-9]"), F.filter(found, lambda a: a["value"].isNotNull())).otherwise(F.array().cast(f"array<struct<value:{MONEY},raw:string,negative:boolean>>"))
 
 
 def parse_amount(text: Column, style: Column | None = None, repair: bool = True) -> Column:
@@ -52,8 +56,7 @@ def parse_amount(text: Column, style: Column | None = None, repair: bool = True)
     style = F.lit("unknown") if style is None else style
     source = normalize_unicode(text)
     source = normalize_numeric_tokens(source) if repair else source
-    raw = first(source, AMOUNT)
-    return F.when(raw.isNotNull(), _amount(raw, style))
+    return let(first(source, AMOUNT), lambda raw: F.when(raw.isNotNull(), _amount(raw, style)))
 
 
 def parse_all_amounts(text: Column, style: Column | None = None, repair: bool = True) -> Column:
@@ -64,7 +67,7 @@ def parse_all_amounts(text: Column, style: Column | None = None, repair: bool =
 
 def separator_votes(text: Column) -> Column:
     """A line's votes struct<dot, comma>: both separators weigh 3, one before 1 to 3 digits weighs 1."""
-    digits = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(3)), lambda d: d)
+    digits = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(3))
 
     def dot(d: Column) -> Column:
         last_dot, last_comma = F.instr(F.reverse(d), "."), F.instr(F.reverse(d), ",")
@@ -72,9 +75,11 @@ def separator_votes(text: Column) -> Column:
         tail = F.greatest(last_dot, last_comma) - 1
         return F.when(both, F.when(last_dot < last_comma, 3).otherwise(-3)).when(last_comma > 0, F.when(tail.isin(1, 2), -1).when(tail == 3, 1).otherwise(0)).when(last_dot > 0, F.when(tail.isin(1, 2), 1).when(tail == 3, -1).otherwise(0)).otherwise(0)
 
-    votes = F.transform(digits, dot)
-    total = lambda keep: F.aggregate(F.filter(votes, keep), F.lit(0), lambda a, x: a + F.abs(x))
-    return F.struct(total(lambda v: v > 0).alias("dot"), total(lambda v: v < 0).alias("comma"))
+    def total(votes: Column) -> Column:
+        add = lambda keep: F.aggregate(F.filter(votes, keep), F.lit(0), lambda a, x: a + F.abs(x))
+        return F.struct(add(lambda v: v > 0).alias("dot"), add(lambda v: v < 0).alias("comma"))
+
+    return F.when(text.rlike("[.,]"), let(F.transform(digits, dot), total)).otherwise(F.struct(F.lit(0).alias("dot"), F.lit(0).alias("comma")))
 
 
 def separator_style(dot: Column, comma: Column, configured: str = "auto") -> Column:

@@ -8,16 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Every match as array<struct<start, text>>, from the left, 0-based."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    def place(x: Column) -> Column:
+        def before(i: Column) -> Column:
+            gap = F.aggregate(F.slice(x["gaps"], F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g))
+            return gap + F.aggregate(F.slice(x["found"], F.lit(1), i), F.lit(0), lambda a, m: a + F.length(m))
 
-    def before(i: Column) -> Column:
-        gap = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        return gap + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+        return F.transform(x["found"], lambda m, i: F.struct(before(i).alias("start"), m.alias("text")))
 
-    return F.transform(found, lambda x, i: F.struct(before(i).alias("start"), x.alias("text")))
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), place)
 
 
 def replace_each(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:

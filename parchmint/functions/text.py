@@ -27,9 +27,9 @@ def _compose(text: pd.Series) -> pd.Series:
 
 
 def normalize_unicode(text: Column) -> Column:
-    """NFKC, then typographic punctuation to ASCII. ASCII text never leaves the JVM."""
-    composed = F.when(text.rlike(r"[^\x00-\x7F]"), _compose(text)).otherwise(text)
-    return F.translate(composed, *FOLDED)
+    """NFKC, then typographic punctuation to ASCII. Python gets a null for ASCII text, which needs neither."""
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(F.translate(_compose(other), *FOLDED), text)
 
 
 def clean_folded(text: Column) -> Column:
@@ -87,7 +87,9 @@ def numeric_corrections(text: Column) -> Column:
         fixed = repair_numeric_token(core)
         return F.when(is_numeric_context(core) & (fixed != core), F.concat(core, F.lit("->"), fixed))
 
-    return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), one))
+    suspect = text.rlike(r"\d") & text.rlike(rf"[{CONFUSABLE}]")
+    found = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), one))
+    return F.when(suspect, found).otherwise(F.array().cast("array<string>"))
 
 
 def repair_word(token: Column) -> Column:
