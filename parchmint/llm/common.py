@@ -69,6 +69,13 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], spread:
     return joined.withColumn(out, total.cast("long")).drop(*[f"_g{i}" for i in range(len(group))], "_b", "_start", "_bucket")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch for this session: texts are long, and both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def raw_text(text: pa.Scalar) -> bytes:
     """The UTF-8 bytes of a string scalar; null is empty."""
     return text.as_buffer().to_pybytes() if text.is_valid else b""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_names
+from .common import distinct_names, small_batches
 from .toxicity import held_out
 
 #: Characters with a code of their own; all others share one. Code 0 is whatever is no letter.
@@ -149,6 +149,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     0, as are all where no language can be learned. A tie goes to the language first in order. Repeated
     rows stay rows; an empty table gives an empty table. One pass over the texts, no shuffle.
     """
+    small_batches(docs.sparkSession)
     model = _model(docs, id_col, text_col, lang_col, per_language)
     out, said, score = distinct_names(docs.columns if keep_text else [id_col], "held_out", "lang_pred", "score")
     if keep_text:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, distinct_names, raw_text
+from .common import SPACES, distinct_names, raw_text, small_batches
 
 
 def _key(line: bytes) -> bytes:
@@ -60,6 +60,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only documents' ids and 16-byte hashes are shuffled for the counts; a line found everywhere is
     one row for each task and key after the partial counts, and joins as a skewed key that is split.
     """
+    small_batches(docs.sparkSession)
     lines, dropped, gone, other = distinct_names(docs.columns, "n_lines", "n_dropped", "_gone", "_other")
     keys = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_keys, "id long, key binary")
     often = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, saved
+from .common import running_total, saved, small_batches
 
 #: Entries of each worker's table of tokenised words; an older generation of as many stays beside it.
 CACHE = 120_000
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
     hash buckets, so a length that a third of all documents share is ranked by many tasks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     made = saved(text.mapInArrow(_pieces(width, vocabulary, ranks, pattern), "doc long, start long, length long, crc long, total long"), "pieces")
     histogram = {r["length"]: r["n"] for r in made.where(F.col("length") < width).groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_names, raw_text, saved
+from .common import distinct_names, raw_text, saved, small_batches
 from .graph import components
 
 #: Members of a bucket that one task compares with each other; larger buckets are cut into pairs of chunks.
@@ -144,6 +144,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The text is read once; after that only 16-byte rows move.
     """
+    small_batches(docs.sparkSession)
     fp, comp = distinct_names([id_col], "fingerprint", "component_id")
     small = saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle, seed), "id long, fp long"), "simhash")
     classes = saved(small.groupBy("fp").agg(F.min("id").alias("low")), "classes")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_names
+from .common import distinct_names, small_batches
 
 _TOKEN = re.compile(r"\S+")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -343,6 +343,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     toxic labels nothing is predicted. Repeated rows stay rows; an empty table gives an empty table.
     Nothing is shuffled but labels: scoring is one pass over the texts.
     """
+    small_batches(docs.sparkSession)
     model = fit(*sample(docs, labels, label_col, per_class, id_col, text_col))
     out, score, predicted, expected, spans = distinct_names([id_col], "held_out", "score", "predicted", "expected_tokens", "spans")
     made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_tag(model), "id long, score double, expected double, spans array<struct<start:int,end:int,p:double>>")

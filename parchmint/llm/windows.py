@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import key_bitmap, maybe
-from .common import distinct_names, raw_text, saved, scratch_path
+from .common import distinct_names, raw_text, saved, scratch_path, small_batches
 
 SHINGLE = 8
 #: Rows that a worker holds before it hands them on.
@@ -270,6 +270,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that a filter of fixed size lets through).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     words, removed = distinct_names(docs.columns, "n_words", "n_removed")
     small = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     ends = small.agg(F.min("doc").alias("a"), F.max("doc").alias("b")).collect()[0]
