@@ -90,7 +90,7 @@ def _labelled(spark: SparkSession, sf: str, *texts: Callable[[Column], Column])
 
 
 def _say(label: str, factor: float = 1.0) -> Callable[[Column], Column]:
-    return lambda x: F.concat(F.lit(label + " "), printed(x * F.lit(factor)))
+    return lambda x: F.concat(F.lit(label + " "), F.round(cents(x) * F.lit(str(factor)).cast("decimal(6,3)"), 2).cast("decimal(18,2)").cast("string"))
 
 
 @query("SELECT o_orderkey AS doc_id, o_totalprice::DECIMAL(18,2)::VARCHAR AS total FROM orders")
@@ -114,32 +114,32 @@ def total_below_label(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", money.money_text(validate.amount("total")).alias("total"))
 
 
-@query("""SELECT l_orderkey AS doc_id, (count(*))::BIGINT AS n_details, sum((l_extendedprice * l_tax)::DECIMAL(18,2))::DECIMAL(18,2)::VARCHAR AS tax FROM
-    (SELECT l_orderkey, l_tax, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS l_extendedprice FROM lineitem WHERE l_tax > 0 GROUP BY ALL) GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey AS doc_id, (count(*))::BIGINT AS n_details, sum(round(l_extendedprice * l_tax::DECIMAL(4,2), 2))::DECIMAL(18,2)::VARCHAR AS tax FROM
+    (SELECT l_orderkey, l_tax, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(18,2) AS l_extendedprice FROM lineitem WHERE l_tax > 0 GROUP BY ALL) GROUP BY l_orderkey""")
 def tax_lines_sum(spark: SparkSession, sf: str) -> DataFrame:
     """One VAT line for each rate of an order; details are summed."""
-    per = table(spark, sf, "lineitem").where("l_tax > 0").groupBy("l_orderkey", "l_tax").agg(F.sum(cents(F.col("l_extendedprice"))).cast("double").alias("base"))
-    line = F.concat(F.lit("VAT "), (F.col("l_tax") * 100).cast("int").cast("string"), F.lit("% "), printed(F.col("base") * F.col("l_tax")))
+    per = table(spark, sf, "lineitem").where("l_tax > 0").groupBy("l_orderkey", "l_tax").agg(F.sum(cents(F.col("l_extendedprice"))).cast("decimal(18,2)").alias("base"))
+    line = F.concat(F.lit("VAT "), F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.lit("% "), F.round(F.col("base") * F.col("l_tax").cast("decimal(4,2)"), 2).cast("decimal(18,2)").cast("string"))
     own = per.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("t"))
     docs = own.select("doc_id", F.transform("t", lambda x: F.struct(x.alias("text"), F.lit(0.9).alias("confidence"), F.lit(None).cast("array<int>").alias("bbox"))).alias("lines"))
     return extract.fields(line_views(docs)).select("doc_id", F.size("tax_lines").cast("long").alias("n_details"), money.money_text(validate.amount("tax")).alias("tax"))
 
 
-@query("SELECT o_orderkey AS doc_id, (o_totalprice * 0.25)::DECIMAL(18,2)::VARCHAR AS tax FROM orders")
+@query("SELECT o_orderkey AS doc_id, round(o_totalprice::DECIMAL(18,2) * 0.25, 2)::DECIMAL(18,2)::VARCHAR AS tax FROM orders")
 def explicit_tax_total(spark: SparkSession, sf: str) -> DataFrame:
     """A printed total of the tax wins over its parts."""
     got = extract.fields(_labelled(spark, sf, _say("GST", 0.5), _say("PST", 0.1), _say("TOTAL TAX", 0.25)))
     return got.select("doc_id", money.money_text(validate.amount("tax")).alias("tax"))
 
 
-@query("SELECT o_orderkey AS doc_id, ((o_totalprice * 0.5)::DECIMAL(18,2) + (o_totalprice * 0.25)::DECIMAL(18,2))::VARCHAR AS discount FROM orders")
+@query("SELECT o_orderkey AS doc_id, (round(o_totalprice::DECIMAL(18,2) * 0.5, 2)::DECIMAL(18,2) + round(o_totalprice::DECIMAL(18,2) * 0.25, 2)::DECIMAL(18,2))::VARCHAR AS discount FROM orders")
 def discount_sum(spark: SparkSession, sf: str) -> DataFrame:
     """Two discounts add up; a saving on an item's line and a summary of savings stay out."""
     got = extract.fields(_labelled(spark, sf, lambda x: F.concat(F.lit("Soap "), printed(x), F.lit(" SAVINGS 0.50")), _say("DISCOUNT", 0.5), _say("COUPON", 0.25), _say("TOTAL SAVINGS", 0.75)))
     return got.select("doc_id", money.money_text(validate.amount("discount")).alias("discount"))
 
 
-@query("SELECT o_orderkey AS doc_id, [(o_totalprice * 0.5)::DECIMAL(18,2)::VARCHAR, (o_totalprice * 0.25)::DECIMAL(18,2)::VARCHAR, (o_totalprice * 0.125)::DECIMAL(18,2)::VARCHAR, (-0.02)::DECIMAL(18,2)::VARCHAR] AS amounts FROM orders")
+@query("SELECT o_orderkey AS doc_id, [round(o_totalprice::DECIMAL(18,2) * 0.5, 2)::DECIMAL(18,2)::VARCHAR, round(o_totalprice::DECIMAL(18,2) * 0.25, 2)::DECIMAL(18,2)::VARCHAR, round(o_totalprice::DECIMAL(18,2) * 0.125, 2)::DECIMAL(18,2)::VARCHAR, (-0.02)::DECIMAL(18,2)::VARCHAR] AS amounts FROM orders")
 def other_charges(spark: SparkSession, sf: str) -> DataFrame:
     """Service, shipping and tip without sign, rounding with it."""
     got = extract.fields(_labelled(spark, sf, _say("SERVICE CHARGE", 0.5), _say("DELIVERY FEE", 0.25), _say("TIP", 0.125), lambda x: F.lit("ROUNDING -0.02")))
