@@ -14,7 +14,7 @@ from parchmint.llm.language import identify
 from parchmint.llm.lines import dedup_lines
 from parchmint.llm.mixing import mix_by_source, repeated
 from parchmint.llm.packing import pack
-from parchmint.llm.simhash import simhash_components
+from parchmint.llm.simhash import simhash_representatives
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,10 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group; rows that share that id count as one."""
-    groups = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = groups.select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays"))).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each SimHash group: the one with the smallest id, and of several with that id one by a hash of the row."""
+    return simhash_representatives(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import distinct_names, raw_text, saved, small_batches
@@ -45,8 +45,8 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(raw_text(t), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["id", "fp"])
+            made = np.fromiter((fingerprint(raw_text(t), shingle, seed) for t in batch.columns[-1]), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
     return run
 
@@ -133,6 +133,13 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, blocks: int = 6, chunk:
     return dealt.repartition("c", "key", "lo", "hi").sortWithinPartitions("c", "key", "lo", "hi", "fp").mapInArrow(_links(distance), "a long, b long")
 
 
+def _rooted(small: DataFrame, low: Column, distance: int) -> DataFrame:
+    """(fp, low, root) for each fingerprint: the aggregate low of its rows, and the fingerprint that names its group."""
+    classes = saved(small.groupBy("fp").agg(low.alias("low")), "classes")
+    roots = components(fingerprint_links(classes.select("fp"), distance))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """One row for each row of docs: id_col, fingerprint (16 hex digits) and component_id.
 
@@ -147,9 +154,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     fp, comp = distinct_names([id_col], "fingerprint", "component_id")
     small = saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle, seed), "id long, fp long"), "simhash")
-    classes = saved(small.groupBy("fp").agg(F.min("id").alias("low")), "classes")
-    roots = components(fingerprint_links(classes.select("fp"), distance))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(small, F.min("id"), distance)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     known = rooted.join(lowest, "root").select("fp", "component")
     return small.join(known, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias(fp), F.col("component").alias(comp))
+
+
+def simhash_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+    """One row of docs for each SimHash group, whole: the one with the smallest id, null ids last.
+
+    A row goes by a 128-bit hash of all its columns, so rows that share an id, or have none, stay apart;
+    the smallest hash decides between them. Rows equal in all columns count as one. Groups are those of
+    simhash_components. Texts are shuffled once.
+    """
+    small_batches(docs.sparkSession)
+    one, two = distinct_names(docs.columns, "_key1", "_key2")
+    parts = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    keyed = docs.select("*", F.xxhash64(*parts).alias(one), F.xxhash64(F.lit(seed), *parts).alias(two))
+    keys = keyed.select(F.col(id_col).cast("long").alias("id"), F.col(one).alias("key1"), F.col(two).alias("key2"), F.col(text_col).alias("text"))
+    small = saved(keys.mapInArrow(_fingerprints(shingle, seed), "id long, key1 long, key2 long, fp long"), "simhash")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key1", "key2"))
+    stay = _rooted(small, least, distance).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key1").alias(one), F.col("low.key2").alias(two))
+    return keyed.join(stay, [one, two]).dropDuplicates([one, two]).select(*[f"`{c}`" for c in docs.columns])

@@ -42,3 +42,21 @@ def test_each_stage(spark, tmp_path):
     assert all(abs(taken[s] - g) <= largest[s] for s, g in zip(names, goal))
     assert max(Counter(r["doc_id"] for r in rows[4]).values()) <= 2
     assert Counter(r["doc_id"] for r in rows[5] if r["start"] == 0) == Counter(r["doc_id"] for r in rows[4])
+
+
+def test_near_copies_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    import corpus_pipeline as own
+    from tests.llm.test_operators import words
+
+    t = [" ".join(words(60, 900 + k)) for k in range(16)]
+    rows = [(5, t[0]), (5, t[1]), (3, t[2]), (5, t[2]), (7, t[2]), (8, t[3]), (8, t[3]), (None, t[4]), (None, t[0]), *[(None, x) for x in t[5:15]], (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    fps = {x: brute_fingerprint(x) for _, x in rows}
+    low = components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    groups = defaultdict(list)
+    for i, x in rows:
+        groups[low[fps[x]]].append(i)
+    got = own.near_copies(spark, docs, SF).collect()
+    assert len(groups) == 16 and {(r["doc_id"], r["text"]) for r in got} <= set(rows)
+    want = Counter((g, min([i for i in ids if i is not None], default=None)) for g, ids in groups.items())
+    assert Counter((low[fps[r["text"]]], r["doc_id"]) for r in got) == want
