@@ -45,13 +45,14 @@ class Index:
         """Each vector's own list, and a matrix of the lists it visits.
 
         A list is visited if the plane between its centroid and the nearest one is within the margin.
-        With the margin equal to the radius no neighbour can be missed.
+        Neighbours on two sides of a plane lie within the radius of each other, so one of them lies within
+        half of it of the plane: with a margin of half the radius at least one visits the other's list.
         """
         d = np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse**2).sum(1))
         own = d.argmin(1)
         between = (self.coarse**2).sum(1)
         apart = np.sqrt(np.maximum(1e-12, between[own][:, None] - 2 * self.coarse[own] @ self.coarse.T + between))
-        visit = d - d[np.arange(len(x)), own][:, None] <= 2 * self.margin * apart
+        visit = d - d[np.arange(len(x)), own][:, None] <= 2 * self.margin * apart + 1e-9
         visit[np.arange(len(x)), own] = True
         return own, visit
 
@@ -139,12 +140,14 @@ def _deal(index: Index, keys_only: bool):
                 row = np.concatenate([np.arange(len(x)), v])
                 lists = np.concatenate([own, c]).astype(np.int32)
                 kind = np.concatenate([np.zeros(len(x), np.int8), np.ones(len(v), np.int8)])
+                visited = np.split(c.astype(np.int32), np.cumsum(visit.sum(1))[:-1])
+                seen = [y.tobytes() for y in visited] + [y.tobytes() for y in own.astype(np.int32)[v]]
                 take = pa.array(row)
                 label = part.column(1).take(take)
                 if keys_only:
                     yield pa.RecordBatch.from_arrays([label, pa.array(lists), pa.array(kind)], ["label", "list", "kind"])
                 else:
-                    yield pa.RecordBatch.from_arrays([label, pa.array(lists), pa.array(kind), part.column(0).take(take), part.column(3).take(take), part.column(2).take(take)], ["label", "list", "kind", "rep", "m", "vec"])
+                    yield pa.RecordBatch.from_arrays([label, pa.array(lists), pa.array(kind), part.column(0).take(take), part.column(3).take(take), part.column(2).take(take), pa.array(seen, pa.binary())], ["label", "list", "kind", "rep", "m", "vec", "seen"])
 
     return run
 
@@ -176,13 +179,17 @@ def _forest(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[lis
 
 
 def _compare(index: Index, cosine: float):
-    def block(at: int, kind: list[int], rep: list[int], m: list[int], vec: list[bytes]) -> tuple[list, list, list]:
+    def block(at: int, kind: list[int], rep: list[int], m: list[int], vec: list[bytes], seen: list[bytes]) -> tuple[list, list, list]:
+        """seen: the lists that a member visits, the own list of a visitor."""
         member = np.array(kind) == 0
         if member.all() or not member.any():
             return [], [], []
         x, rep, m = _unit(vec), np.array(rep), np.array(m)
         mem, vis = x[member], x[~member]
         codes, err = index.encode(mem - index.coarse[at])
+        homes, home = np.unique(np.frombuffer(b"".join(y for y, k in zip(seen, kind) if k), np.int32), return_inverse=True)
+        blind = np.stack([~np.isin(homes, np.frombuffer(y, np.int32)) for y, k in zip(seen, kind) if not k])
+        back = np.zeros(len(mem), np.int64)
         a, b, n = [], [], []
         for i in range(0, len(vis), 512):
             linked = index.near(vis[i : i + 512], mem, codes, err, at, cosine)
@@ -192,16 +199,18 @@ def _compare(index: Index, cosine: float):
             a += own[full].tolist()
             b += [None] * len(full)
             n += count[full].tolist()
+            back += m[~member][i : i + 512] @ (linked & blind[:, home[i : i + 512]].T)
             linked &= own[:, None] != rep[member][None]
             p, q = _forest(linked, own, rep[member])
             a += p
             b += q
             n += [0] * len(p)
-        return a, b, n
+        full = np.flatnonzero(back)
+        return a + rep[member][full].tolist(), b + [None] * len(full), n + back[full].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket (label, list, i, j); a bucket may go on in the next batch."""
-        key, held = None, [[], [], [], []]
+        key, held = None, [[], [], [], [], []]
 
         def out() -> pa.RecordBatch:
             a, b, n = block(key[1], *held) if held[0] else ([], [], [])
@@ -211,7 +220,7 @@ def _compare(index: Index, cosine: float):
             for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
                 if row[:4] != key:
                     yield out()
-                    key, held = row[:4], [[], [], [], []]
+                    key, held = row[:4], [[], [], [], [], []]
                 for x, y in zip(held, row[4:]):
                     x.append(y)
         yield out()
@@ -230,8 +239,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Centroids and codewords are fitted on about `sample` vectors and their size depends on `lists` (one
     for 40 vectors, 4096 at most) alone; every vector is indexed. margin decides which lists are
-    visited: half the link radius by default (recall is measured in the tests), the radius itself
-    leaves no neighbour out. A list or its visitors, when hot, are cut into chunks that meet in pairs;
+    visited: half the link radius by default, with which at least one end of a link visits the other's
+    list; where only one does, the link is counted for the other end too. Less than that loses links. A list or its visitors, when hot, are cut into chunks that meet in pairs;
     links are counted where they are found and only a spanning forest of them is kept.
     """
     names = distinct_names([id_col], "n_links", "component_id", "kept")
@@ -251,11 +260,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     index = fit(_unit(drawn), lists or min(4096, max(1, n // 40)), cosine, margin)
     kinds = reps.mapInArrow(_deal(index, True), "label string, list int, kind byte")
     sizes = kinds.groupBy("label", "list").agg(F.sum((F.col("kind") == 0).cast("int")).alias("nm"), F.sum(F.col("kind").cast("int")).alias("nv")).where("nm > 0")
-    dealt = reps.mapInArrow(_deal(index, False), "label string, list int, kind byte, rep long, m long, vec binary").join(sizes, ["label", "list"])
+    dealt = reps.mapInArrow(_deal(index, False), "label string, list int, kind byte, rep long, m long, vec binary, seen binary").join(sizes, ["label", "list"])
     km, kv = F.ceil(F.col("nm") / MEMBERS).cast("int"), F.ceil(F.col("nv") / VISITORS).cast("int")
     h = F.xxhash64("rep")
     pairs = F.when(F.col("kind") == 0, F.transform(F.sequence(F.lit(0), kv - 1), lambda j: F.struct(F.pmod(h, km).cast("int").alias("i"), j.alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), km - 1), lambda i: F.struct(i.alias("i"), F.pmod(h, kv).cast("int").alias("j"))))
-    spread = dealt.withColumn("p", F.explode(pairs)).select("label", "list", "p.i", "p.j", "kind", "rep", "m", "vec")
+    spread = dealt.withColumn("p", F.explode(pairs)).select("label", "list", "p.i", "p.j", "kind", "rep", "m", "vec", "seen")
     found = saved(spread.repartition("label", "list", "i", "j").sortWithinPartitions("label", "list", "i", "j").mapInArrow(_compare(index, cosine), "a long, b long, n long"), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")

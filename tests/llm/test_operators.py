@@ -387,6 +387,16 @@ def test_vectors_against_brute_force(spark):
     assert link_vectors(vectors.limit(0)).count() == 0
 
 
+def test_vectors_count_links_across_list_borders_at_both_ends(spark):
+    from parchmint.llm.vectors import link_vectors
+
+    turn = np.random.default_rng(3).uniform(0, 2 * np.pi, 600)
+    unit = np.stack([np.cos(turn), np.sin(turn)], 1)
+    vectors = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in link_vectors(vectors, lists=12).collect()}
+    assert got == dict(enumerate(((unit @ unit.T >= 0.98).sum(1) - 1).tolist()))
+
+
 # Models
 
 
