@@ -260,6 +260,13 @@ def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length(text.clean_line(F.col("t")))).alias("chars"))
 
 
+@query()
+def clean_all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every script cleaned: count and length by document; DuckDB has no NFKC."""
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("t"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length(text.clean_line(F.col("t")))).alias("chars"))
+
+
 @query(r"SELECT doc_id, lower(regexp_extract(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')) AS email FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')")
 def emails(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", identifiers.email(F.col("text")).alias("email")).where("email is not null")

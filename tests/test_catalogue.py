@@ -40,3 +40,20 @@ def test_entry_imports_without_the_training_data_part():
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_clean_all_lines_against_unicodedata(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from parchmint.functions.text import FOLDED
+
+    texts = ["caf\u00e9  \ufb01n\nplain ---- x", "\u201cquoted\u201d \uff11\uff12\n\u0995\u09bf", None, "e\u0301....... \u2460"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def clean(line):
+        folded = unicodedata.normalize("NFKC", line).translate(str.maketrans(*FOLDED))
+        return re.sub("[ \t\u200b-\u200d]+", " ", re.sub(r"([.\-=_*~])\1{3,}", r"\1\1\1", folded)).strip()
+
+    want = {(i, len(x), sum(map(len, map(clean, x)))) for i, x in enumerate((t or "").split("\n") for t in texts)}
+    assert set(map(tuple, catalog.QUERIES["clean_all_lines"](spark, str(tmp_path)).collect())) == want
