@@ -527,3 +527,10 @@ def document_sections(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", "\n+$", ""))
     views = line_views(from_text(rows))
     return views.groupBy("doc_id").agg(F.count("section").alias("n_lines"))
+
+
+@query()
+def line_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document by section."""
+    views = line_views(from_text(table(spark, sf, "documents")))
+    return views.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"))

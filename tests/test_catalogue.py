@@ -57,3 +57,10 @@ def test_clean_all_lines_against_unicodedata(spark, tmp_path):
 
     want = {(i, len(x), sum(map(len, map(clean, x)))) for i, x in enumerate((t or "").split("\n") for t in texts)}
     assert set(map(tuple, catalog.QUERIES["clean_all_lines"](spark, str(tmp_path)).collect())) == want
+
+
+def test_line_sections(spark, tmp_path):
+    texts = ["Corner Store\n1 Oak Street\nDate: 2026-08-01\nSoap 3.00\nBread 4.00\nTOTAL 7.00\nVISA", "alpha\nbeta"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(0, "merchant", 2), (0, "metadata", 1), (0, "items", 2), (0, "totals", 1), (0, "payment", 1), (1, "merchant", 2)}
+    assert set(map(tuple, catalog.QUERIES["line_sections"](spark, str(tmp_path)).collect())) == want
