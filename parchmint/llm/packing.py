@@ -35,11 +35,13 @@ class Coder(dict):
     concatenation of its words with the white space before each. New words go through the rank file
     (the same vocabulary as ranks) if it is given and the word is plain Latin script, else through the
     tokenizer file. An end of ASCII marks other than the apostrophe is a pre-token of its own, as is
-    a line break between two words.
+    a line break between two words. A text with the string of an added token goes through the
+    tokenizer file whole, which gives that string its own id.
     """
 
-    def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None) -> None:
+    def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None, added: tuple[str, ...] = ()) -> None:
         self.vocabulary, self.old, self.bare, self.whole = vocabulary, {}, {}, None
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = None
         if ranks:
             import base64
@@ -52,11 +54,13 @@ class Coder(dict):
     def encode(self, text: str) -> bytes:
         if self.fast and (text.isascii() and text.isprintable() and " " not in text[1:] or _PLAIN.fullmatch(text.removeprefix(" "))):
             return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return self.by_file(text)
+
+    def by_file(self, text: str) -> bytes:
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.vocabulary)
-            self.whole.encode_special_tokens = True
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def alone(self, word: str) -> bytes:
@@ -89,6 +93,8 @@ class Coder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.by_file(text)
         if not text.isascii() and _ODD_SPACE.search(text):
             return self.encode(text)
         if "  " in text or "\n " in text or "\t " in text or "\r " in text or "\x0b " in text or "\x0c " in text or text[:1] == " " or text[-1:] == " ":
@@ -97,16 +103,23 @@ class Coder(dict):
         return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
 
-def coder(vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> Coder:
+def added_tokens(vocabulary: str) -> tuple[str, ...]:
+    """Strings of the tokenizer file's added tokens."""
+    from tokenizers import Tokenizer
+
+    return tuple(sorted(t.content for t in Tokenizer.from_file(vocabulary).get_added_tokens_decoder().values()))
+
+
+def coder(vocabulary: str, ranks: str | None = None, pattern: str | None = None, added: tuple[str, ...] = ()) -> Coder:
     """One coder for each worker process and vocabulary."""
     if (vocabulary, ranks) not in _CODERS:
-        _CODERS[vocabulary, ranks] = Coder(vocabulary, ranks, pattern)
+        _CODERS[vocabulary, ranks] = Coder(vocabulary, ranks, pattern, added)
     return _CODERS[vocabulary, ranks]
 
 
-def _pieces(width: int, vocabulary: str, ranks: str | None, pattern: str | None):
+def _pieces(width: int, vocabulary: str, ranks: str | None, pattern: str | None, added: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary, ranks, pattern)
+        own = coder(vocabulary, ranks, pattern, added)
         for batch in batches:
             docs, starts, lengths, sums, totals = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -126,9 +139,10 @@ def _pieces(width: int, vocabulary: str, ranks: str | None, pattern: str | None)
 def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int, list[int]]]:
     """Patterns (count, lengths) that hold every length of the histogram, none longer than width.
 
-    Lengths are placed longest first, each into the shortest packs so far; where even those have too
-    little room, new packs open. Packs of one fill and pattern count together, so the work depends on
-    width and not on how many pieces there are.
+    Lengths are placed longest first, each into the shortest packs so far. Where even those have too
+    little room, a new pack opens and is the shortest until it is full, so what is left of a length
+    opens as many full packs of it as it takes and one for the rest. Packs of one fill and pattern
+    count together, so the work depends on width and not on how many pieces there are.
     """
     packs: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     done: list[tuple[int, list[int]]] = []
@@ -137,7 +151,8 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int
         while left:
             fill = min(packs, default=width)
             if fill + length > width:
-                changed.append((left, (length,)))
+                each = width // length
+                changed += [(n, (length,) * k) for n, k in ((left // each, each), (1, left % each)) if n and k]
                 break
             count, pattern = packs[fill].pop()
             used = min(count, left)
@@ -176,9 +191,11 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
     """One row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and then id 0; null or empty text is id 0 alone, so each document has a
-    piece. It is cut after every `width` ids; full pieces are sequences, the rest is packed. Strings of
-    special tokens in a text are ordinary text. Sequence ids have no gaps. Repeated rows are documents
-    of their own, a null id stays null, an empty table gives an empty table.
+    piece. It is cut after every `width` ids, however long it is; full pieces are sequences, the rest is
+    packed. Ids are those of the tokenizer file as it is loaded: an added token's string in a text is
+    that token. Sequence ids have no gaps. Repeated rows are documents of their own, a null id stays
+    null, pieces that tie in all columns take their places in any order, an empty table gives an empty
+    table. Other columns are not read.
 
     The histogram (at most `width` rows) and the places (as many as the patterns have lengths, which
     depends on width alone) are all that meets on the driver. Ranks of one length are counted over
@@ -187,7 +204,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    made = saved(text.mapInArrow(_pieces(width, vocabulary, ranks, pattern), "doc long, start long, length long, crc long, total long"), "pieces")
+    made = saved(text.mapInArrow(_pieces(width, vocabulary, ranks, pattern, added_tokens(vocabulary)), "doc long, start long, length long, crc long, total long"), "pieces")
     histogram = {r["length"]: r["n"] for r in made.where(F.col("length") < width).groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, sequences = places(shortest_pack_first(histogram, width))
     table = [(n, [tuple(x) for x in own]) for n, own in runs.items()] + [(width, [(0, 1 << 62, sequences, 0)])]
