@@ -1,14 +1,17 @@
-"""Sharding by a hierarchical weighted hash tree: region, rack, shard, one weighted draw a level.
+"""Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-A draw gives each child -ln(u) / weight with u a hash of the key and the child's name; the least
-wins. Raising a child's weight lowers only its own draw, so keys move only into it, never between
-others: movement stays in subtrees whose weights change.
+Each leaf draws -ln(u) / weight, u a hash of the key and the leaf's place: an exponential clock. The
+draw of a rack or region is the least of its leaves' draws, hence exponential with the sum of their
+weights, and the descent follows the least draw from level to level. A leaf whose weight changes moves
+its own draw only: keys come from anywhere into a leaf that gains weight, or leave the one that loses
+it, and never move between others, whatever the number of shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,46 +34,34 @@ def even_tree(shards: int, racks: int = 2, per_rack: int = 4) -> list[Leaf]:
     return [Leaf(i, i // (racks * per_rack), i // per_rack % racks) for i in range(shards)]
 
 
-def _draw(key: Column, names: Sequence[tuple[int, ...]], weights: Sequence[float]) -> Column:
-    """The position of the winning child. u is odd/2^53: never 0 or 1, and exact as a double."""
-    costs = []
-    for i, (name, weight) in enumerate(zip(names, weights, strict=True)):
-        h = F.xxhash64(key, *[F.lit(x) for x in name])
-        u = (F.shiftrightunsigned(h, 12) * 2 + 1).cast("double") / F.lit(float(2**53))
-        costs.append(F.struct((-F.log(u) / F.lit(float(weight))).alias("cost"), F.lit(i).alias("i")))
-    return F.least(*costs)["i"] if len(costs) > 1 else F.lit(0)
+def _clock(key: Column, leaf: Leaf, salt: int) -> Column:
+    """struct<draw, shard> of a leaf. u is odd/2^53: never 0 or 1, and exact as a double."""
+    h = F.xxhash64(key, *[F.lit(x) for x in (salt, leaf.region, leaf.rack, leaf.shard)])
+    u = (F.shiftrightunsigned(h, 12) * 2 + 1).cast("double") / F.lit(float(2**53))
+    return F.struct((-F.log(u) / F.lit(float(leaf.weight))).alias("draw"), F.lit(leaf.shard).alias("shard"))
+
+
+def _least(draws: Sequence[Column]) -> Column:
+    return F.least(*draws) if len(draws) > 1 else draws[0]
 
 
 def place(key: Column, leaves: Sequence[Leaf], salt: int = 0) -> Column:
-    """The shard of a key: the tree and the key decide alone. Weights of 0 draw nothing."""
-    alive = [x for x in leaves if x.weight > 0]
+    """The shard of a key: the tree and the key decide alone. Weights of 0 draw nothing; a tie goes to the lower shard."""
+    alive = sorted((x for x in leaves if x.weight > 0), key=lambda x: (x.region, x.rack, x.shard))
     if not alive:
         raise ValueError("no shard has weight")
-
-    def level(members: Sequence[Leaf], path: tuple[int, ...]) -> Column:
-        if len(path) == 2:
-            picked = _draw(key, [(salt, 3, *path, x.shard) for x in members], [x.weight for x in members])
-            return F.element_at(F.array(*[F.lit(x.shard) for x in members]), picked + 1)
-        of = (lambda x: x.region) if not path else (lambda x: x.rack)
-        names = sorted({of(x) for x in members})
-        below = [[x for x in members if of(x) == n] for n in names]
-        picked = _draw(key, [(salt, len(path) + 1, *path, n) for n in names], [sum(x.weight for x in own) for own in below])
-        out = None
-        for i, own in enumerate(below):
-            child = level(own, (*path, names[i]))
-            out = F.when(picked == i, child) if out is None else out.when(picked == i, child)
-        return out
-
-    return level(alive, ()).cast("int")
+    racks = [(region, _least([_clock(key, x, salt) for x in own])) for (region, _), own in groupby(alive, key=lambda x: (x.region, x.rack))]
+    regions = [_least([draw for _, draw in own]) for _, own in groupby(racks, key=lambda x: x[0])]
+    return _least(regions)["shard"].cast("int")
 
 
 def shard(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = 4096) -> DataFrame:
     """Place documents by id: columns of docs without the text, and _size, _crc, _shard, _grown, _slot.
 
     The law is `key`: the id and the tree decide, so a null id is a key like any other and repeated
-    ids share a shard. _size is UTF-8 bytes of the text and 1 (null: 1), _crc the unsigned CRC-32.
-    _grown is the shard in the tree `grown` (null without one). When that tree adds a region, keys
-    move into it only. _slot numbers a shard's rows from 0 without gaps, by hash bucket and id;
+    ids share a shard. _size is UTF-8 bytes of the whole text and 1 (null: 1), _crc the unsigned CRC-32.
+    _grown is the shard in the tree `grown` (null without one). When that tree has one more shard, keys
+    move into it only. Columns of these names get underscores before ours. _slot numbers a shard's rows from 0 without gaps, by hash bucket and id;
     equal rows get adjacent slots in any order. An empty table gives an empty table.
 
     Nothing but ids, sizes and checksums is shuffled; each shard is numbered by many tasks.
