@@ -3,10 +3,15 @@
 Vectors fall into the list of their nearest coarse centroid; a member keeps its residual's codes, one
 for each subspace. A vector visits its own list and those whose border is near it, compares by table
 lookups (its own residual against all codewords) and reranks by exact cosine what the lookups leave.
+
+One index serves vectors of every length: it reads the first `dim` components of the unit vector, filled
+up with zeros. That never makes two vectors of one length farther apart, so no bound loses a neighbour;
+only vectors of one length meet, and cosines are those of whole vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +25,8 @@ from .graph import components
 
 #: Members and visitors of a list that meet in one task; longer lists are cut into pairs of chunks.
 MEMBERS, VISITORS = 1024, 4096
+#: Entries of a matrix of distances that is held at once.
+HELD = 1 << 22
 
 
 @dataclass
@@ -56,14 +63,19 @@ class Index:
         visit[np.arange(len(x)), own] = True
         return own, visit
 
+    def read(self, x: np.ndarray) -> np.ndarray:
+        """What the index reads of unit rows."""
+        dim = self.coarse.shape[1]
+        return x[:, :dim] if x.shape[1] >= dim else np.pad(x, ((0, 0), (0, dim - x.shape[1])))
+
     def near(self, visitors: np.ndarray, members: np.ndarray, codes: np.ndarray, err: np.ndarray, at: int, cosine: float) -> np.ndarray:
-        """Which visitors (unit rows) are linked with which members of list `at`.
+        """Which visitors (whole unit rows) are linked with which members of list `at`.
 
         A table distance differs from the true one by the member's coding error at most, so the bound
         radius + error keeps every neighbour; cosines in double precision decide.
         """
         s, _, width = self.words.shape
-        r = visitors - self.coarse[at]
+        r = self.read(visitors) - self.coarse[at]
         total = np.zeros((len(visitors), len(members)))
         for i in range(s):
             part, book = r[:, i * width : (i + 1) * width], self.words[i]
@@ -77,11 +89,17 @@ class Index:
         return out
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The row of c nearest to each row of x."""
+    step, square = max(16, HELD // len(c)), (c**2).sum(1)
+    return np.concatenate([(square - 2 * x[i : i + step] @ c.T).argmin(1) for i in range(0, len(x), step)])
+
+
 def _means(x: np.ndarray, k: int, rounds: int, draw: np.random.Generator) -> np.ndarray:
     """k-means; an empty cell takes a random row."""
     c = x[draw.choice(len(x), k, len(x) < k)].copy()
     for _ in range(rounds):
-        a = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+        a = _nearest(x, c)
         n = np.bincount(a, minlength=k)
         order = np.argsort(a, kind="stable")
         full = np.flatnonzero(n)
@@ -100,41 +118,46 @@ def fit(x: np.ndarray, lists: int, cosine: float, margin: float | None = None, s
     while dim % subspaces:
         subspaces -= 1
     coarse = _means(x, lists, 6, draw)
-    residual = x - coarse[((coarse**2).sum(1) - 2 * x @ coarse.T).argmin(1)]
+    residual = x - coarse[_nearest(x, coarse)]
     width = dim // subspaces
     books = np.stack([_means(residual[:8192, i * width : (i + 1) * width], words, 5, draw) for i in range(subspaces)])
     return Index(coarse, books, radius, radius / 2 if margin is None else margin)
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
+    """Unit rows of vectors of one length."""
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def _bytes(dim: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Vectors as bytes of doubles; null where they can link with nothing."""
-        for batch in batches:
-            out = []
-            for v in batch.column(2):
-                raw = None
-                if v.is_valid and not v.values.null_count and len(v.values):
-                    x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    if np.isfinite(x).all() and x.any() and dim in (None, len(x)):
-                        raw = x.tobytes()
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vec"])
-
-    return run
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes of doubles; null where they can link with nothing."""
+    for batch in batches:
+        out = []
+        for i, v in zip(batch.column(0), batch.column(2)):
+            raw = None
+            if i.is_valid and v.is_valid and not v.values.null_count and len(v.values):
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                if np.isfinite(x).all() and x.any():
+                    raw = x.tobytes()
+            out.append(raw)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vec"])
 
 
 def _deal(index: Index, keys_only: bool):
+    step = max(16, min(1024, HELD // len(index.coarse)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = _unit(part.column(2).to_pylist())
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                raw = part.column(2).to_pylist()
+                size = np.array(list(map(len, raw)))
+                x = np.empty((len(raw), index.coarse.shape[1]))
+                for n in np.unique(size):
+                    same = np.flatnonzero(size == n)
+                    x[same] = index.read(_unit([raw[i] for i in same]))
                 own, visit = index.lists(x)
                 v, c = np.nonzero(visit)
                 row = np.concatenate([np.arange(len(x)), v])
@@ -186,7 +209,7 @@ def _compare(index: Index, cosine: float):
             return [], [], []
         x, rep, m = _unit(vec), np.array(rep), np.array(m)
         mem, vis = x[member], x[~member]
-        codes, err = index.encode(mem - index.coarse[at])
+        codes, err = index.encode(index.read(mem) - index.coarse[at])
         homes, home = np.unique(np.frombuffer(b"".join(y for y, k in zip(seen, kind) if k), np.int32), return_inverse=True)
         blind = np.stack([~np.isin(homes, np.frombuffer(y, np.int32)) for y, k in zip(seen, kind) if not k])
         back = np.zeros(len(mem), np.int64)
@@ -228,17 +251,19 @@ def _compare(index: Index, cosine: float):
     return run
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, lists: int | None = None, margin: float | None = None, sample: int = 16_384, dim: int | None = None) -> DataFrame:
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, lists: int | None = None, margin: float | None = None, sample: int | None = None, dim: int | None = None) -> DataFrame:
     """One row for each row of vectors: id_col, n_links, component_id, kept.
 
-    Vectors are compared when their labels are equal and not null (label_col None: all of them). A
-    vector that is null, empty, zero, holds null or non-finite components, or is not of length dim
-    (default: the commonest) links with nothing: n_links 0, its own component. Equal vectors are one
-    class and link with each other; n_links counts rows. component_id is the smallest id reachable.
-    Repeated rows count as vectors. An empty table gives an empty table.
+    Vectors are compared when their labels are equal and not null (label_col None: all of them) and
+    their lengths are equal. A vector that is null, empty, zero, holds null or non-finite components,
+    or has no id links with nothing: n_links 0, its own component. Equal vectors are one class and link
+    with each other; n_links counts rows. component_id is the smallest id reachable. Repeated rows count
+    as vectors. Other columns are not read. An empty table gives an empty table.
 
-    Centroids and codewords are fitted on about `sample` vectors and their size depends on `lists` (one
-    for 40 vectors, 4096 at most) alone; every vector is indexed. margin decides which lists are
+    Centroids and codewords are fitted on about `sample` vectors (default: 16,384, or four for a list
+    where there are more) and their size depends on `lists` alone: one for 40 vectors up to 4,096, and
+    beyond that as many as the root of their number, so that work per vector grows as that root. Every
+    vector is indexed, by its first `dim` components (default: the commonest length). margin decides which lists are
     visited: half the link radius by default, with which at least one end of a link visits the other's
     list; where only one does, the link is counted for the other end too. Less than that loses links. A list or its visitors, when hot, are cut into chunks that meet in pairs;
     links are counted where they are found and only a spanning forest of them is kept.
@@ -246,18 +271,22 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     names = distinct_names([id_col], "n_links", "component_id", "kept")
     label = F.col(label_col) if label_col else F.lit(0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    if dim is None:
-        top = rows.where(F.size("vec") > 0).groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-        dim = top[0]["d"] if top else 1
-    rows = rows.mapInArrow(_bytes(dim), "id long, label string, vec binary")
+    rows = rows.mapInArrow(_bytes, "id long, label string, vec binary").withColumn("label", F.concat(F.octet_length("vec").cast("string"), F.lit(":"), "label"))
     reps = saved(rows.where("vec is not null and label is not null").groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("m")).select("rep", "label", "vec", "m"), "classes")
     n = reps.count()
     if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias(names[0]), F.col("id").alias(names[1]), F.lit(True).alias(names[2]))
-    share = min(1.0, sample / n)
+    if dim is None:
+        dim = reps.groupBy((F.octet_length("vec") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()["d"]
+    lists = lists or max(1, min(4096, n // 40), math.isqrt(n) if n > 4096**2 else 0)
+    share = min(1.0, (sample or max(16_384, 4 * lists)) / n)
     drawn = reps.where(F.pmod(F.xxhash64(F.lit(4), "vec"), F.lit(1 << 30)) < share * (1 << 30)).select("vec").orderBy("vec").collect()
     drawn = [r["vec"] for r in drawn] or [r["vec"] for r in reps.select("vec").orderBy("vec").limit(1).collect()]
-    index = fit(_unit(drawn), lists or min(4096, max(1, n // 40)), cosine, margin)
+    of_dim = np.zeros((len(drawn), dim))
+    for i, raw in enumerate(drawn):
+        x = _unit([raw])[0, :dim]
+        of_dim[i, : len(x)] = x
+    index = fit(of_dim, lists, cosine, margin)
     kinds = reps.mapInArrow(_deal(index, True), "label string, list int, kind byte")
     sizes = kinds.groupBy("label", "list").agg(F.sum((F.col("kind") == 0).cast("int")).alias("nm"), F.sum(F.col("kind").cast("int")).alias("nv")).where("nm > 0")
     dealt = reps.mapInArrow(_deal(index, False), "label string, list int, kind byte, rep long, m long, vec binary, seen binary").join(sizes, ["label", "list"])

@@ -453,6 +453,30 @@ def test_vectors_against_brute_force(spark):
     assert link_vectors(vectors.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_link(spark):
+    from parchmint.llm.vectors import link_vectors
+
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(size=3).tolist(), "a") for i in range(40)]
+    rows += [(50 + i, (np.array(rows[i][1]) * 2).tolist(), "a") for i in range(5)]
+    rows += [(100, [1.0, 2.0], "a"), (101, [1.0, 2.0], "a"), (102, [2.0, 4.0], "a"), (103, [1.0, 2.0, 0.0], "a"), (104, [2.0, 4.0], "b"), (105, [7.0], "a"), (106, [-7.0], "a"), (107, [0.5], "a")]
+    long = draw.normal(size=50)
+    rows += [(110, long.tolist(), "a"), (111, (long * 3 + 1e-3).tolist(), "a"), (112, [*long[:25].tolist(), *(-long[25:]).tolist()], "a"), (None, [1.0, 2.0], "a"), (113, [1.0, 2.0], None)]
+    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label string, component_id string").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in link_vectors(vectors).collect()}
+
+    def linked(a, b):
+        (i, x, p), (j, y, q) = a, b
+        if i is None or j is None or p is None or p != q or len(x) != len(y):
+            return False
+        x, y = np.array(x), np.array(y)
+        return x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98
+
+    low = components(range(len(rows)), lambda i, j: linked(rows[i], rows[j]))
+    assert got == {r[0]: (sum(linked(r, o) for k, o in enumerate(rows) if k != i), rows[low[i]][0]) for i, r in enumerate(rows)}
+    assert got[100][0] == 2 and got[None] == (0, None)
+
+
 def test_vectors_count_links_across_list_borders_at_both_ends(spark):
     from parchmint.llm.vectors import link_vectors
 
