@@ -1,8 +1,9 @@
 """Language by string kernels: presence of character n-grams, Nyström landmarks, kernel ridge regression.
 
 The kernel of two texts is the number of n-grams (n from 1 to 3, blended) present in both, divided by
-the root of the product of how many each has. Landmarks are sampled documents; one ridge regression
-for each language (one against the rest) works on kernels with landmarks.
+the root of the product of how many each has. N-grams are of code points and none is left out: those of
+a text that no landmark has add nothing to any kernel and count in the divisor. Landmarks are sampled
+documents; one ridge regression for each language (one against the rest) works on kernels with landmarks.
 """
 
 from __future__ import annotations
@@ -10,122 +11,127 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import distinct_names, small_batches
 from .toxicity import held_out
 
-#: Characters with a code of their own; all others share one. Code 0 is whatever is no letter.
-ALPHABET = 64
-#: Rows of a matrix product.
-BATCH = 128
+#: Texts of a batch, and entries of a matrix of presence that is held at once.
+BATCH, HELD = 128, 1 << 22
 
 
-def runes(text: str) -> np.ndarray:
-    """Lower-cased code points."""
-    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+@cache
+def _letters() -> np.ndarray:
+    """For each code point its number plus 1 if it is a letter, else 0."""
+    return np.fromiter((i + 1 if chr(i).isalpha() else 0 for i in range(0x110000)), np.int64, 0x110000)
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """The distinct 1- to 3-grams of a lower-cased text as numbers; a run of what is no letter is one mark, as are the ends.
+
+    A character takes 21 bits, the mark is 1 and letters are above it, so no two n-grams share a number.
+    """
+    c = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
+    c = np.concatenate([[0], c, [0]])
+    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])] + 1
+    two = (c[:-1] << 21) | c[1:]
+    return np.unique(np.concatenate([c, two, (two[:-1] << 21) | c[2:]]))
 
 
 @dataclass
 class Kernel:
-    """Codes of characters, the n-grams that landmarks have in common, and the landmarks' rows of presence."""
+    """All n-grams of the landmarks, and what each gives each language: the landmarks' rows of presence times their weights."""
 
-    codes: np.ndarray
     grams: np.ndarray
-    landmarks: np.ndarray
-    weights: np.ndarray
+    told: np.ndarray
     names: list[str]
 
-    def gram_codes(self, text: str) -> np.ndarray:
-        """Codes of all 1- to 3-grams of a text, repeats included, runs of non-letters as one."""
-        x = runes(text)
-        c = self.codes[np.minimum(x, len(self.codes) - 1)]
-        c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])] if len(c) else c
-        c = np.concatenate([[0], c, [0]]).astype(np.int64)
-        two = c[:-1] * ALPHABET + c[1:]
-        return np.concatenate([c, ALPHABET + two, ALPHABET + ALPHABET**2 + two[:-1] * ALPHABET + c[2:]])
-
     def presence(self, texts: list[str]) -> np.ndarray:
         """A row for each text: which grams it has, divided by the root of how many n-grams it has in all."""
-        out = np.empty((len(texts), len(self.grams)), np.float32)
-        flags = np.zeros(ALPHABET + ALPHABET**2 + ALPHABET**3, bool)
+        out = np.zeros((len(texts), len(self.grams)), np.float32)
         for i, text in enumerate(texts):
-            codes = self.gram_codes(text)
-            flags[codes] = True
-            out[i] = flags[self.grams]
-            out[i] /= math.sqrt(np.count_nonzero(flags))
-            flags[codes] = False
+            codes = gram_codes(text)
+            at = np.searchsorted(self.grams, codes)
+            at[at == len(self.grams)] = 0
+            out[i, at[self.grams[at] == codes]] = 1 / math.sqrt(len(codes))
         return out
 
+    def times(self, texts: list[str], matrix: np.ndarray) -> np.ndarray:
+        """Rows of presence times a matrix, in batches: with the landmarks' rows these are kernels."""
+        step = max(1, min(BATCH, HELD // len(self.grams)))
+        return np.concatenate([self.presence(texts[i : i + step]) @ matrix for i in range(0, len(texts), step)])
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """A column for each language: near 1 for it, near -1 for others."""
-        return (self.presence(texts) @ self.landmarks.T) @ self.weights
+        return self.times(texts, self.told)
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit(texts: list[str], names: list[str], landmarks: int = 64, grams: int = 6000, ridge: float = 1e-2) -> Kernel:
-    """Fit on texts and their languages: landmarks of each language evenly, all texts for the regression."""
+def fit(texts: list[str], names: list[str], landmarks: int = 64, ridge: float = 1e-2) -> Kernel | None:
+    """Fit on texts in random order and their languages: the first `landmarks` of each language, all texts for the regression.
+
+    None where there is nothing to learn.
+    """
     known = sorted(set(names))
-    x = np.concatenate([runes(t) for t in texts]) if texts else np.empty(0, np.uint32)
-    chars, n = np.unique(x, return_counts=True)
-    letters = sorted((-int(k), int(c)) for c, k in zip(chars, n) if chr(int(c)).isalpha())
-    codes = np.full(0x110000, 1, np.uint8)
-    plain = [c for c in range(0x3000) if not chr(c).isalpha()]
-    codes[plain] = 0
-    for i, (_, c) in enumerate(letters[: ALPHABET - 2]):
-        codes[c] = i + 2
-    model = Kernel(codes, np.empty(0, int), np.empty((0, 0)), np.empty((0, 0)), known)
     if not known:
-        return model
+        return None
     of = {k: [i for i, m in enumerate(names) if m == k] for k in known}
-    count = np.zeros(ALPHABET + ALPHABET**2 + ALPHABET**3, np.int32)
-    for own in of.values():
-        for i in own:
-            count[np.unique(model.gram_codes(texts[i]))] += 1
-    top = np.argsort(-count, kind="stable")[:grams]
-    model.grams = np.sort(top[count[top] > 0])
-    marks = [i for own in of.values() for i in own[:landmarks]]
-    model.landmarks = model.presence([texts[i] for i in marks])
-    base = (model.landmarks @ model.landmarks.T).astype(float)
+    marks = [texts[i] for own in of.values() for i in own[:landmarks]]
+    grams = np.unique(np.concatenate([gram_codes(t) for t in marks]))
+    model = Kernel(grams, np.empty((len(grams), 0), np.float32), known)
+    rows = model.presence(marks)
+    base = (rows @ rows.T).astype(float)
     value, vector = np.linalg.eigh(base)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    phi = np.concatenate([model.presence(texts[i : i + BATCH]) @ model.landmarks.T for i in range(0, len(texts), BATCH)]).astype(float) @ root
+    phi = model.times(texts, rows.T).astype(float) @ root
     y = np.array([[1.0 if m == k else -1.0 for k in known] for m in names])
     weight = np.array([1.0 / len(of[m]) for m in names])[:, None] * len(names) / len(known)
     alpha = np.linalg.solve(phi.T @ (phi * weight) + ridge * np.eye(phi.shape[1]) * len(names) / 100, phi.T @ (y * weight))
-    model.weights = (root @ alpha).astype(np.float32)
+    model.told = rows.T @ (root @ alpha).astype(np.float32)
     return model
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, seed: int = 6) -> tuple[list[str], list[str]]:
-    """Texts and languages of about per_language documents of each language, held-out rows apart, by seeded hash."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    n = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
-    if not n:
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most: int = 8000, most_bytes: int = 64 << 20, seed: int = 6) -> tuple[list[str], list[str]]:
+    """Texts with a letter and their languages, held-out rows apart, in an order drawn by seed.
+
+    Of each language per_language documents at most, of all together `most`: first one of each
+    language, then a second, and so on, as long as their texts fit in most_bytes. Ids are ranked, and
+    cut in each task before they are shuffled; only texts of chosen rows move.
+    """
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    keyed = rows.select("_lang", F.xxhash64(F.lit(seed), "_id", "_text").alias("_key"), F.octet_length("_text").cast("long").alias("_size"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_key"))
+    ranked = keyed.withColumn("_rank", rank).where(F.col("_rank") <= per_language).orderBy("_rank", "_key").limit(most).collect()
+    chosen, total = set(), 0
+    for r in ranked:
+        if total + r["_size"] <= most_bytes:
+            total += r["_size"]
+            chosen.add(r["_key"])
+    if not chosen:
         return [], []
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v) * (1 << 30))])
-    got = rows.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) < share[F.col("_lang")]).collect()
-    got.sort(key=lambda r: (str(r["_id"]), r["_text"], r["_lang"]))
-    got = [r for r in got if has_letter(r["_text"])]
+    picked = docs.sparkSession.createDataFrame([(k,) for k in sorted(chosen)], "_key long")
+    got = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_id", "_text")).join(F.broadcast(picked), "_key").dropDuplicates(["_key"]).collect()  # at most `most` rows
+    got = sorted((r for r in got if has_letter(r["_text"])), key=lambda r: r["_key"])
     return [r["_text"] for r in got], [r["_lang"] for r in got]
 
 
-def _predict(model: Kernel):
+def _predict(model: Kernel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             said, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             for at in range(0, batch.num_rows, BATCH):
                 part = [t.as_py() for t in texts[at : at + BATCH]]
-                own = [i for i, t in enumerate(part) if t and has_letter(t)] if model.names else []
+                own = [i for i, t in enumerate(part) if t and has_letter(t)] if model else []
                 if not own:
                     continue
                 s = model.scores([part[i] for i in own])
@@ -137,17 +143,20 @@ def _predict(model: Kernel):
     return run
 
 
-def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> Kernel:
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> Kernel | None:
     return fit(*sample(docs, id_col, text_col, lang_col, per_language))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, keep_text: bool = False) -> DataFrame:
     """One row for each document: id_col, held_out, lang_pred, score; with keep_text all its columns too.
 
-    The model is fitted on about per_language documents of each language that are not held out; the
-    prediction reads the text alone, whole. Null texts and texts without a letter are `und` with score
-    0, as are all where no language can be learned. A tie goes to the language first in order. Repeated
-    rows stay rows; an empty table gives an empty table. One pass over the texts, no shuffle.
+    The model is fitted on at most per_language documents of each language that are not held out (see
+    `sample` for the bounds on all of them together); the prediction reads the text alone, whole,
+    however long it is. Null texts and texts without a letter are `und` with score 0, as are all where
+    no language can be learned. A tie goes to the language first in order. A null id is held out as empty
+    text would be. Repeated rows stay rows, columns of docs keep their names (ours get underscores
+    before them where they clash); an empty table gives an empty table. Texts are read twice, for the
+    sample and for the predictions; only ids' hashes and the sample are shuffled.
     """
     small_batches(docs.sparkSession)
     model = _model(docs, id_col, text_col, lang_col, per_language)
@@ -158,7 +167,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return made.select(F.col("id").alias(id_col), held_out("id").alias(out), F.col("lang_pred").alias(said), F.col("score").alias(score))
 
 
-def _with_columns(docs: DataFrame, model: Kernel, id_col: str, text_col: str, said: str, score: str) -> DataFrame:
+def _with_columns(docs: DataFrame, model: Kernel | None, id_col: str, text_col: str, said: str, score: str) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     at = [docs.columns.index(id_col), docs.columns.index(text_col)]

@@ -540,3 +540,59 @@ def test_language_on_held_out_rows(spark):
     assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
     assert {r["lang_pred"] for r in identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
     assert identify(docs.limit(0)).count() == 0
+
+
+def brute_grams(text):
+    marked = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    return {marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)}
+
+
+def test_kernels_count_every_common_gram():
+    from parchmint.llm.language import Kernel, gram_codes
+
+    texts = ["Ab c!d", "abc", "İßx 語る", "", "12", "a" * 5000 + " b", "𐐀𐐨 z"]
+    for x in texts:
+        assert len(gram_codes(x)) == len(brute_grams(x))
+    model = Kernel(np.unique(np.concatenate(list(map(gram_codes, texts)))), np.empty(0), [])
+    for x in texts:
+        for y in texts:
+            a, b = brute_grams(x), brute_grams(y)
+            assert (model.presence([x]) @ model.presence([y]).T)[0, 0] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-5)
+
+
+def test_ridge_on_landmarks_equals_kernel_ridge_when_all_are_landmarks():
+    from parchmint.llm.language import Kernel, fit, gram_codes
+
+    draw = np.random.default_rng(7)
+    texts = ["".join(draw.choice(list("abcdef" if i % 2 else "cdefgh"), 12)) for i in range(40)]
+    names = ["xy"[i % 2] for i in range(40)]
+    got = fit(texts, names).scores(["abcabc", "ghghgh", "cdef"])
+    all_ = [brute_grams(t) for t in texts]
+    kernel = lambda a: np.array([[len(p & q) / (len(p) * len(q)) ** 0.5 for q in all_] for p in a])
+    k = kernel(all_)
+    y = np.array([[1.0 if m == x else -1.0 for x in "xy"] for m in names])
+    want = kernel(map(brute_grams, ["abcabc", "ghghgh", "cdef"])) @ np.linalg.solve(k + 1e-2 * 40 / 100 * np.eye(40), y)
+    assert np.allclose(got, want, atol=2e-3)
+
+
+def test_scripts_that_were_hardly_seen_are_told_apart():
+    from parchmint.llm.language import fit
+
+    draw = np.random.default_rng(0)
+    scripts = {k: [chr(first + i) for i in range(800)] for k, first in (("a", 0x4E00), ("b", 0x6000))}
+    made = lambda n: [("".join(draw.choice(scripts[k], 15)), k) for _ in range(n) for k in "ab"]
+    model, known = fit(*zip(*made(400))), made(300)
+    said = model.scores([t for t, _ in known]).argmax(1)
+    assert np.mean([model.names[i] == k for i, (_, k) in zip(said, known)]) > 0.95
+
+
+def test_language_keeps_clashing_columns_and_very_long_texts(spark):
+    from parchmint.llm.language import identify
+
+    long = "lorem ipsum dolor " * 60_000
+    rows = [(i, ("schaden und ungern " if i % 2 else "lorem ipsum dolor ") * 3, "de" if i % 2 else "la", "p", 0.5) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, long, None, "p", 0.5), (7, long, "la", "p", 0.5)], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = identify(docs, keep_text=True).collect()
+    assert len(got) == 42 and {(r["lang_pred"], r["score"]) for r in got} == {("p", 0.5)}
+    assert all(r["_lang_pred"] == ("de" if r["text"].startswith("sch") else "la") and 0 <= r["_score"] <= 1 for r in got)
+    assert {r["held_out"] for r in identify(docs).collect() if r["doc_id"] is None} == {zlib.crc32(b"") % 4 == 2}
