@@ -70,13 +70,14 @@ def items_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.explode("items").alias("i")).groupBy("doc_id", F.col("i.description").alias("description"), money.money_text(F.col("i.total_price")).alias("total_price")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l_orderkey AS order_id, l_quantity::INT || ' x ' || (l_extendedprice / l_quantity)::DECIMAL(18,2)::VARCHAR AS shape, l_quantity::INT AS quantity, ((l_extendedprice / l_quantity)::DECIMAL(18,2))::VARCHAR AS unit_price,
-    l_extendedprice::DECIMAL(18,2)::VARCHAR AS total_price, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""WITH l AS (SELECT l_orderkey AS order_id, l_quantity::BIGINT AS q, l_extendedprice::DECIMAL(18,2) AS p, (l_extendedprice::DECIMAL(18,2) * 100)::BIGINT AS cents FROM lineitem),
+    u AS (SELECT *, (((2 * cents + q) // (2 * q)) * 0.01::DECIMAL(3,2))::DECIMAL(18,2)::VARCHAR AS unit FROM l)
+    SELECT order_id, q::VARCHAR || ' x ' || unit AS shape, q::INT AS quantity, unit AS unit_price, p::VARCHAR AS total_price, count(*) AS n FROM u GROUP BY ALL""")
 def item_quantities(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of quantity, unit price and total; the order number is the document."""
     rows = table(spark, sf, "lineitem")
     q = F.col("l_quantity").cast("int").cast("string")
-    unit = (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,2)").cast("string")
+    unit = F.round(cents(F.col("l_extendedprice")) / F.col("l_quantity").cast("decimal(10,0)"), 2).cast("decimal(18,2)").cast("string")
     shape = F.concat(q, F.lit(" x "), unit)
     rows = rows.withColumns({"shape": shape, "row": F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")})
     docs = rows.withColumn("doc", F.struct("row", "l_orderkey", "shape"))
@@ -157,13 +158,13 @@ def payment_details(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.col("card_type.value").alias("card_type"), F.col("card_last4.value").alias("last4"), F.col("auth_code.value").alias("auth"), F.size("splits").cast("long").alias("n_splits"))
 
 
-@query("""SELECT c_custkey AS doc_id, 'Corner Store' AS name, (c_custkey % 900 + 1)::VARCHAR || ' Oak Street, Springfield' AS address, '+1555' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS phone,
-    'shop' || c_custkey::VARCHAR || '@example.com' AS email, 'www.shop' || c_custkey::VARCHAR || '.example.com' AS website, 'T' || c_custkey::VARCHAR AS tax_id, 'B' || c_custkey::VARCHAR AS registration_id, 'S' || c_custkey::VARCHAR AS store_id FROM customer""")
+@query("""SELECT c_custkey AS doc_id, 'Corner Store' AS name, (c_custkey % 900 + 1)::VARCHAR || CASE WHEN c_custkey % 10 = 0 THEN ' Oak Street, Springfield' ELSE ' Oak Lane, Springfield' END AS address, '+1555' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS phone,
+    'shop' || c_custkey::VARCHAR || '@example.com' AS email, 'www.shop' || c_custkey::VARCHAR || '.example.com' AS website, 'T' || c_custkey::VARCHAR AS tax_id, 'B' || c_custkey::VARCHAR AS registration_id, CASE WHEN c_custkey % 10 = 0 THEN 'eet' ELSE 'S' || c_custkey::VARCHAR END AS store_id FROM customer""")
 def merchant_block(spark: SparkSession, sf: str) -> DataFrame:
-    """Name, address and contacts of a header."""
+    """Name, address and contacts of a header; every tenth stands in a Street, whose tail reads as a store id."""
     k = F.col("c_custkey").cast("string")
     say = lambda a, b="": F.concat(F.lit(a), k, F.lit(b))
-    street = F.concat((F.col("c_custkey") % 900 + 1).cast("string"), F.lit(" Oak Street"))
+    street = F.concat((F.col("c_custkey") % 900 + 1).cast("string"), F.when(F.col("c_custkey") % 10 == 0, " Oak Street").otherwise(" Oak Lane"))
     texts = [F.lit("Welcome to Corner Store"), street, F.lit("Springfield"), F.concat(F.lit("Tel: +1555"), F.lpad((F.col("c_custkey") % 10000000).cast("string"), 7, "0")), say("Email shop", "@example.com"), say("www.shop", ".example.com"), say("TIN: T"), say("CRN: B"), say("STORE: S"), F.lit("Soap 1.00"), F.lit("TOTAL 1.00")]
     got = extract.fields(line_views(single_lines(table(spark, sf, "customer"), "c_custkey", *texts)))
     v = lambda c: F.col(f"{c}.value").alias(c)
