@@ -42,14 +42,16 @@ def from_text(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     return docs.select(F.col(id_col).alias("doc_id"), F.when(F.length(text_col) > 0, line).otherwise(F.array().cast("array<struct<text:string,confidence:double,bbox:array<int>>>")).alias("lines"))
 
 
-def line_views(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def line_views(docs: DataFrame, settings: Settings = Settings(), keep_empty: bool = False) -> DataFrame:
     """One row a line: doc_id, idx, raw, confidence, bbox, normalized, keyword, labels, amounts, flags, section.
 
     docs has doc_id and lines array<struct<text, confidence, bbox>>. Each label carries what follows it
     up to the next label and the last amount there. One shuffle by doc_id serves every window; lines of
-    one document, some dozens, are all that meets in a window.
+    one document, some dozens, are all that meets in a window. With keep_empty a document without lines
+    has one blank row whose idx is null.
     """
-    rows = docs.select("doc_id", F.posexplode("lines").alias("idx", "line")).select("doc_id", "idx", F.coalesce("line.text", F.lit("")).alias("raw"), F.coalesce("line.confidence", F.lit(0.5)).alias("confidence"), F.col("line.confidence").isNotNull().alias("measured"), F.col("line.bbox").alias("bbox"))
+    exploded = (F.posexplode_outer if keep_empty else F.posexplode)("lines")
+    rows = docs.select("doc_id", exploded.alias("idx", "line")).select("doc_id", "idx", F.coalesce("line.text", F.lit("")).alias("raw"), F.coalesce("line.confidence", F.lit(0.5)).alias("confidence"), F.col("line.confidence").isNotNull().alias("measured"), F.col("line.bbox").alias("bbox"))
     rows = rows.withColumn("folded", normalize_unicode(F.col("raw"))).withColumn("clean", clean_folded(F.col("folded"))).drop("folded")
     rows = rows.withColumns({"normalized": normalize_numeric_tokens(F.col("clean")), "keyword": keyword_folded(F.col("clean")), "votes": money.separator_votes(F.col("clean")), "corrections": numeric_corrections(F.col("clean"))})
     rows = rows.withColumn("labels", find_labels(F.col("keyword"))).drop("clean")
@@ -80,7 +82,7 @@ def line_views(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     content = F.when(~F.col("blank") & ~F.col("divider"), F.struct("idx", F.get("amounts", F.lit(0)).alias("amount"), (F.size("labels") > 0).alias("labelled"), "confidence", "raw"))
     rows = rows.withColumns({"next": F.min(content).over(ahead.rowsBetween(1, 3)), "next_price_only": F.coalesce(F.lead("price_only").over(ahead), F.lit(False))})
-    return _sections(rows)
+    return _sections(rows.withColumn("values", _values()))
 
 
 def _sections(rows: DataFrame) -> DataFrame:
@@ -108,14 +110,24 @@ def _sections(rows: DataFrame) -> DataFrame:
     return rows.withColumn("section", section)
 
 
-def value_for(category: str) -> Column:
-    """What the first label of a category on a line says, as struct<amount, method, confidence, keyword, own>.
+def _values() -> Column:
+    """For each label of a line what it says, as struct<category, hit struct<amount, method, confidence, keyword, own>>.
 
     The last amount after it, else the last on the line, else the first of the next line with content
     if that line has no label.
     """
-    label = label_of(F.col("labels"), category)
-    pack = lambda amount, method, confidence, own: F.struct(amount.alias("amount"), F.lit(method).alias("method"), confidence.alias("confidence"), label["keyword"].alias("keyword"), own.alias("own"))
-    here = F.coalesce(label["amount"], last(F.col("amounts")))
-    below = F.when(~F.col("next.labelled"), F.col("next.amount"))
-    return F.when(label.isNotNull(), F.coalesce(F.when(here.isNotNull(), pack(here, "KEYWORD_ANCHORED", F.col("confidence"), F.col("raw"))), F.when(below.isNotNull(), pack(below, "SPATIAL", F.col("next.confidence"), F.col("next.raw")))))
+
+    def hit(x: Column) -> Column:
+        def pack(amount: Column, method: str, confidence: str, own: str) -> Column:
+            return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), F.lit(method).alias("method"), F.col(confidence).alias("confidence"), x["keyword"].alias("keyword"), F.col(own).alias("own")))
+
+        here = pack(F.coalesce(x["amount"], last(F.col("amounts"))), "KEYWORD_ANCHORED", "confidence", "raw")
+        below = pack(F.when(~F.col("next.labelled"), F.col("next.amount")), "SPATIAL", "next.confidence", "next.raw")
+        return F.coalesce(here, below)
+
+    return F.transform("labels", lambda x: F.struct(x["category"].alias("category"), hit(x).alias("hit")))
+
+
+def value_for(category: str) -> Column:
+    """What the first label of a category on a line says (see _values), null without one."""
+    return F.get(F.filter("values", lambda x: x["category"] == category), F.lit(0))["hit"]
