@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,14 @@ def maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which uint64 keys may be in the bitmap."""
     at = (keys & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def split_by(bitmap: np.ndarray, wanted: bool):
+    """Rows, for mapInArrow, whose last column, a 64-bit key, may be in the bitmap; or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64)
+            yield batch.filter(pa.array(maybe(bitmap, keys) == wanted))
+
+    return run

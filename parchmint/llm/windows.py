@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmap import key_bitmap, maybe
+from .bitmap import key_bitmap, maybe, split_by
 from .common import distinct_names, raw_text, saved, scratch_path, small_batches
 
 SHINGLE = 8
@@ -246,15 +246,6 @@ def _cut(width: int):
     return run
 
 
-def _split(affected: np.ndarray, wanted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64)
-            yield batch.filter(pa.array(maybe(affected, keys) == wanted))
-
-    return run
-
-
 def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 2, fan: int = 4) -> DataFrame:
     """docs without words covered by a window that also starts in a document with a smaller id.
 
@@ -292,8 +283,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passed = ", ".join([f"`{c}` {kinds[c]}" for c in docs.columns] + [f"`{key}` long"])
     none = F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias(mark)
     columns = [*[F.col(f"`{c}`") for c in rest], F.col(text_col)]
-    clean = keyed.mapInArrow(_split(affected, False), passed).select(*columns, none)
-    hit = keyed.mapInArrow(_split(affected, True), passed).join(lost, (F.col(id_col).cast("long") == F.col(other)) & (F.xxhash64(text_col) == F.col(rows)), "left").select(*columns, F.col(mark))
+    clean = keyed.mapInArrow(split_by(affected, False), passed).select(*columns, none)
+    hit = keyed.mapInArrow(split_by(affected, True), passed).join(lost, (F.col(id_col).cast("long") == F.col(other)) & (F.xxhash64(text_col) == F.col(rows)), "left").select(*columns, F.col(mark))
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"`{text_col}` string", f"`{words}` long", f"`{removed}` long"])
     out = clean.mapInArrow(_cut(width), schema).unionByName(hit.mapInArrow(_cut(width), schema))
     return out.select(*[f"`{c}`" for c in docs.columns], f"`{words}`", f"`{removed}`")
