@@ -13,8 +13,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, scratch_path
+from .common import join_one, saved, scratch_path
 
+#: Copies of one text that one task compares with the located content.
+HOT = 1000
 #: Spark's state store on local disk, snapshots and change logs in the shared folder.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -78,9 +80,12 @@ def dedup_exact(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     largest id stays; rows that share that id too are told apart by their locator, and one stays. A
     null id is smaller than any other. An empty table gives an empty table.
 
-    The stream shuffles 32-byte digests and locators with partial counts, so a text of which a third
-    of all rows are copies is one row for each task. Texts move only for hits, and a join with one row
-    for each digest on the other side compares them: Spark can split its large partitions.
+    Very long texts are compared whole. Other columns are not read. The stream shuffles 32-byte digests
+    and locators with partial counts, so a text of which a third of all rows are copies is one row for
+    each task. Texts of digests that came once do not move as long as the table of the others is small
+    enough for Spark to broadcast. Hits meet the located content in parts of about HOT, for each of
+    which it is repeated, and digests that hold more than a thousandth of all rows are joined by
+    broadcast, so no task gets a group of copies whole.
     """
     state, log = state or scratch_path(spark, "state"), log or scratch_path(spark, "log")
     remember(spark, path, state, log, id_col, text_col, digest, max_bytes)
@@ -88,13 +93,14 @@ def dedup_exact(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     if not _exists(spark, log):
         return table.select(F.col("at.id").alias("id"), F.col("at.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
     known = saved(spark.read.parquet(log).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n")), "known")
-    several = known.where("n > 1").withColumnsRenamed({"digest": "d", "keep": "k"}).drop("n")
-    members = saved(table.join(several, F.col("digest") == F.col("d")).select("digest", "text", (F.col("at") == F.col("k")).alias("first")), "members")
-    located = members.where("first").select(F.col("digest").alias("e"), F.col("text").alias("content"))
-    hits = members.where("not first")
-    unlike = saved(hits.join(located, (F.col("digest") == F.col("e")) & (F.col("text") != F.col("content"))).select("digest").distinct(), "unlike")
-    plain = table.select("digest", "at", F.sha2("text", 256).alias("text_sha256"))
-    told = plain.join(known, "digest").select("digest", "at", "text_sha256", "keep", "n")
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    several = saved(known.where("n > 1").select(F.col("digest").alias("d"), F.col("keep").alias("k"), parts.alias("parts")), "several")
+    members = saved(table.join(several, F.col("digest") == F.col("d")).select("digest", "text", "parts", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), (F.col("at") == F.col("k")).alias("first")), "members")
+    located = members.where("first").select(F.col("digest").alias("e"), F.col("text").alias("content"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("f"))
+    differ = (F.col("digest") == F.col("e")) & (F.col("part") == F.col("f")) & (F.col("text") != F.col("content"))
+    unlike = saved(members.where("not first").join(located, differ).select("digest").distinct(), "unlike")
+    plain = saved(table.select("digest", "at", F.sha2("text", 256).alias("text_sha256")), "digests")
+    told = join_one(plain, known, ["digest"], "n", plain.count()).select("digest", "at", "text_sha256", "keep", "n")
     if unlike.limit(1).count():
         clash = table.join(unlike, "digest", "left_semi")
         groups = clash.groupBy("digest", "text").agg(F.max("at").alias("keep"), F.count("*").alias("n"))
