@@ -59,7 +59,8 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequ
         return len(to) - 2
 
     into = [arc(start, p, 0) for p in range(n)]
-    across = [{s: arc(p, n + s, sum(capacity) * levels + 1) for s in own} for p, own in enumerate(members)]
+    most = sum(capacity) * levels + 1
+    across = [{s: arc(p, n + s, most) for s in own} for p, own in enumerate(members)]
     for s in range(m):
         arc(n + s, end, quota[s])
     used = [0] * n
@@ -157,7 +158,10 @@ def mix(
     index = {s: i for i, s in enumerate(sources)}
     own = [[index[s] for s in names] for names, _ in found]
     caps = [cap for _, cap in found]
-    sizes = [sum(caps[p] for p in range(len(found)) if i in own[p]) for i in range(len(sources))]
+    sizes = [0] * len(sources)
+    for cap, ids in zip(caps, own):
+        for i in ids:
+            sizes[i] += cap
     weights = [weight_cycle[i % len(weight_cycle)] for i in range(len(sources))]
     goal = fill_targets(sizes, weights, share * sum(caps), max_uses)
     flows = route(caps, own, [round(x) for x in goal], max_uses)
