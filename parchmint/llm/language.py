@@ -109,8 +109,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     keyed = rows.select("_lang", F.xxhash64(F.lit(seed), "_id", "_text").alias("_key"), F.octet_length("_text").cast("long").alias("_size"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_key"))
-    ranked = keyed.withColumn("_rank", rank).where(F.col("_rank") <= per_language).orderBy("_rank", "_key").limit(most).collect()
+    for own in (["_lang", F.pmod("_key", F.lit(256))], ["_lang"]):  # a hot language is cut in parts first
+        rank = F.row_number().over(Window.partitionBy(*own).orderBy("_key"))
+        keyed = keyed.withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    ranked = keyed.orderBy("_rank", "_key").limit(most).collect()
     chosen, total = set(), 0
     for r in ranked:
         if total + r["_size"] <= most_bytes:

@@ -61,6 +61,26 @@ def test_route_is_a_flow_of_least_cost():
         assert all(sum(p.values()) <= c for p, c in zip(level, caps))
 
 
+def test_many_patterns_are_routed_in_time():
+    import time
+
+    from parchmint.llm.mixing import route
+
+    start, n = time.monotonic(), 20_000
+    flows = route([10] * n, [[i] for i in range(n)], [15] * n, 2)
+    assert all(sum(level[i][i] for level in flows) == 15 for i in range(n)) and time.monotonic() - start < 20
+
+
+def test_join_one_gives_hot_and_other_keys(spark):
+    from parchmint.llm.common import join_one
+
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 500 + [f"k{i % 70}" for i in range(300)])], "k string, i long")
+    one = rows.groupBy("k").count()
+    for share in (1, 10, 1000):
+        got = join_one(rows, one, ["k"], "count", 800, share).collect()
+        assert len(got) == 800 and {(r["k"], r["count"]) for r in got} == set(map(tuple, one.collect()))
+
+
 def test_mix_comes_near_targets_and_reruns_agree(spark, corpus):
     from pyspark.sql import functions as F
 
@@ -261,11 +281,13 @@ def test_a_weight_moves_rows_into_its_leaf_alone(spark):
 # Line deduplication
 
 
-def test_lines(spark, corpus):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_lines(spark, corpus, few):
     from parchmint.llm.lines import dedup_lines
 
+    corpus = [*corpus, (None, "same line\nown", "a"), (None, None, "b"), (95, "x y\n" * 30_000 + "same line", "a")]
     docs = table(spark, corpus)
-    got = dedup_lines(docs, min_docs=10).collect()
+    got = dedup_lines(docs, min_docs=10, few=few).collect()
     keys = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
     count = Counter(k for _, t, _ in corpus for k in {keys(x) for x in (t or "").split("\n")} - {""})
     want = Counter()
@@ -275,7 +297,7 @@ def test_lines(spark, corpus):
         want[i, "\n".join(kept), s, len(all_), len(all_) - len(kept)] += 1
     assert Counter((r["doc_id"], r["text"], r["source"], r["_n_lines"], r["n_dropped"]) for r in got) == want
     assert any(r["n_dropped"] for r in got) and got[0]["n_lines"] == "b"
-    assert dedup_lines(docs.limit(0)).count() == 0
+    assert dedup_lines(docs.limit(0), few=few).count() == 0
 
 
 # SimHash
