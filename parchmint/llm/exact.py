@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_one, saved, scratch_path
+from .common import exists, join_one, saved, scratch_path
 
 #: Copies of one text that one task compares with the located content.
 HOT = 1000
@@ -90,7 +90,7 @@ def dedup_exact(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     state, log = state or scratch_path(spark, "state"), log or scratch_path(spark, "log")
     remember(spark, path, state, log, id_col, text_col, digest, max_bytes)
     table = _digested(spark.read.parquet(path), id_col, text_col, digest)
-    if not _exists(spark, log):
+    if not exists(spark, log):
         return table.select(F.col("at.id").alias("id"), F.col("at.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
     known = saved(spark.read.parquet(log).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n")), "known")
     parts = F.ceil(F.col("n") / HOT).cast("int")
@@ -108,8 +108,3 @@ def dedup_exact(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         told = told.join(unlike, "digest", "left_anti").unionByName(exact)
     return told.select(F.col("at.id").alias("id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("keep")).alias("kept"), "text_sha256")
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)

@@ -2,9 +2,11 @@
 
 The hash of a window of 50 words is the least hash of its 8-word shingles: equal windows have equal
 hashes, and neighbouring windows mostly share one, so a document has a run of windows (a block) for
-each of a few hashes. The index holds for each hash the documents at its ends in sorted immutable runs.
-A new batch is merge-joined with them; hashes found in two documents are verified by digests of the
-words themselves, first of whole blocks, then of single windows where blocks differ; runs are compacted.
+each of a few hashes. The index holds blocks, each content once with the smallest document that has
+it, in sorted immutable runs. A batch becomes a run, is merge-joined with the older ones, and is
+verified: blocks by 128-bit digests of their words, and where blocks of one hash differ, their single
+windows by what the runs hold of each. Texts of earlier batches are not read again. Runs are compacted
+by levels, and a manifest names them, so an index is opened again later and elsewhere.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import key_bitmap, maybe, split_by
-from .common import distinct_names, raw_text, saved, scratch_path, small_batches
+from .common import distinct_names, exists, join_one, raw_text, remove, saved, scratch_path, small_batches
 
 SHINGLE = 8
 #: Rows that a worker holds before it hands them on.
 ROWS = 20_000
+#: Bytes that a run keeps of each window's own hash; windows are compared only under one 64-bit hash.
+KEPT = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
@@ -54,22 +59,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def window_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """The hash of each window of `width` words; fewer words have none."""
+def _mixed(g: np.ndarray) -> np.ndarray:
+    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        g = (g ^ (g >> np.uint64(shift))) * np.uint64(factor)
+    return g ^ (g >> np.uint64(32))
+
+
+def window_hashes(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of `width` words the least hash of its shingles, and a hash of its own; fewer words have none."""
     n = len(words)
     if n < width:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     k = min(SHINGLE, width)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     up, down = _powers(n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down[:n], dtype=np.uint64)])
-    g = (sums[k:] - sums[:-k]) * up[: n - k + 1]
-    g ^= g >> np.uint64(31)
-    g *= np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(29)
-    g *= np.uint64(0x94D049BB133111EB)
-    g ^= g >> np.uint64(32)
-    return sliding_min(g, width - k + 1)
+    shingles = _mixed((sums[k:] - sums[:-k]) * up[: n - k + 1])
+    return sliding_min(shingles, width - k + 1), _mixed((sums[width:] - sums[:-width]) * up[: n - width + 1])
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,147 +84,165 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(x)]]))
 
 
-def _anchors(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, hashes = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = window_hashes(raw_text(text).split(), width)
-                if len(x):
-                    own = np.unique(x[_runs(x)[0]])
-                    hashes.append(own)
-                    docs.append(np.full(len(own), doc, np.int64))
-            cat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (hashes, docs)]
-            yield pa.RecordBatch.from_arrays([pa.array(cat[0].view(np.int64)), pa.array(cat[1])], ["hash", "doc"])
-
-    return run
-
-
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def block_key(digest: bytes, doc: int, row: int) -> int:
-    """What the filter of open blocks holds, as Spark's xxhash64 of the same bytes."""
-    return xxhash.xxh64_intdigest(digest + doc.to_bytes(8, "big", signed=True) + row.to_bytes(8, "big", signed=True), 42)
-
-
-def _blocks(width: int, known: np.ndarray, open_: np.ndarray | None):
-    """Blocks whose hash may be known; with a filter of open blocks, the single windows of those."""
+def _handed_on(out: list[list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    made = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds.values())], list(kinds))
+    for values in out:
+        values.clear()
+    return made
 
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
-    def told(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["hash", "digest", "doc", "row", "start", "n"])
+def _blocks(width: int, known: np.ndarray | None):
+    """The blocks of texts: all of them with their windows' hashes, or those whose hash may be known with their place."""
+    kinds = {"hash": pa.int64(), "digest": pa.binary(), "doc": pa.int64(), **({"windows": pa.binary()} if known is None else {"row": pa.int64(), "start": pa.int64(), "n": pa.int64()})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in kinds]
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = raw_text(text)
                 words = raw.split()
-                x = window_hashes(words, width)
+                x, own = window_hashes(words, width)
                 if not len(x):
                     continue
                 starts, lengths = _runs(x)
-                keep = np.flatnonzero(maybe(known, x[starts]))
-                if not len(keep):
-                    continue
-                row = xxhash.xxh64_intdigest(raw, 42)
-                row -= (row >> 63) << 64
+                if known is not None:
+                    keep = maybe(known, x[starts])
+                    starts, lengths = starts[keep], lengths[keep]
+                    if not len(starts):
+                        continue
                 flat = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                 begins = np.concatenate([[0], ends[:-1]])
-                made = []
-                for i in keep.tolist():
-                    a, n = int(starts[i]), int(lengths[i])
-                    digest = _digest(flat[begins[a] : ends[a + n + width - 2] - 1])
-                    if open_ is None:
-                        made.append((int(x[a].view(np.int64)), digest, doc, row, a, n))
-                    else:
-                        made.append((a, n, block_key(digest, doc, row)))
-                if open_ is not None:
-                    live = maybe(open_, np.array([m[2] for m in made], np.uint64))
-                    at = [(a, n) for (a, n, _), ok in zip(made, live.tolist()) if ok]
-                    made = [(0, _digest(flat[begins[s] : ends[s + width - 1] - 1]), doc, row, s, 1) for a, n in at for s in range(a, a + n)]
-                for column, values in zip(out, zip(*made)):
-                    column += values
+                froms, tos = begins[starts].tolist(), (ends[starts + lengths + width - 2] - 1).tolist()
+                out[0] += x[starts].view(np.int64).tolist()
+                out[1] += [_digest(flat[a:b]) for a, b in zip(froms, tos)]
+                out[2] += [doc] * len(starts)
+                if known is None:
+                    cut = own.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+                    out[3] += [cut[KEPT * a : KEPT * (a + n)] for a, n in zip(starts.tolist(), lengths.tolist())]
+                else:
+                    row = xxhash.xxh64_intdigest(raw, 42)
+                    out[3] += [row - ((row >> 63) << 64)] * len(starts)
+                    out[4] += starts.tolist()
+                    out[5] += lengths.tolist()
                 if len(out[0]) >= ROWS:
-                    yield told(out)
-                    out = [[] for _ in range(6)]
-            yield told(out)
+                    yield _handed_on(out, kinds)
+        yield _handed_on(out, kinds)
 
     return run
 
 
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of blocks (windows, hash, others): others, hash, the window's own hash and its place."""
+    for batch in batches:
+        raw = [w.as_buffer().to_pybytes() for w in batch.column(0)]
+        n = np.fromiter((len(w) // KEPT for w in raw), np.int64, len(raw))
+        own = np.zeros((int(n.sum()), 8), np.uint8)
+        own[:, :KEPT] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, KEPT)
+        take = pa.array(np.repeat(np.arange(len(raw)), n))
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns[1:]], pa.array(own.view(np.int64).ravel()), pa.array(place)], [*batch.schema.names[1:], "own", "place"])
+
+
 class WindowIndex:
-    """Sorted immutable runs of (hash, low, high): the smallest and largest document of each window hash.
+    """Sorted immutable runs of (hash, digest, low, high, windows): each block once, with the smallest and largest document of it.
 
-    A run is a table bucketed and sorted by hash, so a merge join reads it without a shuffle. When
-    there are more than `fan` runs they are merged into one.
+    A run is a table bucketed and sorted by hash, so merge joins and compaction read it without a
+    shuffle. More than `fan` runs of a level become one of the next. Runs and the manifest that names
+    them lie under path, in the shared folder; an index there is opened again, by any later session.
+    Without a path the index is scratch, and close() removes it.
     """
 
-    def __init__(self, spark: SparkSession, width: int = 50, buckets: int | None = None, fan: int = 4) -> None:
-        self.spark, self.width, self.fan = spark, width, fan
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
+    SCHEMA = "hash long, digest binary, low long, high long, windows binary"
 
-    def _write(self, hashes: DataFrame) -> str:
+    def __init__(self, spark: SparkSession, path: str | None = None, width: int = 50, buckets: int | None = None, fan: int = 4) -> None:
+        self.spark, self.width, self.fan, self.scratch = spark, width, fan, path is None
+        self.path = path or scratch_path(spark, "index")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[str, int]] = []
+        self.version = 0
+        if exists(spark, f"{self.path}/manifest"):
+            rows = spark.read.parquet(f"{self.path}/manifest")
+            last = rows.orderBy("version", ascending=False).first()
+            self.version, self.width, self.buckets = last["version"], last["width"], last["buckets"]
+            self.runs = [(r["run"], r["level"]) for r in rows.where(F.col("version") == self.version).orderBy("place").collect() if r["run"]]
+            for run, _ in self.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (hash BIGINT, digest BINARY, low BIGINT, high BIGINT, windows BINARY) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+
+    def _write(self, blocks: DataFrame) -> str:
         name = f"parchmint_run_{uuid.uuid4().hex[:12]}"
-        (hashes.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", scratch_path(self.spark, "run")).saveAsTable(name))
+        blocks.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
+    def _note(self, runs: list[tuple[str, int]]) -> None:
+        """A new version of the manifest; runs that it does not name go."""
+        self.version += 1
+        rows = [(self.version, i, run, level, self.width, self.buckets) for i, (run, level) in enumerate(runs or [("", 0)])]
+        kind = "version int, place int, run string, level int, width int, buckets int"
+        self.spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        for run, _ in set(self.runs) - set(runs):
+            self.spark.sql(f"DROP TABLE {run}")
+            remove(self.spark, f"{self.path}/{run}")
+        self.runs = runs
+
     def add(self, docs: DataFrame) -> DataFrame:
-        """Take a batch (doc, text) in; returns the hashes it shares with history or among its documents."""
-        made = docs.mapInArrow(_anchors(self.width), "hash long, doc long").groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-        run = self._write(made)
+        """Take a batch (doc, text) in; returns (doc, row, start, n): windows start .. start + n - 1 of its
+        texts that a document with a smaller id has too, in the batch or before.
+
+        Earlier batches are judged no more. A block whose digest a smaller document has is repeated
+        whole; the others of a hash with several digests are compared window by window.
+        """
+        made = docs.mapInArrow(_blocks(self.width, None), "hash long, digest binary, doc long, windows binary")
+        run = self._write(made.groupBy("hash", "digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows")))
         own = self.spark.table(run)
-        known = own.where("low <> high").select("hash")
-        for old in self.runs:
-            known = known.unionByName(own.join(self.spark.table(old).hint("merge"), "hash", "left_semi").select("hash"))
-        found = saved(known.distinct(), "known")
-        self.runs.append(run)
-        if len(self.runs) > self.fan:
-            self.compact()
-        return found
+        heads = own.select("hash", "digest", "low", "high")
+        hashes = heads.groupBy("hash").agg(F.count("*").alias("k"), F.max(F.col("high") > F.col("low")).alias("shared"))
+        older = [self.spark.table(name) for name, _ in self.runs]
+        shared = [t.join(hashes.hint("merge"), "hash", "left_semi") for t in older]
+        related = saved(reduce(DataFrame.unionByName, shared), "related") if shared else own.limit(0)
+        known = saved(hashes.where("k > 1 or shared").select("hash").unionByName(related.select("hash")).distinct(), "known")
+        mine = saved(own.join(known, "hash", "left_semi"), "mine")
+        every = mine.unionByName(related)
+        lows = every.groupBy("hash", "digest").agg(F.min("low").alias("low"))
+        many = saved(every.groupBy("hash").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("hash"), "many")
+        found = saved(docs.mapInArrow(_blocks(self.width, key_bitmap(known, "hash")), "hash long, digest binary, doc long, row long, start long, n long"), "found")
+        total = found.count()
+        counts = found.groupBy("hash", "digest").agg(F.count("*").alias("count"))
+        judged = saved(join_one(found, saved(lows.join(counts, ["hash", "digest"]), "lows"), ["hash", "digest"], "count", total).drop("count"), "judged")
+        whole = judged.where("low < doc").select("doc", "row", "start", "n")
+        unfolded = every.join(many, "hash", "left_semi").select("windows", "hash", "low").mapInArrow(_unfolded, "hash long, low long, own long, place long")
+        first = unfolded.groupBy("hash", "own").agg(F.min("low").alias("least"))
+        contested = judged.where("low = doc").select("hash", "digest", "doc", "row", "start").join(many, "hash", "left_semi")
+        kept = mine.join(many, "hash", "left_semi").select("hash", "digest", "windows")
+        singles = saved(contested.join(kept, ["hash", "digest"]).select("windows", "hash", "doc", "row", "start").mapInArrow(_unfolded, "hash long, doc long, row long, start long, own long, place long"), "singles")
+        least = saved(first.join(singles.groupBy("hash", "own").agg(F.count("*").alias("count")), ["hash", "own"]), "least")
+        parts = join_one(singles, least, ["hash", "own"], "count", singles.count()).where("least < doc")
+        spans = saved(whole.unionByName(parts.select("doc", "row", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("n"))), "spans")
+        self._note([*self.runs, (run, 0)])
+        self.compact()
+        return spans
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        old = self.runs
-        both = None
-        for name in old:
-            table = self.spark.table(name)
-            both = table if both is None else both.unionByName(table)
-        self.runs = [self._write(both.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")))]
-        for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
+        """Merge the runs of each level that has more than `fan`, the lowest first."""
+        level = 0
+        while level <= max((x for _, x in self.runs), default=-1):
+            old = [run for run, x in self.runs if x == level]
+            if len(old) > self.fan:
+                both = reduce(DataFrame.unionByName, map(self.spark.table, old))
+                merged = self._write(both.groupBy("hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows")))
+                self._note([*[(run, x) for run, x in self.runs if x != level], (merged, level + 1)])
+            level += 1
 
     def close(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
-
-
-def repeated_windows(docs: DataFrame, known: DataFrame, width: int = 50) -> DataFrame:
-    """Verified (doc, row, start, n): windows start .. start + n - 1 of a text that a smaller document has too.
-
-    Blocks with equal digests are equal word for word; the smallest document keeps its own and the
-    others' windows are repeated. Where one hash has several different blocks, only each one's first
-    document can still share single windows with another, so only those are compared one by one.
-    """
-    first = key_bitmap(known, "hash")
-    kind = "hash long, digest binary, doc long, row long, start long, n long"
-    blocks = saved(docs.mapInArrow(_blocks(width, first, None), kind), "blocks")
-    classes = saved(blocks.groupBy("hash", "digest").agg(F.min(F.struct("doc", "row")).alias("first"), F.max("doc").alias("high")), "blocks")
-    several = classes.where(F.col("first.doc") < F.col("high")).select("hash", "digest", F.col("first.doc").alias("low"))
-    whole = blocks.join(several, ["hash", "digest"]).where("low < doc").select("doc", "row", "start", "n")
-    many = classes.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    left = classes.join(many, "hash", "left_semi").select(F.xxhash64(F.concat("digest", *[F.unhex(F.lpad(F.hex(f"first.{c}"), 16, "0")) for c in ("doc", "row")])).alias("key"))
-    second = key_bitmap(left, "key")
-    single = saved(docs.mapInArrow(_blocks(width, first, second), kind).select("digest", "doc", "row", "start", "n"), "windows")
-    lows = saved(single.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("digest", "low"), "windows")
-    parts = single.join(lows, "digest").where("low < doc").select("doc", "row", "start", "n")
-    return whole.unionByName(parts)
+        """Forget the tables; files stay for the next to open the index, unless it is scratch."""
+        for run, _ in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        if self.scratch:
+            remove(self.spark, self.path)
 
 
 def _cut(width: int):
@@ -246,34 +270,36 @@ def _cut(width: int):
     return run
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 2, fan: int = 4) -> DataFrame:
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 4, fan: int = 2, index: WindowIndex | None = None) -> DataFrame:
     """docs without words covered by a window that also starts in a document with a smaller id.
 
     Returns all columns of docs, text_col with the kept words joined by one space, and n_words and
-    n_removed. Words split at ASCII white space. Windows are judged on the input. Null text has no
-    words and comes back empty; a text of fewer words than a window keeps them all. Rows of one id
-    remove nothing from each other; a null id removes nothing and loses nothing. An empty table gives
-    an empty table.
-
-    Documents enter the index in `batches` ranges of ids. Hashes, block digests and spans are shuffled;
-    a passage that a third of all documents share is one row for each task after partial aggregates
-    and a key that joins can split. Texts are shuffled only for documents that lose words (and the few
-    that a filter of fixed size lets through).
+    n_removed. Words split at ASCII white space. Windows are judged on the input, whole texts however
+    long. Null text has no words and comes back empty; a text of fewer words than a window keeps them
+    all. Rows of one id remove nothing from each other; a null id removes nothing and loses nothing. An
+    empty table gives an empty table.
+
+    With an index docs are one more batch of it, judged against all that it holds. Else they enter a
+    scratch index in `batches` ranges of ids, smaller ids first, which gives the same as one batch.
+    Blocks, window hashes and spans are shuffled; a passage that a third of all documents share is one
+    row for each task after partial aggregates, and blocks that hold more than a thousandth of all rows
+    are joined by broadcast. Texts are shuffled only for documents that lose words (and the few that a
+    filter of fixed size lets through).
     """
     spark = docs.sparkSession
     small_batches(spark)
     words, removed = distinct_names(docs.columns, "n_words", "n_removed")
     small = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    ends = small.agg(F.min("doc").alias("a"), F.max("doc").alias("b")).collect()[0]
-    index = WindowIndex(spark, width, fan=fan)
-    low, high = (ends["a"], ends["b"]) if ends["a"] is not None else (0, 0)
-    cuts = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1]
-    known = None
-    for a, b in zip(cuts, cuts[1:]):
-        found = index.add(small.where((F.col("doc") >= a) & (F.col("doc") < b)))
-        known = found if known is None else known.unionByName(found)
-    spans = saved(repeated_windows(small, known, width), "spans")
-    index.close()
+    if index is None:
+        own = WindowIndex(spark, width=width, fan=fan)
+        ends = small.agg(F.min("doc").alias("a"), F.max("doc").alias("b")).first()
+        low, high = (ends["a"], ends["b"]) if ends["a"] is not None else (0, 0)
+        cuts = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1]
+        found = [own.add(small.where((F.col("doc") >= a) & (F.col("doc") < b))) for a, b in zip(cuts, cuts[1:])]
+        spans = reduce(DataFrame.unionByName, found)
+        own.close()
+    else:
+        width, spans = index.width, index.add(small)
     rows, mark, other, key = distinct_names([*docs.columns, words, removed], "_row", "_spans", "_doc", "_key")
     lost = spans.groupBy(F.col("doc").alias(other), F.col("row").alias(rows)).agg(F.collect_list(F.struct("start", "n")).alias(mark))
     affected = key_bitmap(spans.select(F.xxhash64("doc").alias("key")).distinct(), "key")
