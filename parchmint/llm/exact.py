@@ -13,7 +13,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, join_one, saved, scratch_path
+from .bitmap import key_bitmap, split_by
+from .common import exists, join_one, saved, scratch_path, small_batches
 
 #: Copies of one text that one task compares with the located content.
 HOT = 1000
@@ -82,21 +83,26 @@ def dedup_exact(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
     Very long texts are compared whole. Other columns are not read. The stream shuffles 32-byte digests
     and locators with partial counts, so a text of which a third of all rows are copies is one row for
-    each task. Texts of digests that came once do not move as long as the table of the others is small
-    enough for Spark to broadcast. Hits meet the located content in parts of about HOT, for each of
+    each task. Texts move only for digests that came more than once and the few others that a filter of
+    fixed size lets through. Hits meet the located content in parts of about HOT, for each of
     which it is repeated, and digests that hold more than a thousandth of all rows are joined by
     broadcast, so no task gets a group of copies whole.
     """
     state, log = state or scratch_path(spark, "state"), log or scratch_path(spark, "log")
+    small_batches(spark)
     remember(spark, path, state, log, id_col, text_col, digest, max_bytes)
     table = _digested(spark.read.parquet(path), id_col, text_col, digest)
     if not exists(spark, log):
         return table.select(F.col("at.id").alias("id"), F.col("at.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
     known = saved(spark.read.parquet(log).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n")), "known")
+    several = saved(known.where("n > 1").select("digest", F.col("keep").alias("k"), "n"), "several")
+    key = F.xxhash64("digest").alias("key")
+    passed = "text binary, digest binary, at struct<id:bigint,file:string,row:bigint>, key bigint"
+    hits = saved(table.select("text", "digest", "at", key).mapInArrow(split_by(key_bitmap(several.select(key), "key"), True), passed).drop("key"), "hits")
     parts = F.ceil(F.col("n") / HOT).cast("int")
-    several = saved(known.where("n > 1").select(F.col("digest").alias("d"), F.col("keep").alias("k"), parts.alias("parts")), "several")
-    members = saved(table.join(several, F.col("digest") == F.col("d")).select("digest", "text", "parts", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), (F.col("at") == F.col("k")).alias("first")), "members")
-    located = members.where("first").select(F.col("digest").alias("e"), F.col("text").alias("content"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("f"))
+    joined = join_one(hits, several, ["digest"], "n", hits.count()).withColumn("parts", parts)
+    members = saved(joined.select("digest", "text", "parts", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), (F.col("at") == F.col("k")).alias("first")), "members")
+    located = members.where("first").select(F.col("digest").alias("e"), F.col("text").alias("content"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("f")).hint("merge")
     differ = (F.col("digest") == F.col("e")) & (F.col("part") == F.col("f")) & (F.col("text") != F.col("content"))
     unlike = saved(members.where("not first").join(located, differ).select("digest").distinct(), "unlike")
     plain = saved(table.select("digest", "at", F.sha2("text", 256).alias("text_sha256")), "digests")
