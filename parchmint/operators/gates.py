@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.config import Settings
@@ -46,6 +46,26 @@ def grounded(claim: Column, document: Column) -> Column:
     return F.coalesce((needle != "") & F.contains(bare(document), needle), F.lit(False))
 
 
+def holders(claims: DataFrame, docs: DataFrame, piece: int = 16) -> DataFrame:
+    """(item_id, doc_id) of bare claims (item_id, c) that stand in bare documents (doc_id, t).
+
+    A document is cut in pieces of `piece` characters; a claim of twice as many less one that stands in
+    it covers a whole piece, whichever way the cuts fall, so it is looked up by its pieces at each of
+    the first offsets. Shorter claims go by pieces of half their length. Pairs found so are checked.
+    """
+    size = F.least(F.lit(piece), F.floor((F.length("c") + 1) / 2)).cast("int")
+    claims = claims.where("c <> ''").withColumn("w", size)
+    each = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda o: F.substr(F.col("c"), o + 1, F.col("w")))
+    sought = claims.select("item_id", "w", F.explode(F.array_distinct(each)).alias("piece"))
+    sizes = [r["w"] for r in claims.select("w").distinct().collect()]  # at most `piece` numbers
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("t") / F.col("w")) - 1), lambda i: F.substr(F.col("t"), (i * F.col("w") + 1).cast("int"), F.col("w")))
+    sized = docs.withColumn("w", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(F.length("t") >= F.col("w"))
+    held = sized.select("doc_id", "w", F.explode(F.array_distinct(cut)).alias("piece"))
+    pairs = held.join(sought, ["w", "piece"]).select("item_id", "doc_id").distinct()
+    told = pairs.join(claims.select("item_id", "c"), "item_id").join(docs, "doc_id")
+    return told.where(F.contains(F.col("t"), F.col("c"))).select("item_id", "doc_id")
+
+
 def as_text(value: Column) -> Column:
     """A model's text, null for placeholders."""
     t = collapsed(value)

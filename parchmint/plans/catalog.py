@@ -273,8 +273,16 @@ def emails(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", identifiers.email(F.col("text")).alias("email")).where("email is not null")
 
 
-@query()
+@query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '555010' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') WHEN 1 THEN '+1555010' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') END AS phone FROM customer""")
 def phones(spark: SparkSession, sf: str) -> DataFrame:
+    """A labelled number, one with an international prefix, and a bare one, which is none."""
+    k, tail = F.col("c_custkey"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    shown = F.when(k % 3 == 0, F.concat(F.lit("Tel: (555) 010-"), tail)).when(k % 3 == 1, F.concat(F.lit("+1 555 010 "), tail)).otherwise(F.concat(F.lit("555010"), tail))
+    return table(spark, sf, "customer").select(k.alias("id"), identifiers.phone(shown).alias("phone"))
+
+
+@query()
+def document_phones(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents that carry a phone number."""
     rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("t")).where(F.col("t").rlike(r"\d{3}"))
     return rows.select("doc_id", identifiers.phone(F.col("t")).alias("phone")).where("phone is not null")
@@ -368,10 +376,13 @@ def issues_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.transform("issues", lambda x: F.concat_ws(":", x["code"], x["severity"])).alias("issues"), (F.size(validate.of_severity(F.col("issues"), "ERROR")) == 0).alias("is_valid"))
 
 
-@query("""SELECT user_id, round(sum(least(value, 100) / 100 * length(event_type)) / sum(length(event_type)), 6) AS mean FROM events GROUP BY user_id""")
+@query("""SELECT user_id AS doc_id, round(sum(least(value, 100) / 100 * length(event_type)) / sum(length(event_type)), 6) AS mean FROM events GROUP BY user_id""")
 def length_weighted_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    c, n = F.least("value", F.lit(100.0)) / 100, F.length("event_type")
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(c * n) / F.sum(n), 6).alias("mean"))
+    """Events of a user as recognised lines: the score of the whole text by the length of its lines."""
+    line = F.struct("event_id", F.struct(F.col("event_type").alias("text"), (F.least("value", F.lit(100.0)) / 100).alias("confidence"), F.lit(None).cast("array<int>").alias("bbox")).alias("line"))
+    docs = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    got = extract.fields(line_views(docs.select("doc_id", F.transform("l", lambda x: x["line"]).alias("lines"))))
+    return got.select("doc_id", F.round("mean_confidence", 6).alias("mean"))
 
 
 @query("""WITH e AS (SELECT user_id, least(max(value) FILTER (event_type = 'click'), 100) / 100 AS a, least(max(value) FILTER (event_type = 'view'), 100) / 100 AS b, least(max(value) FILTER (event_type = 'error'), 100) / 100 AS c FROM events GROUP BY user_id)
@@ -448,11 +459,10 @@ def greedy_item_match(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH d AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^0-9A-Za-z]+', '', 'g')) AS t FROM documents), b AS (SELECT item_id, lower(regexp_replace(text, '[^0-9A-Za-z]+', '', 'g')) AS t FROM benchmark)
     SELECT item_id, doc_id FROM d, b WHERE b.t <> '' AND contains(d.t, b.t)""")
 def grounded_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages that a document holds, compared as claims are with documents; passages are few."""
-    claims = table(spark, sf, "benchmark").select("item_id", gates.bare(F.col("text")).alias("c")).where("c <> ''").agg(F.collect_list(F.struct("item_id", "c")).alias("all"))
-    docs = table(spark, sf, "documents").select("doc_id", gates.bare(F.coalesce("text", F.lit(""))).alias("t")).join(F.broadcast(claims))
-    hits = F.transform(F.filter("all", lambda x: F.contains(F.col("t"), x["c"])), lambda x: x["item_id"])
-    return docs.select(F.explode(hits).alias("item_id"), "doc_id")
+    """Passages that a document holds, compared as claims are with documents."""
+    claims = table(spark, sf, "benchmark").select("item_id", gates.bare(F.col("text")).alias("c")).where("c <> ''")
+    docs = table(spark, sf, "documents").select("doc_id", gates.bare(F.coalesce("text", F.lit(""))).alias("t"))
+    return gates.holders(claims, docs)
 
 
 @query(r"""SELECT doc_id, sha256('<<<RECEIPT_DOCUMENT_BEGIN>>>' || chr(10) || left(t, 20000) || CASE WHEN length(t) > 20000 THEN chr(10) || '[TRUNCATED]' ELSE '' END || chr(10) || '<<<RECEIPT_DOCUMENT_END>>>') AS prompt

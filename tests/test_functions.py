@@ -152,3 +152,14 @@ def test_vocabulary_is_normalised():
     words = [w for own in VOCABULARY.values() for w in own]
     assert len(VOCABULARY) == 17 and len(words) == 274
     assert all(w == unicodedata.normalize("NFKC", w).upper() for w in words)
+
+
+def test_holders_of_claims_equal_plain_search(spark):
+    from parchmint.operators.gates import holders
+
+    base = "abcdefghijklmnopqrstuvwxyz0123456789" * 2
+    claims = [(1, base[3:40]), (2, base[5:12]), (3, "z"), (4, "notthere"), (5, ""), (6, base[:31]), (7, base[20:51]), (8, "qq" * 30)]
+    docs = [(10, base), (11, "x" + base[4:60]), (12, ""), (13, "z"), (14, "q" * 90), (15, base[5:11])]
+    got = holders(spark.createDataFrame(claims, "item_id long, c string"), spark.createDataFrame(docs, "doc_id long, t string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, d) for i, c in claims for d, t in docs if c and c in t)
+    assert holders(spark.createDataFrame([], "item_id long, c string"), spark.createDataFrame(docs, "doc_id long, t string")).count() == 0
