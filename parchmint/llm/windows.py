@@ -196,6 +196,13 @@ class WindowIndex:
         Earlier batches are judged no more. A block whose digest a smaller document has is repeated
         whole; the others of a hash with several digests are compared window by window.
         """
+        passing: list[str] = []
+
+        def kept_for_now(df: DataFrame, name: str) -> DataFrame:
+            passing.append(scratch_path(self.spark, name))
+            df.write.parquet(passing[-1])
+            return self.spark.read.schema(df.schema).parquet(passing[-1])
+
         made = docs.mapInArrow(_blocks(self.width, None), "hash long, digest binary, doc long, windows binary")
         run = self._write(made.groupBy("hash", "digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows")))
         own = self.spark.table(run)
@@ -203,25 +210,27 @@ class WindowIndex:
         hashes = heads.groupBy("hash").agg(F.count("*").alias("k"), F.max(F.col("high") > F.col("low")).alias("shared"))
         older = [self.spark.table(name) for name, _ in self.runs]
         shared = [t.join(hashes.hint("merge"), "hash", "left_semi") for t in older]
-        related = saved(reduce(DataFrame.unionByName, shared), "related") if shared else own.limit(0)
-        known = saved(hashes.where("k > 1 or shared").select("hash").unionByName(related.select("hash")).distinct(), "known")
-        mine = saved(own.join(known, "hash", "left_semi"), "mine")
+        related = kept_for_now(reduce(DataFrame.unionByName, shared), "related") if shared else own.limit(0)
+        known = kept_for_now(hashes.where("k > 1 or shared").select("hash").unionByName(related.select("hash")).distinct(), "known")
+        mine = kept_for_now(own.join(known, "hash", "left_semi"), "mine")
         every = mine.unionByName(related)
         lows = every.groupBy("hash", "digest").agg(F.min("low").alias("low"))
-        many = saved(every.groupBy("hash").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("hash"), "many")
-        found = saved(docs.mapInArrow(_blocks(self.width, key_bitmap(known, "hash")), "hash long, digest binary, doc long, row long, start long, n long"), "found")
+        many = kept_for_now(every.groupBy("hash").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("hash"), "many")
+        found = kept_for_now(docs.mapInArrow(_blocks(self.width, key_bitmap(known, "hash")), "hash long, digest binary, doc long, row long, start long, n long"), "found")
         total = found.count()
         counts = found.groupBy("hash", "digest").agg(F.count("*").alias("count"))
-        judged = saved(join_one(found, saved(lows.join(counts, ["hash", "digest"]), "lows"), ["hash", "digest"], "count", total).drop("count"), "judged")
+        judged = kept_for_now(join_one(found, kept_for_now(lows.join(counts, ["hash", "digest"]), "lows"), ["hash", "digest"], "count", total).drop("count"), "judged")
         whole = judged.where("low < doc").select("doc", "row", "start", "n")
         unfolded = every.join(many, "hash", "left_semi").select("windows", "hash", "low").mapInArrow(_unfolded, "hash long, low long, own long, place long")
         first = unfolded.groupBy("hash", "own").agg(F.min("low").alias("least"))
         contested = judged.where("low = doc").select("hash", "digest", "doc", "row", "start").join(many, "hash", "left_semi")
         kept = mine.join(many, "hash", "left_semi").select("hash", "digest", "windows")
-        singles = saved(contested.join(kept, ["hash", "digest"]).select("windows", "hash", "doc", "row", "start").mapInArrow(_unfolded, "hash long, doc long, row long, start long, own long, place long"), "singles")
-        least = saved(first.join(singles.groupBy("hash", "own").agg(F.count("*").alias("count")), ["hash", "own"]), "least")
+        singles = kept_for_now(contested.join(kept, ["hash", "digest"]).select("windows", "hash", "doc", "row", "start").mapInArrow(_unfolded, "hash long, doc long, row long, start long, own long, place long"), "singles")
+        least = kept_for_now(first.join(singles.groupBy("hash", "own").agg(F.count("*").alias("count")), ["hash", "own"]), "least")
         parts = join_one(singles, least, ["hash", "own"], "count", singles.count()).where("least < doc")
         spans = saved(whole.unionByName(parts.select("doc", "row", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("n"))), "spans")
+        for path in passing:
+            remove(self.spark, path)
         self._note([*self.runs, (run, 0)])
         self.compact()
         return spans
