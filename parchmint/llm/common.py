@@ -77,16 +77,17 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], spread:
     return joined.withColumn(out, total.cast("long")).drop(*[f"_g{i}" for i in range(len(group))], "_b", "_start", "_bucket")
 
 
-def join_one(rows: DataFrame, one: DataFrame, on: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
+def join_one(rows: DataFrame, one: DataFrame, on: list[str], count: str, total: int, share: int = 1000, alike: bool = False) -> DataFrame:
     """rows joined with the one row that `one` has for each key, where a key may hold a third of all rows.
 
     `one` has in `count` how many of the `total` rows have its key. Keys with more than 1/share of them
-    are fewer than share, so those go by broadcast; what is left has no hot key and is shuffled, at
-    every size alike. Both sides are read twice: they are best tables.
+    are fewer than share, so those go by broadcast; what is left has no hot key; `alike` has
+    it shuffled at every size, even where Spark would broadcast a small side. Both sides are read twice: they are best tables.
     """
     many = F.col(count) * share > total
     hot = F.broadcast(one.where(many))  # fewer than `share` rows
-    cold = rows.join(hot.select(*on), on, "left_anti").join(one.where(~many).hint("merge"), on)
+    few = one.where(~many)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(few.hint("merge") if alike else few, on)
     return rows.join(hot, on).unionByName(cold)
 
 

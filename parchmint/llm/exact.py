@@ -100,13 +100,13 @@ def dedup_exact(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     passed = "text binary, digest binary, at struct<id:bigint,file:string,row:bigint>, key bigint"
     hits = saved(table.select("text", "digest", "at", key).mapInArrow(split_by(key_bitmap(several.select(key), "key"), True), passed).drop("key"), "hits")
     parts = F.ceil(F.col("n") / HOT).cast("int")
-    joined = join_one(hits, several, ["digest"], "n", hits.count()).withColumn("parts", parts)
+    joined = join_one(hits, several, ["digest"], "n", hits.count(), alike=True).withColumn("parts", parts)
     members = saved(joined.select("digest", "text", "parts", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), (F.col("at") == F.col("k")).alias("first")), "members")
     located = members.where("first").select(F.col("digest").alias("e"), F.col("text").alias("content"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("f")).hint("merge")
     differ = (F.col("digest") == F.col("e")) & (F.col("part") == F.col("f")) & (F.col("text") != F.col("content"))
     unlike = saved(members.where("not first").join(located, differ).select("digest").distinct(), "unlike")
     plain = saved(table.select("digest", "at", F.sha2("text", 256).alias("text_sha256")), "digests")
-    told = join_one(plain, known, ["digest"], "n", plain.count()).select("digest", "at", "text_sha256", "keep", "n")
+    told = join_one(plain, known, ["digest"], "n", plain.count(), alike=True).select("digest", "at", "text_sha256", "keep", "n")
     if unlike.limit(1).count():
         clash = table.join(unlike, "digest", "left_semi")
         groups = clash.groupBy("digest", "text").agg(F.max("at").alias("keep"), F.count("*").alias("n"))
