@@ -91,12 +91,17 @@ def field_accuracy(scores: DataFrame) -> DataFrame:
 
 
 def summary(scores: DataFrame, items: DataFrame) -> DataFrame:
-    """One row: exact-match rate, mean item F1 and documents that failed a field."""
-    docs = scores.groupBy("doc_id").agg(F.min(F.col("correct").cast("int")).alias("exact"))
-    both = docs.join(items.select("doc_id", "f1"), "doc_id", "left")
+    """One row: exact-match rate, mean item F1 and documents that failed a field or an item."""
+    docs = scores.groupBy("doc_id").agg(F.min(F.col("correct").cast("int")).alias("right"))
+    both = docs.join(items.select("doc_id", "f1"), "doc_id", "left").withColumn("exact", F.when(F.coalesce("f1", F.lit(1.0)) >= 1.0, F.col("right")).otherwise(0))
     return both.agg(F.round(F.coalesce(F.avg("exact"), F.lit(0.0)), 4).alias("exact_match_rate"), F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 4).alias("mean_item_f1"), F.coalesce(F.sum(1 - F.col("exact")), F.lit(0)).alias("failures"), F.count("*").alias("documents"))
 
 
+def gate(report: DataFrame, least: float) -> DataFrame:
+    """A summary with `passed`: its exact-match rate is not below the least one."""
+    return report.withColumn("passed", F.col("exact_match_rate") >= least)
+
+
 def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Paths (doc_id, path, expected, actual) whose values differ in two long tables (doc_id, path, value)."""
     e, a = expected.withColumnRenamed("value", "expected"), actual.withColumnRenamed("value", "actual")

@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from parchmint.functions.spans import nonblank, strip
 from parchmint.functions.text import collapsed
 
+from .gates import as_text
+
 # Where sentences end, bounds of requests.
 SENTENCE = r"(?<=[.!?])\s+"
 RATING, SENTENCES, QUESTIONS = (1, 5, 3), (4, 6, 5), (1, 10, 5)
+TONES = {
+    "balanced": "Even-handed. Note what works and what does not.",
+    "positive": "Favourable, while staying believable and specific.",
+    "critical": "Candid about shortcomings, but fair rather than hostile.",
+    "enthusiastic": "Warm and energetic, without becoming advertising copy.",
+    "professional": "Measured and factual, as in a trade publication.",
+}
+OWN_WORDS = "Written by AI from answers supplied by the reviewer. The experience described comes from the reviewer, the wording from the model."
+MADE_UP = "AI-generated sample content. No verified customer experience was supplied, so this must not be presented as a genuine customer review."
+NO_OUTPUT = "LLM_INVALID_OUTPUT"
 
 
 def sentences(text: Column) -> Column:
@@ -54,3 +66,28 @@ def prompt(product: Column, answers: Column, tone: Column) -> Column:
 def request_error(n_sentences: Column, count: Column, rating: Column) -> Column:
     """The first limit that a request breaks, null if none."""
     return F.when(~n_sentences.between(*SENTENCES[:2]), "sentences").when(~count.between(*QUESTIONS[:2]), "count").when(~rating.between(*RATING[:2]), "rating")
+
+
+def tone_guidance(tone: Column) -> Column:
+    """What a tone asks of the writer; null for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in TONES.items() for x in pair]), F.lower(tone))
+
+
+def generated(product: Column, answers: Column, n: int, requested: Column, title: Column, body: Column, rating: Column) -> Column:
+    """struct<title, body, sentence_count, rating, ai_generated, disclosure, error> of a model's answer.
+
+    The review rests on the reviewer's own experience only if answers came with the request; what the
+    model says of itself does not count. Without a body there is an error and nothing else.
+    """
+    text = first_sentences(as_text(body), n)
+    own = F.coalesce(F.size(answers) > 0, F.lit(False))
+    found = text.isNotNull() & (text != "")
+    return F.struct(
+        F.when(found, F.coalesce(as_text(title), F.concat(F.lit("Review of "), product))).alias("title"), F.when(found, text).alias("body"), F.when(found, sentence_count(text)).cast("long").alias("sentence_count"),
+        F.when(found, resolve_rating(requested, rating)).alias("rating"), (~own).alias("ai_generated"), F.when(own, OWN_WORDS).otherwise(MADE_UP).alias("disclosure"), F.when(~F.coalesce(found, F.lit(False)), NO_OUTPUT).alias("error"),
+    )
+
+
+def questions_error(raw: Column, count: int) -> Column:
+    """The error of an answer without a question, null if there is one."""
+    return F.when(F.size(questions(raw, count)) == 0, NO_OUTPUT)

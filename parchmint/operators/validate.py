@@ -10,9 +10,10 @@ from parchmint.functions.currency import CODES
 from parchmint.functions.money import MONEY, money_text, tolerance
 from parchmint.functions.text import has_suspicious_characters
 
-ISSUE = "struct<code:string,severity:string,field:string,context:map<string,string>>"
-#: Warnings of fields that are issues too, and plausibility limits.
-PROMOTED = ("AMBIGUOUS_DATE_FORMAT", "INVALID_DATE", "IMPLAUSIBLE_DATE", "INVALID_TIME", "AMBIGUOUS_CURRENCY", "MULTIPLE_CURRENCIES_DETECTED")
+from .messages import HUGE_ITEM, MESSAGES, PROMOTED, TENDER, UNRESOLVED_DATE
+
+ISSUE = "struct<code:string,severity:string,message:string,field:string,context:map<string,string>>"
+#: Plausibility limits.
 MAX_ITEM, FUTURE_DAYS, MAX_YEARS, MIN_TEXT, MIN_LINES = 1_000_000, 2, 25, 20, 3
 PATHS = {
     "merchant.name": "merchant_name", "merchant.address": "address", "merchant.phone": "phone", "merchant.email": "email", "merchant.website": "website",
@@ -22,11 +23,13 @@ PATHS = {
 }
 
 
-def issue(code: str | Column, severity: str, field: str | Column | None = None, **context: Column) -> Column:
+def issue(code: str | Column, severity: str, field: str | Column | None = None, message: str | Column | None = None, **context: Column) -> Column:
+    """An issue; its message is that of its code unless one is given."""
     pairs = [F.lit(x) if isinstance(x, str) else x.cast("string") for k, v in context.items() for x in (k, v)]
     told = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
     text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
-    return F.struct(text(code).alias("code"), F.lit(severity).alias("severity"), text(field).alias("field"), told.alias("context")).cast(ISSUE)
+    message = MESSAGES.get(code) if message is None and isinstance(code, str) else message
+    return F.struct(text(code).alias("code"), F.lit(severity).alias("severity"), text(message).alias("message"), text(field).alias("field"), told.alias("context")).cast(ISSUE)
 
 
 def amount(name: str) -> Column:
@@ -55,7 +58,7 @@ def financial_issues(subtotal: Column, total: Column, tax: Column, discount: Col
         F.when(subtotal.isNull() & ~taxed & (F.abs(items_sum - total) > tol(total)), issue("SUBTOTAL_MISMATCH", "WARNING", "total", items_sum=money_text(items_sum), reported=money_text(total), difference=money_text(F.abs(items_sum - total)))),
         F.when(gap > tol(total), issue("TOTAL_MISMATCH", "ERROR", "total", reported=money_text(total), difference=money_text(gap), tolerance=money_text(tol(total)))),
         F.when((F.coalesce(discount, F.lit(0)) == 0) & (subtotal > total + tol(total)), issue("SUBTOTAL_EXCEEDS_TOTAL", "WARNING", "subtotal", subtotal=money_text(subtotal), total=money_text(total))),
-        F.when(F.abs(tendered - change - total) > tol(total), issue("TOTAL_MISMATCH", "WARNING", "payment.amount_paid", implied_total=money_text(tendered - change), reported_total=money_text(total))),
+        F.when(F.abs(tendered - change - total) > tol(total), issue("TOTAL_MISMATCH", "WARNING", "payment.amount_paid", TENDER, implied_total=money_text(tendered - change), reported_total=money_text(total))),
         F.when((n_parts >= 2) & (F.abs(tax_parts - tax) > tol(tax)), issue("TAX_MISMATCH", "WARNING", "tax.total", detail_sum=money_text(tax_parts), reported=money_text(tax))),
     ]
 
@@ -63,8 +66,8 @@ def financial_issues(subtotal: Column, total: Column, tax: Column, discount: Col
 def recognition_issues(settings: Settings = Settings()) -> list[Column]:
     text = F.col("full_text")
     return [
-        F.when(F.col("measured") == 0, issue("OCR_CONFIDENCE_UNAVAILABLE", "INFO")).when((F.col("mean_confidence") > 0) & (F.col("mean_confidence") < settings.low_ocr_confidence), issue("OCR_LOW_CONFIDENCE", "WARNING", None, mean_confidence=F.round("mean_confidence", 3))),
-        F.when((F.length(F.trim(text)) < MIN_TEXT) | (F.col("line_count") < MIN_LINES), issue("OCR_SPARSE_TEXT", "WARNING", None, characters=F.length(F.trim(text)), lines=F.col("line_count"))),
+        F.when(F.col("measured") == 0, issue("OCR_CONFIDENCE_UNAVAILABLE", "INFO")).when((F.col("mean_confidence") > 0) & (F.col("mean_confidence") < settings.low_ocr_confidence), issue("OCR_LOW_CONFIDENCE", "WARNING", mean_confidence=F.round("mean_confidence", 3))),
+        F.when((F.length(F.trim(text)) < MIN_TEXT) | (F.col("line_count") < MIN_LINES), issue("OCR_SPARSE_TEXT", "WARNING", characters=F.length(F.trim(text)), lines=F.col("line_count"))),
         F.when(has_suspicious_characters(text), issue("OCR_SUSPICIOUS_CHARACTERS", "WARNING")),
         F.when(F.col("geometry") == 0, issue("OCR_NO_GEOMETRY", "INFO")),
     ]
@@ -74,7 +77,7 @@ def required_issues() -> list[Column]:
     return [
         F.when(F.col("merchant_name.value").isNull(), issue("MISSING_MERCHANT_NAME", "WARNING", "merchant.name")),
         F.when(F.col("total.value").isNull(), issue("MISSING_TOTAL", "WARNING", "total")),
-        F.when(F.col("date.value").isNull(), issue("MISSING_DATE", "WARNING", "transaction.date", raw=F.col("date.raw"))),
+        F.when(F.col("date.value").isNull(), issue("MISSING_DATE", "WARNING", "transaction.date", F.when(F.col("date.raw").isNull(), MESSAGES["MISSING_DATE"]).otherwise(UNRESOLVED_DATE), raw=F.col("date.raw"))),
         F.when(F.col("currency.value").isNull(), issue("MISSING_CURRENCY", "WARNING", "currency", symbol=F.col("currency.raw"))),
         F.when(F.coalesce(F.size("items"), F.lit(0)) == 0, issue("MISSING_ITEMS", "WARNING", "items")),
         F.when(F.col("subtotal.value").isNull() & (F.size("items") > 0), issue("MISSING_SUBTOTAL", "INFO", "subtotal")),
@@ -88,7 +91,7 @@ def item_issues() -> Column:
         return F.array(
             F.when(x["quantity"] <= 0, issue("INVALID_QUANTITY", "ERROR", path("quantity"))),
             F.when(free, issue("NEGATIVE_ITEM_PRICE", "WARNING", path("total_price"))),
-            F.when(F.abs(x["total_price"]) > MAX_ITEM, issue("NEGATIVE_ITEM_PRICE", "WARNING", path("total_price"))),
+            F.when(F.abs(x["total_price"]) > MAX_ITEM, issue("NEGATIVE_ITEM_PRICE", "WARNING", path("total_price"), HUGE_ITEM)),
         )
 
     return F.coalesce(F.flatten(F.transform("items", of)), F.array().cast(f"array<{ISSUE}>"))
@@ -131,4 +134,5 @@ def validated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def _promoted(path: str, raw: Column):
-    return lambda w: issue(w, "WARNING", path, raw=raw)
+    told = F.create_map(*[F.lit(x) for pair in PROMOTED.items() for x in pair])
+    return lambda w: issue(w, "WARNING", path, F.element_at(told, w), raw=raw)

@@ -1 +1,3 @@
 
+
+from . import catalog, service  # noqa: F401  (service adds its queries to the catalogue)

@@ -371,7 +371,7 @@ def issues_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("pos", "code", "severity")))
     rows = each.groupBy("user_id").agg(listed.alias("l"))
     none = F.lit(None)
-    made = F.transform("l", lambda x: F.struct(x["code"].alias("code"), x["severity"].alias("severity"), none.cast("string").alias("field"), none.cast("map<string,string>").alias("context")).cast(validate.ISSUE))
+    made = F.transform("l", lambda x: F.struct(x["code"].alias("code"), x["severity"].alias("severity"), none.cast("string").alias("message"), none.cast("string").alias("field"), none.cast("map<string,string>").alias("context")).cast(validate.ISSUE))
     rows = rows.withColumn("issues", validate.deduplicated(made))
     return rows.select("user_id", F.transform("issues", lambda x: F.concat_ws(":", x["code"], x["severity"])).alias("issues"), (F.size(validate.of_severity(F.col("issues"), "ERROR")) == 0).alias("is_valid"))
 

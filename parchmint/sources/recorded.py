@@ -50,8 +50,12 @@ def words_to_lines(words: DataFrame) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str, max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """Files as path, length, content; the scan itself leaves larger ones unread."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes).select("path", "length", "content")
+    """Every file as path, length, content and error: larger ones are not read, empty ones have no content."""
+    files = spark.read.format("binaryFile").load(path)
+    fit = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    error = F.when(F.col("length") > max_bytes, "IMAGE_TOO_LARGE").when(F.col("length") == 0, "EMPTY_FILE")
+    return fit.unionByName(large).withColumn("error", error).withColumn("content", F.when(error.isNull(), F.col("content")))
 
 
 def register(name: str, provider: Callable[..., DataFrame]) -> None:
