@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -26,3 +28,13 @@ class Settings:
     include_raw_text: bool = True
     redact: bool = True
     redact_first: bool = False
+
+    @classmethod
+    def from_environment(cls, values: Mapping[str, str] | None = None, prefix: str = "PARCHMINT_") -> Settings:
+        """Settings with what the environment says under prefix and a field's upper-cased name."""
+        values = os.environ if values is None else values
+        told = {}
+        for f in fields(cls):
+            if (text := values.get(prefix + f.name.upper())) is not None:
+                told[f.name] = text.strip().lower() in ("1", "true", "yes", "on") if isinstance(f.default, bool) else float(text) if isinstance(f.default, float) else text
+        return cls(**told)

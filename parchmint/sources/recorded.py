@@ -49,13 +49,21 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     return lines.select("doc_id", "first", (F.col("page") - 1).alias("page"), "text", "confidence", "bbox")
 
 
+def upload_error(length: Column, max_bytes: int = 10 * 1024 * 1024) -> Column:
+    """Why an upload of that length is not taken, else null."""
+    return F.when(length > max_bytes, "IMAGE_TOO_LARGE").when(length == 0, "EMPTY_FILE")
+
+
 def uploads(spark: SparkSession, path: str, max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """Every file as path, length, content and error: larger ones are not read, empty ones have no content."""
+    """Files as path, length, content and error; larger ones are told of but not read.
+
+    Spark's scan passes over files without a byte, so those have no row here; upload_error knows them
+    where uploads come as a table.
+    """
     files = spark.read.format("binaryFile").load(path)
     fit = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
     large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    error = F.when(F.col("length") > max_bytes, "IMAGE_TOO_LARGE").when(F.col("length") == 0, "EMPTY_FILE")
-    return fit.unionByName(large).withColumn("error", error).withColumn("content", F.when(error.isNull(), F.col("content")))
+    return fit.unionByName(large).withColumn("error", upload_error(F.col("length"), max_bytes))
 
 
 def register(name: str, provider: Callable[..., DataFrame]) -> None:
