@@ -151,8 +151,8 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class WindowIndex:
     """Sorted immutable runs of (hash, digest, low, high, windows): each block once, with the smallest and largest document of it.
 
-    A run is a table bucketed and sorted by hash, so merge joins and compaction read it without a
-    shuffle. More than `fan` runs of a level become one of the next. Runs and the manifest that names
+    A run is a table bucketed and sorted by hash, so merge joins read it without a shuffle. More than
+    `fan` runs of a level become one of the next, by one shuffle. Runs and the manifest that names
     them lie under path, in the shared folder; an index there is opened again, by any later session.
     Without a path the index is scratch, and close() removes it.
     """
@@ -241,8 +241,9 @@ class WindowIndex:
         while level <= max((x for _, x in self.runs), default=-1):
             old = [run for run, x in self.runs if x == level]
             if len(old) > self.fan:
-                both = reduce(DataFrame.unionByName, map(self.spark.table, old))
-                merged = self._write(both.groupBy("hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows")))
+                # the files, not the tables: Spark 4.1 takes a union of bucketed tables for bucketed, and would group each run by itself
+                both = reduce(DataFrame.unionByName, [self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{run}") for run in old])
+                merged = self._write(both.repartition(self.buckets, "hash").groupBy("hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows")))
                 self._note([*[(run, x) for run, x in self.runs if x != level], (merged, level + 1)])
             level += 1
 

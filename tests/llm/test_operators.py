@@ -443,6 +443,9 @@ def test_an_index_takes_batches_in_two_sessions(spark, tmp_path):
         part = dedup_windows(table(session, [r for r in rows if a <= r[0] < b]), index=index)
         got += part.collect()
         seen.append(sorted(level for _, level in index.runs))
+        for run, _ in index.runs:  # a run has each block once, also after compaction
+            held = [(r["hash"], bytes(r["digest"])) for r in session.table(run).collect()]
+            assert len(held) == len(set(held))
         index.close()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == brute_windows(rows, 20)
     assert seen == [[0], [1], [0, 1]]
