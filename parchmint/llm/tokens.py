@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import distinct_names, join_one, saved
 
-#: Distinct pre-tokens that a worker holds before it hands their counts on.
+#: Distinct words that a worker holds before it hands their counts on, or starts anew.
 HELD = 200_000
-#: Code points below this one are split by a table of their own; texts with others by the library.
-PLAIN = 0x250
+#: Code points that are split by a table of their own: Latin letters and common punctuation. Texts with others are split by the library.
+PLAIN = (*range(0x250), *range(0x2010, 0x2028), 0x20AC, 0x2122)
 #: Fixed value: the normalisation that the table stands for, as tokenizer files write it.
 FOLDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Fixed value: the split that the table stands for, as tokenizer files write it.
@@ -36,9 +36,9 @@ _OPEN: dict[str, Splitter] = {}
 
 @cache
 def _plain_pattern() -> re.Pattern:
-    """SPLIT over code points below PLAIN and what their lower case adds."""
+    """SPLIT over plain code points and what their lower case adds."""
     kinds: dict[str, str] = {"L": "", "N": "", " ": ""}
-    for c in [*map(chr, range(PLAIN)), *{x for i in range(PLAIN) for x in chr(i).lower() if ord(x) >= PLAIN}]:
+    for c in sorted({x for i in PLAIN for x in (chr(i), *chr(i).lower())}):
         kind = " " if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else unicodedata.category(c)[0]
         if kind in kinds:
             kinds[kind] += re.escape(c)
@@ -54,6 +54,12 @@ def _bytes_as_letters() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+@cache
+def _not_plain() -> re.Pattern:
+    """A code point that is not plain, or one that only Python takes for white space."""
+    return re.compile(f"[^{''.join(re.escape(chr(i)) for i in PLAIN if not 0x1C <= i <= 0x1F)}]")
+
+
 class Splitter:
     """Pre-tokens of texts, and pieces of a pre-token, as one tokenizer file has them."""
 
@@ -74,20 +80,26 @@ class Splitter:
         normal = (told["normalizer"] or {}).get("normalizers")
         self.plain = normal == FOLDS and steps[:-1] == [split] and not steps[-1]["add_prefix_space"] and not steps[-1]["use_regex"]
 
-    def pretokens(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of a text in order, after normalisation, and how many added tokens stand between them."""
+    def units(self, text: str) -> tuple[list, int]:
+        """Parts of a text that no pre-token spans, and how many added tokens stand between them.
+
+        They are words, which `pretokens` splits, or, where the library split the text, tuples of one pre-token.
+        """
         if self.added is None or not self.added.search(text):
             return self._between(text), 0
         parts = self.added.split(text)
         return [p for part in parts for p in self._between(part)], len(parts) - 1
 
-    def _between(self, text: str) -> list[str]:
-        if self.plain and (text.isascii() or text and ord(max(text)) < PLAIN):
-            return _plain_pattern().findall(unicodedata.normalize("NFC", text).lower())
+    def _between(self, text: str) -> list:
+        if self.plain and not _not_plain().search(text):
+            return unicodedata.normalize("NFC", text).lower().split()
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         byte = _bytes_as_letters()
-        return [bytes(map(byte.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return [(bytes(map(byte.__getitem__, p)).decode(),) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def pretokens(self, unit: str | tuple[str]) -> list[str] | tuple[str]:
+        return unit if isinstance(unit, tuple) else _plain_pattern().findall(unit)
 
     def pieces(self, pretoken: str) -> int:
         """How many ids the vocabulary has for a pre-token; the text is not normalised again."""
@@ -103,18 +115,21 @@ def _splitter(vocabulary: str) -> Splitter:
 
 def _tallies(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(piece, n) over the texts of a task, handed on whenever many are held."""
+        """(piece, n) over the texts of a task, handed on whenever many words are held; a word is split once for all its occurrences."""
         own, held = _splitter(vocabulary), Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "n"])
+            found: Counter = Counter()
+            for unit, n in held.items():
+                for p in own.pretokens(unit):
+                    found[p] += n
             held.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["piece", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    held.update(own.pretokens(text.as_py())[0])
+                    held.update(own.units(text.as_py())[0])
                     if len(held) >= HELD:
                         yield out()
         yield out()
@@ -136,21 +151,32 @@ def _summed(vocabulary: str, often: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, bytes, tokens, rest): tokens of frequent pre-tokens and added tokens, and frequencies of the others."""
         own, known = _splitter(vocabulary), often.value
-        pair = pa.struct([("piece", pa.string()), ("times", pa.int64())])
+        told: dict = {}  # of a word: tokens of its frequent pre-tokens, and its other pre-tokens
+
+        def tell(unit: str | tuple[str]) -> tuple[int, list[str]]:
+            found = own.pretokens(unit)
+            if len(told) >= HELD:
+                told.clear()
+            told[unit] = out = sum(known.get(p, 0) for p in found), [p for p in found if p not in known]
+            return out
+
         for batch in batches:
-            sums, rests = [], []
+            sums, pieces, times, ends = [], [], [], [0]
             for text in batch.column(1):
-                total, rest = 0, []
+                total, rest = 0, Counter()
                 if text.is_valid:
-                    found, total = own.pretokens(text.as_py())
-                    for piece, n in Counter(found).items():
-                        if (tokens := known.get(piece)) is None:
-                            rest.append((piece, n))
-                        else:
-                            total += n * tokens
+                    found, total = own.units(text.as_py())
+                    for unit, n in Counter(found).items():
+                        tokens, others = told.get(unit) or tell(unit)
+                        total += n * tokens
+                        for p in others:
+                            rest[p] += n
                 sums.append(total)
-                rests.append([{"piece": p, "times": n} for p, n in rest] or None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sums, pa.int64()), pa.array(rests, pa.list_(pair))], ["id", "bytes", "tokens", "rest"])
+                pieces += rest
+                times += rest.values()
+                ends.append(len(pieces))
+            rests = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(times, pa.int64())], ["piece", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rests)], ["id", "bytes", "tokens", "rest"])
 
     return run
 
@@ -188,7 +214,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     known = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in vocab.where(often).select("piece", "tokens").collect()})  # at most `most` rows
     passed = small.select("id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")).mapInArrow(_summed(vocabulary, known), "id long, bytes long, tokens long, rest array<struct<piece:string,times:long>>")
     rows = saved(passed.withColumn("row", F.monotonically_increasing_id()), "counted")  # fixed once it is written
-    rest = rows.where(F.col("rest").isNotNull()).select("row", F.explode("rest").alias("x")).select("row", "x.piece", "x.times")
+    rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.piece", "x.times")
     occurs = rest.groupBy("piece").agg(F.count("*").alias("count"))
     one = saved(vocab.where(~often).select("piece", F.col("tokens").alias("each")).join(occurs, "piece"), "rare")
     total = one.agg(F.sum("count").alias("n")).first()["n"] or 0
