@@ -16,6 +16,7 @@ from parchmint.functions.text import collapsed
 # Fence marks, words that mean nothing, payment methods, prompt length.
 OPEN, CLOSE = "<<<RECEIPT_DOCUMENT_BEGIN>>>", "<<<RECEIPT_DOCUMENT_END>>>"
 FORGED = r"(?i)<<<\s*RECEIPT_DOCUMENT_(?:BEGIN|END)\s*>>>"
+SKIPPED = ("", "N/A", "n/a", "null", "none", "unknown")
 PLACEHOLDERS = ("n/a", "na", "none", "null", "unknown", "-")
 METHODS = ("cash", "card", "credit_card", "debit_card", "mobile", "voucher", "bank_transfer", "check", "other")
 PROMPT_LENGTH = 20_000
@@ -40,10 +41,15 @@ def bare(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^0-9A-Za-z]+", ""))
 
 
-def grounded(claim: Column, document: Column) -> Column:
-    """Whether a claim stands in the document; one without letters and digits does not."""
+def stands(claim: Column, bared: Column) -> Column:
+    """Whether a claim stands in a document that is bare already; one without letters and digits does not."""
     needle = bare(claim)
-    return F.coalesce((needle != "") & F.contains(bare(document), needle), F.lit(False))
+    return F.coalesce((needle != "") & F.contains(bared, needle), F.lit(False))
+
+
+def grounded(claim: Column, document: Column) -> Column:
+    """Whether a claim stands in the document."""
+    return stands(claim, bare(document))
 
 
 def holders(claims: DataFrame, docs: DataFrame, piece: int = 16) -> DataFrame:
@@ -109,14 +115,18 @@ def fillable(current: Column, score: Column, settings: Settings = Settings()) ->
     return current.isNull() | (score < settings.llm_threshold)
 
 
-def accept(name: str, current: Column, score: Column, claim: Column, parsed: Column, document: Column, check: bool = True, settings: Settings = Settings()) -> Column:
-    """struct<value, outcome>: kept, skipped, name:unparseable, name:ungrounded or filled, in that order."""
+def accept(name: str, current: Column, score: Column, claim: Column, parsed: Column, document: Column, check: bool | Column = True, settings: Settings = Settings()) -> Column:
+    """struct<value, outcome>: kept, skipped, name:unparseable, name:ungrounded or filled, in that order.
+
+    check tells whether the claim must stand in the document, or, as a column, whether it does.
+    """
     old = current.cast("string")
+    held = check if isinstance(check, Column) else ~F.lit(check) | grounded(claim, document)
     outcome = (
         F.when(~fillable(current, score, settings), "kept")
-        .when(as_text(claim).isNull(), "skipped")
+        .when(F.coalesce(claim, F.lit("")).isin(*SKIPPED), "skipped")
         .when(parsed.isNull(), f"{name}:unparseable")
-        .when(F.lit(check) & ~grounded(claim, document), f"{name}:ungrounded")
+        .when(~held, f"{name}:ungrounded")
         .otherwise("filled")
     )
     return F.struct(F.when(outcome == "filled", parsed.cast("string")).otherwise(old).alias("value"), outcome.alias("outcome"))

@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 
 from parchmint.config import Settings
 from parchmint.functions import currency, dates, identifiers, money, security, text
-from parchmint.operators import evaluate, extract, gates, metrics, quality, reviews, score, validate
+from parchmint.operators import (
+    evaluate,
+    extract,
+    gates,
+    metrics,
+    quality,
+    reviews,
+    score,
+    similar,
+    validate,
+)
 from parchmint.operators.assemble import analysed, envelope, receipt
 from parchmint.operators.items import items
 from parchmint.operators.lexicon import find_labels
@@ -434,14 +444,17 @@ def field_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.field_accuracy(evaluate.field_scores(pairs, ("quality",)))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_brand AS b, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part)
-    SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS likeness FROM p x JOIN p y ON x.b = y.b AND x.id < y.id AND x.id // 50 = y.id // 50""")
+_WORDS_OF_PART = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type || ' size ' || p_size % 10), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')))"
+
+
+@query(f"""WITH p AS (SELECT p_brand AS b, {_WORDS_OF_PART} AS w, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY ALL),
+    q AS (SELECT x.b AS brand, x.id AS x, y.id AS y, len(x.w) AS k, len(y.w) AS m, x.n * y.n AS pairs, len(list_intersect(x.w, y.w)) AS s FROM p x JOIN p y ON x.b = y.b AND (len(x.w) < len(y.w) OR len(x.w) = len(y.w) AND x.id < y.id))
+    SELECT brand, x AS a, y AS b, round(s / (k + m - s), 6) AS likeness, pairs FROM q WHERE s / (k + m - s) >= 0.6""")
 def description_likeness(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of parts of one brand in one block of 50 keys."""
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", F.floor(F.col("p_partkey") / 50).alias("block"))
-    a, b = p.alias("x"), p.alias("y")
-    rows = a.join(b, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    return rows.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), F.round(evaluate.jaccard(F.col("x.p_name"), F.col("y.p_name")), 6).alias("likeness"))
+    """Like descriptions of one brand, a class of equal ones by its smallest part."""
+    words = evaluate.words(F.concat_ws(" ", "p_name", "p_type", F.lit("size"), (F.col("p_size") % 10).cast("string")))
+    got = similar.like_texts(table(spark, sf, "part").withColumnRenamed("p_brand", "brand"), "brand", "p_partkey", words, 0.6)
+    return got.select("brand", "a", "b", F.round("likeness", 6).alias("likeness"), "pairs")
 
 
 @query()

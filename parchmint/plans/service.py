@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from parchmint.functions.money import MONEY, money_text
 from parchmint.operators import answers, evaluate, failures, reviews, validate
+from parchmint.operators.assemble import completed
+from parchmint.operators.extract import field
+from parchmint.operators.score import scored
 from parchmint.sources.render import cents, printed
 
 from .catalog import _SENTENCES, query, table
@@ -58,6 +61,46 @@ def merged_answers(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("id", "failure", money_text(F.col("tax")).alias("tax"), F.size("items").cast("long").alias("n_items"), priced.alias("priced"), F.array_join("rejected", ",").alias("rejected"), answers.verdict(F.col("used"), F.lit(0.5), merged).alias("verdict"))
 
 
+#: Scores of fields by the rules, from the lines' score c: with the prior of the method, in weights 0.45 and 0.55.
+_BY = {"kw": "(0.45 * c + 0.55 * 0.95)", "name": "(0.45 * c + 0.55 * 0.6)", "llm": "(0.45 * c + 0.55 * 0.7)", "poor": "(0.45 * 0.3 + 0.55 * 0.6)"}
+
+
+def _overall(total: str, right: str) -> str:
+    """SQL of the overall score of a name, a subtotal, a tax and a total of that score (null: no total), right or not."""
+    part = f"least(1.0, {_BY['kw']} * CASE WHEN {right} THEN 1.08 ELSE 1.0 END)"
+    own = f"least(1.0, ({total}) * CASE WHEN {right} THEN 1.08 ELSE 0.55 END)"
+    return f"((2 * {_BY['name']} + 3 * {part} + CASE WHEN ({total}) IS NULL THEN 0 ELSE 3 * {own} END) / CASE WHEN ({total}) IS NULL THEN 5 ELSE 8 END)"
+
+
+_RULES = _overall(f"CASE k WHEN 0 THEN NULL WHEN 1 THEN {_BY['kw']} WHEN 2 THEN {_BY['poor']} ELSE {_BY['kw']} END", "k <> 1")
+_SECOND = _overall(_BY["llm"], "k <> 2")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_totalprice::DECIMAL(18,2) AS t, o_orderkey % 4 AS k, 0.5 + (o_orderkey % 45) / 97 AS c,
+        CASE WHEN o_orderkey % 11 = 0 THEN 'LLM_TIMEOUT' WHEN o_orderkey % 17 = 0 THEN 'LLM_INVALID_OUTPUT' WHEN o_orderkey % 13 = 0 THEN 'LLM_OUTPUT_TRUNCATED' END AS failure FROM orders),
+    s AS (SELECT *, {_RULES} AS rules, {_SECOND} AS second, failure IS NULL AND (k IN (0, 2) OR k = 1 AND least(1.0, {_BY['kw']} * 0.55) < 0.75) AS used FROM o),
+    v AS (SELECT *, CASE WHEN NOT used THEN 'unused' WHEN second < rules THEN 'discarded' ELSE 'applied' END AS verdict FROM s)
+    SELECT id, failure, verdict, CASE WHEN verdict = 'applied' THEN CASE WHEN k = 2 THEN 2 * t ELSE t END WHEN k = 1 THEN 2 * t WHEN k IN (2, 3) THEN t END::DECIMAL(18,2)::VARCHAR AS total,
+        round(CASE WHEN verdict = 'applied' THEN second ELSE rules END, 6)::DOUBLE AS overall, CASE WHEN used THEN 'total' ELSE '' END AS filled,
+        CASE WHEN failure IS NULL AND k = 3 THEN 'merchant.phone:unparseable,receipt_number:ungrounded' ELSE '' END AS rejected, (CASE WHEN verdict = 'applied' THEN k = 2 ELSE k = 1 END)::INT AS errors FROM v""")
+def second_opinions(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw answers of a model about each order's total: one that is absent, wrong, poorly read or sure; both versions validated and scored."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), cents(F.col("o_totalprice")).alias("t"))
+    k, c, t = F.col("id") % 4, F.lit(0.5) + (F.col("id") % 45) / 97, F.col("t")
+    sub = F.round(t / F.lit("1.1").cast("decimal(2,1)"), 2).cast(MONEY)
+    low, twice, none = F.lit(0.3), (2 * t).cast(MONEY), F.lit(None).cast("string")
+    shown = lambda x: money_text(x.cast(MONEY))
+    total = F.when(k == 1, field(twice, "KEYWORD_ANCHORED", c, none)).when(k == 2, field(t.cast(MONEY), "HEURISTIC", low, none)).when(k == 3, field(t.cast(MONEY), "KEYWORD_ANCHORED", c, none))
+    text = F.concat(F.lit("STORE\nSUBTOTAL "), shown(sub), F.lit("\nTAX "), shown(t - sub), F.lit("\nTOTAL "), shown(t), F.lit("\nPAID "), shown(twice))
+    docs = rows.select("id", "t", field(F.lit("STORE"), "HEURISTIC", c, none).alias("merchant_name"), field(sub, "KEYWORD_ANCHORED", c, none).alias("subtotal"), field((t - sub).cast(MONEY), "KEYWORD_ANCHORED", c, none).alias("tax"), total.alias("total"), text.alias("full_text"), c.alias("mean_confidence"), F.lit(1).alias("measured"), F.lit(1).alias("geometry"), F.lit(5).alias("line_count"))
+    said = F.to_json(F.struct(F.when(k == 2, shown(twice)).otherwise(shown(t)).alias("total"), F.lit("n/a").alias("currency"), F.when(k == 3, 5550123).alias("merchant_phone"), F.when(k == 3, "Q99Z").alias("receipt_number")))
+    said = F.when(F.col("id") % 17 == 0, F.substr(said, F.lit(1), F.lit(14))).when(F.col("id") % 7 == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(said)
+    docs = completed(docs).withColumns({"answer": said, "error": F.when(F.col("id") % 11 == 0, "LLM_TIMEOUT"), "finish": F.when(F.col("id") % 13 == 0, "length").otherwise("stop")})
+    got = answers.second_opinion(scored(validate.validated(docs)))
+    errors = F.size(validate.of_severity(F.col("issues"), "ERROR"))
+    return got.select("id", "failure", "verdict", money_text(validate.amount("total")).alias("total"), F.round("confidence.overall", 6).alias("overall"), F.array_join("filled", ",").alias("filled"), F.array_join("rejected", ",").alias("rejected"), errors.alias("errors"))
+
+
 @query(f"""SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 'Review of Item ' || conv_id ELSE 'T' || turn END AS title, CASE WHEN len({_SENTENCES}) <= 2 THEN text ELSE array_to_string(({_SENTENCES})[1:2], ' ') END AS body,
     least(len({_SENTENCES}), 2) AS n, greatest(1, least(5, turn + 3))::INT AS rating, role <> 'user' AS ai_generated FROM (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations) WHERE text <> ''""")
 def generated_reviews(spark: SparkSession, sf: str) -> DataFrame:
