@@ -1,3 +1,3 @@
 
 
-from . import catalog, service  # noqa: F401  (service adds its queries to the catalogue)
+from . import catalog, service, whole  # noqa: F401  (service and whole add their queries to the catalogue)
