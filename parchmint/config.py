@@ -28,13 +28,24 @@ class Settings:
     include_raw_text: bool = True
     redact: bool = True
     redact_first: bool = False
+    languages: tuple[str, ...] = ("eng",)
+    production: bool = False
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "default_currency", self.default_currency.strip().upper())
+        object.__setattr__(self, "default_country", self.default_country.strip().upper())
+
+    def weights(self) -> tuple[float, float]:
+        """Weights of recognition and extraction that add up to one; equal ones where both are none."""
+        total = self.weight_ocr + self.weight_extraction
+        return (self.weight_ocr / total, self.weight_extraction / total) if total > 0 else (0.5, 0.5)
 
     @classmethod
     def from_environment(cls, values: Mapping[str, str] | None = None, prefix: str = "PARCHMINT_") -> Settings:
-        """Settings with what the environment says under prefix and a field's upper-cased name."""
+        """Settings with what the environment says under prefix and a field's upper-cased name; lists are parted by commas."""
         values = os.environ if values is None else values
         told = {}
         for f in fields(cls):
             if (text := values.get(prefix + f.name.upper())) is not None:
-                told[f.name] = text.strip().lower() in ("1", "true", "yes", "on") if isinstance(f.default, bool) else float(text) if isinstance(f.default, float) else text
+                told[f.name] = text.strip().lower() in ("1", "true", "yes", "on") if isinstance(f.default, bool) else float(text) if isinstance(f.default, float) else tuple(x.strip() for x in text.split(",") if x.strip()) if isinstance(f.default, tuple) else text
         return cls(**told)

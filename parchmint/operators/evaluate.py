@@ -97,6 +97,20 @@ def summary(scores: DataFrame, items: DataFrame) -> DataFrame:
     return both.agg(F.round(F.coalesce(F.avg("exact"), F.lit(0.0)), 4).alias("exact_match_rate"), F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 4).alias("mean_item_f1"), F.coalesce(F.sum(1 - F.col("exact")), F.lit(0)).alias("failures"), F.count("*").alias("documents"))
 
 
+def failures(scores: DataFrame, pairs: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(doc_id, fields) of documents that are no exact match: array<struct<field, expected, actual>> of what is wrong, by name.
+
+    scores is what field_scores gives for pairs; a document whose items alone fail (items: doc_id, f1) has no fields.
+    """
+    e, a = F.try_element_at("expected", F.col("field")), F.try_element_at("actual", F.col("field"))
+    wrong = scores.where(~F.col("correct")).join(pairs, "doc_id").select("doc_id", F.struct("field", e.alias("expected"), a.alias("actual")).alias("f"))
+    told = wrong.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fields"))
+    if items is None:
+        return told
+    none = F.array().cast(told.schema["fields"].dataType)
+    return told.join(items.where(F.col("f1") < 1).select("doc_id"), "doc_id", "full").select("doc_id", F.coalesce("fields", none).alias("fields"))
+
+
 def gate(report: DataFrame, least: float) -> DataFrame:
     """A summary with `passed`: its exact-match rate is not below the least one."""
     return report.withColumn("passed", F.col("exact_match_rate") >= least)

@@ -11,10 +11,15 @@ from .gates import FALLBACK, RETRYABLE
 STATUS = {
     "INVALID_IMAGE": 400, "EMPTY_FILE": 400, "UNSAFE_FILENAME": 400, "UNSUPPORTED_FILE_TYPE": 415, "IMAGE_TOO_LARGE": 413, "IMAGE_TOO_SMALL": 422,
     "OCR_FAILED": 502, "OCR_EMPTY_RESULT": 502, "OCR_TIMEOUT": 504, "PROVIDER_UNAVAILABLE": 503, "LLM_FAILED": 502, "LLM_INVALID_OUTPUT": 502,
+    "LLM_TIMEOUT": 502, "PROVIDER_QUOTA_EXHAUSTED": 502, "LLM_UNAVAILABLE": 503, "UNAUTHORIZED": 401, "REQUEST_TOO_LARGE": 413, "RATE_LIMITED": 429,
 }
 LONGEST_WAIT = 8.0
 
 
+#: All codes, those with status 500 last.
+CODES = (*STATUS, "PROVIDER_NOT_REGISTERED", "EXTRACTION_FAILED", "INVALID_RECEIPT", "INTERNAL_ERROR")
+
+
 def status(code: Column) -> Column:
     """The HTTP status of a failure's code, 500 for any other; null for none."""
     known = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])

@@ -52,24 +52,39 @@ def grounded(claim: Column, document: Column) -> Column:
     return stands(claim, bare(document))
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """A text cut in pieces of that size; the pattern walks it once, where substrings by number would start over for each."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{{size}}})"), F.lit(1))
+
+
 def holders(claims: DataFrame, docs: DataFrame, piece: int = 16) -> DataFrame:
     """(item_id, doc_id) of bare claims (item_id, c) that stand in bare documents (doc_id, t).
 
-    A document is cut in pieces of `piece` characters; a claim of twice as many less one that stands in
-    it covers a whole piece, whichever way the cuts fall, so it is looked up by its pieces at each of
-    the first offsets. Shorter claims go by pieces of half their length. Pairs found so are checked.
+    A document is cut in pieces of w = `piece` characters. A claim that stands in it, of 2 w - 1 characters at
+    least, covers a whole piece of it, wherever the cuts fall: for each of the w ways they may, one of the
+    claim's own pieces is looked up, the one that the fewest documents have. So what many claims begin with
+    is not looked up, unless they have nothing else. Shorter claims are looked up whole, among all stretches
+    of documents of their length. Equal claims are looked up once, and texts are joined only to pairs found.
     """
-    size = F.least(F.lit(piece), F.floor((F.length("c") + 1) / 2)).cast("int")
-    claims = claims.where("c <> ''").withColumn("w", size)
-    each = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda o: F.substr(F.col("c"), o + 1, F.col("w")))
-    sought = claims.select("item_id", "w", F.explode(F.array_distinct(each)).alias("piece"))
-    sizes = [r["w"] for r in claims.select("w").distinct().collect()]  # at most `piece` numbers
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("t") / F.col("w")) - 1), lambda i: F.substr(F.col("t"), (i * F.col("w") + 1).cast("int"), F.col("w")))
-    sized = docs.withColumn("w", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(F.length("t") >= F.col("w"))
-    held = sized.select("doc_id", "w", F.explode(F.array_distinct(cut)).alias("piece"))
-    pairs = held.join(sought, ["w", "piece"]).select("item_id", "doc_id").distinct()
-    told = pairs.join(claims.select("item_id", "c"), "item_id").join(docs, "doc_id")
-    return told.where(F.contains(F.col("t"), F.col("c"))).select("item_id", "doc_id")
+    claims = claims.where("c <> ''")
+    texts = claims.select("c").distinct()
+    long = texts.where(F.length("c") >= 2 * piece - 1)
+    at = F.explode(F.sequence(F.lit(0), F.length("c") - piece))
+    sought = long.select("c", at.alias("at")).select("c", (F.col("at") % piece).alias("way"), F.substr("c", F.col("at") + 1, F.lit(piece)).alias("piece"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(_pieces(F.col("t"), piece))).alias("piece"))
+    known = held.join(sought.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    rare = sought.join(known, "piece", "left").groupBy("c", "way").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
+    looked = rare.where("best.n > 0").select("c", F.col("best.piece").alias("piece")).distinct()
+    pairs = held.join(looked, "piece").select("c", "doc_id").distinct()
+    found = pairs.join(docs, "doc_id").where(F.contains(F.col("t"), F.col("c"))).select("c", "doc_id")
+
+    brief = texts.where(F.length("c") < 2 * piece - 1).select("c", F.length("c").alias("size"))
+    sizes = [r["size"] for r in brief.select("size").distinct().collect()]  # fewer than twice `piece` numbers
+    for size in sorted(sizes):
+        stretches = F.array_distinct(F.flatten(F.array(*[_pieces(F.substring("t", i + 1, 1 << 30), size) for i in range(size)])))
+        every = docs.select("doc_id", F.explode(stretches).alias("c"))
+        found = found.unionByName(every.join(brief.where(F.col("size") == size).select("c"), "c").select("c", "doc_id"))
+    return claims.join(found, "c").select("item_id", "doc_id").distinct()
 
 
 def as_text(value: Column) -> Column:

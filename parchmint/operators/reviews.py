@@ -13,6 +13,8 @@ from .gates import as_text
 # Where sentences end, bounds of requests.
 SENTENCE = r"(?<=[.!?])\s+"
 RATING, SENTENCES, QUESTIONS = (1, 5, 3), (4, 6, 5), (1, 10, 5)
+OPEN, CLOSE = "<<<PRODUCT_DATA_BEGIN>>>", "<<<PRODUCT_DATA_END>>>"
+FORGED = r"(?i)<<<\s*PRODUCT_DATA_(?:BEGIN|END)\s*>>>"
 TONES = {
     "balanced": "Even-handed. Note what works and what does not.",
     "positive": "Favourable, while staying believable and specific.",
@@ -57,10 +59,42 @@ def questions(raw: Column, count: int) -> Column:
     return F.slice(F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), collapsed), lambda q: q.isNotNull()), 1, count)
 
 
-def prompt(product: Column, answers: Column, tone: Column) -> Column:
-    """The fenced product, numbered answers and tone of a request."""
-    numbered = F.transform(answers, lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), a))
-    return F.concat_ws("\n", F.lit("<<<PRODUCT>>>"), product, F.lit("<<<END_PRODUCT>>>"), F.array_join(numbered, "\n"), F.concat(F.lit("Tone: "), tone))
+def unmarked(text: Column) -> Column:
+    """A text without forged marks; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), FORGED, "[REDACTED_MARKER]")
+
+
+def _block(lines: Column) -> Column:
+    return F.concat_ws("\n", F.lit(OPEN), F.array_join(lines, "\n"), F.lit(CLOSE))
+
+
+def _told(name: str, value: Column) -> Column:
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{name}: "), unmarked(value)))
+
+
+def prompt(product: Column, answers: Column, tone: Column, sentences: Column, language: Column, category: Column | None = None, description: Column | None = None, attributes: Column | None = None, rating: Column | None = None) -> Column:
+    """The request to a writer: product and answers (array<struct<question, answer>>) between marks, then what to write.
+
+    Forged marks in any part are replaced first. attributes is a map<string,string>, told in its order.
+    """
+    none = F.lit(None).cast("string")
+    pairs = F.map_entries(F.coalesce(attributes, F.create_map().cast("map<string,string>"))) if attributes is not None else F.array().cast("array<struct<key:string,value:string>>")
+    head = F.array_compact(F.array(F.concat(F.lit("Product: "), unmarked(product)), _told("Category", none if category is None else category), _told("Description", none if description is None else description)))
+    more = F.transform(pairs, lambda e: F.concat(unmarked(e["key"]), F.lit(": "), unmarked(e["value"])))
+    numbered = F.transform(answers, lambda a, i: F.concat((i + 1).cast("string"), F.lit(". Q: "), unmarked(a["question"]), F.lit("\n   A: "), unmarked(a["answer"])))
+    own = F.when(F.size(answers) > 0, F.concat(F.array(F.lit(""), F.lit("The customer's own answers:")), numbered)).otherwise(F.array().cast("array<string>"))
+    orders = F.array_compact(F.array(
+        F.concat(F.lit("\nWrite exactly "), sentences.cast("string"), F.lit(" sentences in "), language, F.lit(".")),
+        F.concat(F.lit("Tone: "), tone_guidance(tone)),
+        none if rating is None else F.when(rating.isNotNull(), F.concat(F.lit("Use exactly this rating: "), rating.cast("string"), F.lit("."))),
+    ))
+    return F.concat_ws("\n", _block(F.concat(head, more, own)), F.array_join(orders, "\n"))
+
+
+def questions_prompt(product: Column, category: Column, count: Column, language: Column) -> Column:
+    """The request for questions about a product."""
+    lines = F.array_compact(F.array(F.concat(F.lit("Product: "), unmarked(product)), _told("Category", category)))
+    return F.concat(_block(lines), F.lit("\n\nWrite exactly "), count.cast("string"), F.lit(" questions in "), language, F.lit("."))
 
 
 def request_error(n_sentences: Column, count: Column, rating: Column) -> Column:

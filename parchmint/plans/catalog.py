@@ -27,6 +27,7 @@ from parchmint.operators.assemble import analysed, envelope, receipt
 from parchmint.operators.items import items
 from parchmint.operators.lexicon import find_labels
 from parchmint.operators.lines import from_text, line_views
+from parchmint.session import spread
 from parchmint.sources.recorded import words_to_lines
 from parchmint.sources.render import cents, european, printed, receipts, single_lines
 from parchmint.streaming.ingest import windowed_counts
@@ -48,7 +49,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def _receipts(spark: SparkSession, sf: str) -> DataFrame:

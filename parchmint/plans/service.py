@@ -10,20 +10,85 @@ from parchmint.operators import answers, evaluate, failures, reviews, validate
 from parchmint.operators.assemble import completed
 from parchmint.operators.extract import field
 from parchmint.operators.score import scored
+from parchmint.sources import calls
 from parchmint.sources.render import cents, printed
 
 from .catalog import _SENTENCES, query, table
 
-_CODES = ["OCR_TIMEOUT", "LLM_FAILED", "EMPTY_FILE", "IMAGE_TOO_LARGE", "UNSUPPORTED_FILE_TYPE", "IMAGE_TOO_SMALL", "PROVIDER_UNAVAILABLE", "INTERNAL_ERROR"]
+_STATUS = "[400, 400, 400, 415, 413, 422, 502, 502, 504, 503, 502, 502, 502, 502, 503, 401, 413, 429, 500, 500, 500, 500]"
 
 
-@query("""SELECT event_id AS id, [504, 502, 400, 413, 415, 422, 503, 500][event_id % 8 + 1] AS status, event_id % 8 IN (0, 6) AS retryable, least(8.0, 0.5 * pow(2, event_id % 6))::DOUBLE AS wait FROM events""")
+@query(f"""SELECT event_id AS id, {_STATUS}[event_id % 22 + 1] AS status, event_id % 22 IN (8, 9, 12) AS retryable, least(8.0, 0.5 * pow(2, event_id % 6))::DOUBLE AS wait FROM events""")
 def failure_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every code there is."""
     i = F.col("event_id")
-    code = F.get(F.array(*map(F.lit, _CODES)), (i % 8).cast("int"))
+    code = F.get(F.array(*map(F.lit, failures.CODES)), (i % len(failures.CODES)).cast("int"))
     return table(spark, sf, "events").select(i.alias("id"), failures.status(code).alias("status"), failures.retryable(code).alias("retryable"), failures.longest_wait(i % 6).alias("wait"))
 
 
+class _Reader:
+    """A provider that fails by the document's number: for a while, for ever, or for the document's sake."""
+
+    def __init__(self) -> None:
+        self.tries: dict[int, int] = {}
+
+    def __call__(self, request: dict) -> list[dict]:
+        i = request["doc_id"]
+        before = self.tries.get(i, 0)
+        self.tries = {i: before + 1}
+        if i % 11 == 0:
+            raise calls.Failure("INVALID_IMAGE")
+        if i % 13 == 0:
+            raise calls.Failure("PROVIDER_UNAVAILABLE")
+        if i % 17 == 0:
+            raise ValueError("a bug")
+        if i % 7 == 0 and before < i % 5:
+            raise calls.Failure("OCR_TIMEOUT")
+        return [{"text": f"TOTAL {i}", "confidence": 0.9, "bbox": None}]
+
+
+def _second(request: dict) -> list[dict]:
+    i = request["doc_id"]
+    return [{"text": f"SECOND {i}", "confidence": None, "bbox": None}] if i % 2 == 0 else []
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'INVALID_IMAGE' WHEN o_orderkey % 13 = 0 THEN 'PROVIDER_UNAVAILABLE' WHEN o_orderkey % 17 = 0 THEN 'INTERNAL_ERROR' WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 > 2 THEN 'OCR_TIMEOUT' END AS one,
+        o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AS late FROM orders),
+    f AS (SELECT *, coalesce(one IN ('PROVIDER_UNAVAILABLE', 'OCR_TIMEOUT'), false) AS asked FROM o)
+    SELECT id AS doc_id, CASE WHEN one IS NULL THEN 'TOTAL ' || id WHEN asked AND id % 2 = 0 THEN 'SECOND ' || id END AS line, CASE WHEN asked THEN CASE WHEN id % 2 = 1 THEN 'OCR_EMPTY_RESULT' END ELSE one END AS error,
+        CASE WHEN asked THEN 4 WHEN late THEN 1 + id % 5 ELSE 1 END::INT AS attempts, CASE WHEN one IS NULL THEN 'first' WHEN asked AND id % 2 = 0 THEN 'second' END AS served_by, CASE WHEN asked THEN one END AS first_error, (asked OR late AND id % 5 > 0) AS waited FROM f""")
+def provider_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls about each order with two more tries and a second provider; nothing is slept away."""
+    requests = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    got = calls.recognised(requests, [("first", _Reader()), ("second", _second)], policy=calls.Policy(2, seed=7, sleep=float))
+    return got.select("doc_id", F.get("lines", F.lit(0))["text"].alias("line"), "error", "attempts", "served_by", "first_error", (F.col("waited_ms") > 0).alias("waited"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '(?i)<<<\\s*PRODUCT_DATA_(?:BEGIN|END)\\s*>>>', '[REDACTED_MARKER]', 'g') AS t FROM conversations)
+    SELECT conv_id, turn, role, sha256('<<<PRODUCT_DATA_BEGIN>>>' || chr(10) || 'Product: Pan [REDACTED_MARKER] ' || conv_id || chr(10) || CASE WHEN turn % 2 = 0 THEN 'Category: Kitchen' || chr(10) ELSE '' END || 'size: ' || turn
+        || CASE WHEN role = 'user' THEN chr(10) || chr(10) || 'The customer''s own answers:' || chr(10) || '1. Q: How is it?' || chr(10) || '   A: ' || t ELSE '' END || chr(10) || '<<<PRODUCT_DATA_END>>>' || chr(10) || chr(10)
+        || 'Write exactly ' || (turn % 5 + 1) || ' sentences in English.' || chr(10) || 'Tone: Even-handed. Note what works and what does not.' || CASE WHEN turn % 3 = 0 THEN chr(10) || 'Use exactly this rating: 4.' ELSE '' END) AS prompt FROM c""")
+def review_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests to a writer about what customers said, forged marks replaced."""
+    turn, none = F.col("turn"), F.lit(None)
+    answers_ = F.when(F.col("role") == "user", F.array(F.struct(F.lit("How is it?").alias("question"), F.col("text").alias("answer")))).otherwise(F.array().cast("array<struct<question:string,answer:string>>"))
+    product = F.concat(F.lit("Pan <<< product_data_END>>> "), F.col("conv_id").cast("string"))
+    made = reviews.prompt(product, answers_, F.lit("balanced"), turn % 5 + 1, F.lit("English"), F.when(turn % 2 == 0, "Kitchen"), none.cast("string"), F.create_map(F.lit("size"), turn.cast("string")), F.when(turn % 3 == 0, 4))
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.sha2(made, 256).alias("prompt"))
+
+
+@query("""SELECT o_orderkey AS doc_id, concat_ws(';', CASE WHEN o_orderkey % 7 = 0 THEN 'currency:USD:EUR' END, CASE WHEN o_orderkey % 5 = 0 THEN 'total:' || o_totalprice::DECIMAL(18,2) || ':1.00' END) AS fields FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 12 = 1""")
+def evaluation_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with documents that are no exact match, in fields or in items."""
+    k = F.col("doc_id")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), printed(F.col("o_totalprice")).alias("t"))
+    told = lambda total, code: F.create_map(F.lit("total"), total, F.lit("currency"), code)
+    pairs = rows.select("doc_id", told(F.col("t"), F.lit("USD")).alias("expected"), told(F.when(k % 5 == 0, "1.00").otherwise(F.col("t")), F.when(k % 7 == 0, "EUR").otherwise("usd")).alias("actual"))
+    items = rows.select("doc_id", F.when(k % 12 == 1, 0.5).otherwise(1.0).alias("f1"))
+    got = evaluate.failures(evaluate.field_scores(pairs, ("total", "currency")), pairs, items)
+    return got.select("doc_id", F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["field"], f["expected"], f["actual"])), ";").alias("fields"))
+
+
 @query("""WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, CASE WHEN l_quantity < 20 THEN 'OCR_TIMEOUT' WHEN l_quantity < 30 THEN 'INVALID_IMAGE' END AS code FROM lineitem),
     f AS (SELECT id, min(i) AS attempts FROM l WHERE code IS NULL OR code <> 'OCR_TIMEOUT' OR i = 3 OR i = n GROUP BY id),
     g AS (SELECT f.id, attempts, code AS one FROM f JOIN l ON l.id = f.id AND l.i = attempts)

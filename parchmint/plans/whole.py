@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.functions.money import MONEY
-from parchmint.operators import quality
-from parchmint.operators.assemble import completed
+from parchmint.operators import contract, golden, quality
+from parchmint.operators.assemble import completed, item_evidence, receipt, response
 from parchmint.operators.extract import FIELD, field
 from parchmint.operators.score import scored
-from parchmint.operators.validate import validated
+from parchmint.operators.validate import ISSUE, deduplicated, validated
 from parchmint.sources.render import cents
 
 from .catalog import TODAY, query, table
@@ -95,3 +95,63 @@ def image_quality_issues(spark: SparkSession, sf: str) -> DataFrame:
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     got = quality.image_issues(q * 10, F.lit(900), q * 3, n * 40.0, F.when(F.col("l_discount") < 0.03, 10.0).otherwise(50.0), n - 4.0)
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.array_join(got, " ").alias("issues")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, 'items[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1) || ']' AS key, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice))::INT AS n, l_partkey, l_extendedprice::DECIMAL(18,2) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+    SELECT id, key, CASE WHEN n % 3 = 0 THEN 'Part ' || l_partkey ELSE 'PART ' || l_partkey || '  ' || p END AS source_text, CASE WHEN n % 3 <> 0 THEN n END AS line_index FROM l""")
+def evidence_of_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the items of each order stand in its printed lines; every third comes from a model and stands nowhere."""
+    one = F.struct("l_linenumber", "l_partkey", "l_extendedprice")
+    per = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(per, "id", "left").withColumn("l", F.coalesce("l", F.array().cast(per.schema["l"].dataType)))
+    text = F.array_join(F.concat(F.array(F.lit("STORE")), F.transform("l", lambda x: F.concat(F.lit("PART "), x["l_partkey"].cast("string"), F.lit("  "), cents(x["l_extendedprice"]).cast("string")))), "\n")
+    model = lambda i: (i + 1) % 3 == 0
+    found = F.transform("l", lambda x, i: F.struct(F.concat(F.lit("Part "), x["l_partkey"].cast("string")).alias("description"), F.when(model(i), "LLM").otherwise("REGEX").alias("method"), F.when(~model(i), i + 1).alias("line_index"), F.when(~model(i), 0.9).alias("confidence")))
+    got = rows.select("id", F.map_from_entries(item_evidence(found, text)).alias("evidence")).select("id", F.explode("evidence"))
+    return got.select("id", "key", F.col("value.source_text").alias("source_text"), F.col("value.line_index").alias("line_index"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, l_returnflag AS code, CASE WHEN l_linestatus = 'O' THEN 'total' END AS field, CASE WHEN l_quantity > 35 THEN 2 WHEN l_quantity > 15 THEN 1 ELSE 0 END AS rank FROM lineitem),
+    k AS (SELECT id, code, field, min(pos) AS pos, max(rank) AS rank FROM l GROUP BY ALL)
+    SELECT id, string_agg(code || ':' || coalesce(field, '') || ':' || ['INFO', 'WARNING', 'ERROR'][rank + 1], ' ' ORDER BY pos) AS issues FROM k GROUP BY id""")
+def repeated_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of the same code and field, from the lines of each order: the highest severity stays, at the place of the first."""
+    one = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_quantity")
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    severity = lambda x: F.when(x["l_quantity"] > 35, "ERROR").when(x["l_quantity"] > 15, "WARNING").otherwise("INFO")
+    none = F.lit(None)
+    made = F.transform("l", lambda x: F.struct(x["l_returnflag"].alias("code"), severity(x).alias("severity"), none.cast("string").alias("message"), F.when(x["l_linestatus"] == "O", "total").alias("field"), none.cast("map<string,string>").alias("context")).cast(ISSUE))
+    told = F.transform(deduplicated(made), lambda x: F.concat(x["code"], F.lit(":"), F.coalesce(x["field"], F.lit("")), F.lit(":"), x["severity"]))
+    return rows.select("id", F.array_join(told, " ").alias("issues"))
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    """id, receipt and issues of the spoilt documents."""
+    lists = {"discount_lines": "array<struct<description:string,rate:decimal(28,6)>>", "splits": "array<struct<method:string,amount:decimal(28,6),card_last4:string>>"}
+    docs = _documents(spark, sf).withColumns({c: F.array().cast(t) for c, t in lists.items()})
+    docs = docs.withColumns({c: F.lit(None).cast(FIELD) for c in ("card_type", "auth_code")})
+    return scored(validated(docs, TODAY), TODAY).select("id", receipt(TODAY).alias("receipt"), "issues")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN '$.success: no boolean' WHEN o_orderkey % 10 = 1 THEN '$.data.extra: unknown' WHEN o_orderkey % 14 = 3 THEN '$: no JSON' ELSE '' END AS problems FROM orders""")
+def contract_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses against the published contract; some are broken on purpose."""
+    i = F.col("id")
+    rows = _written(spark, sf).select("id", response(F.col("receipt"), F.col("issues")).alias("r"))
+    body = F.to_json("r", {"ignoreNullFields": "false"})
+    body = F.when(i % 9 == 0, F.replace(body, F.lit('"success":true'), F.lit('"success":"yes"'))).when(i % 10 == 1, F.replace(body, F.lit('"data":{'), F.lit('"data":{"extra":1,'))).when(i % 14 == 3, F.substring(body, 1, 20)).otherwise(body)
+    got = contract.with_problems(rows.select("id", body.alias("body")), "body", rows.schema["r"].dataType)
+    return got.select("id", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("""SELECT o_orderkey AS doc_id, unnest(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'total|1.00|' || CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE o_totalprice::DECIMAL(18,2)::VARCHAR END END,
+        CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 29 <> 0 THEN 'items[0].description|Rope|Soap' END, CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 11 <> 0 THEN 'merchant.name||STORE' END], lambda x: x IS NOT NULL)) AS drift FROM orders""")
+def golden_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Replayed documents against expectations in JSON, some of which say otherwise about a total, an item or a name."""
+    i = F.col("id")
+    rows = _written(spark, sf).select(F.col("id").alias("doc_id"), "id", "receipt")
+    text = F.to_json(F.when(i % 7 == 0, F.col("receipt").withField("total", F.lit("1.00"))).otherwise(F.col("receipt")))
+    text = F.when(i % 5 == 0, F.replace(text, F.lit('"description":"Soap"'), F.lit('"description":"Rope"'))).otherwise(text)
+    text = F.when(i % 6 == 0, F.replace(text, F.lit('"name":"STORE"'), F.lit('"name":null'))).otherwise(text)
+    got = golden.drift(rows.select("doc_id", "receipt"), rows.select("doc_id", text.alias("json")), "doc_id", "receipt")
+    return got.select("doc_id", F.concat_ws("|", "path", F.coalesce("expected", F.lit("")), F.coalesce("actual", F.lit(""))).alias("drift"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,3 +20,12 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # plans of thousands of expressions build in half the time
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read with fewer tasks than the cluster has cores (few files, or few row groups in them), dealt over all of them.
+
+    A table of more splits than cores, as any large one is, stays as it is and moves no row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchmint.config import Settings
+from parchmint.operators.gates import FALLBACK
+
 BOX = "array<int>"
 RECORDED = f"text string, lines array<struct<text:string,confidence:double,bbox:{BOX},page:int,words:array<struct<text:string,confidence:double,bbox:{BOX}>>>>, languages array<string>, width int, height int, model string, source string"
+LINES = f"array<struct<text:string,confidence:double,bbox:{BOX}>>"
+#: Fixed value: the end of a recorded result's file name.
+SUFFIX = ".ocr.json"
 _PROVIDERS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -18,6 +24,36 @@ def recorded_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("lines", effective_lines())
 
 
+def available(spark: SparkSession, root: str) -> DataFrame:
+    """(name, path) of recorded results in root and one level below, told from the listing: no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", True).load(root).select("path")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    depth = whole.count("/") + 1
+    below = F.size(F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/")) - 1
+    return files.where(below <= depth + 1).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), SUFFIX.replace(".", r"\.") + "$", "").alias("name"), "path")
+
+
+def recorded_for(spark: SparkSession, requests: DataFrame, root: str, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, key, lines, error) of requests (doc_id, name, content): the result recorded under the request's name, its content's SHA-256, or `default`.
+
+    A name counts by its last part, so none leaves root. Without a result the error is OCR_EMPTY_RESULT, with one
+    that cannot be read OCR_FAILED; in production every request has PROVIDER_UNAVAILABLE.
+    """
+    asked = requests.withColumn("name", F.element_at(F.split(F.col("name"), "/"), -1))
+    if settings.production:
+        return asked.select("doc_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast(LINES).alias("lines"), F.lit("PROVIDER_UNAVAILABLE").alias("error"))
+    names = available(spark, root)
+    keys = asked.select("doc_id", F.posexplode(F.array("name", F.sha2("content", 256), F.lit("default"))).alias("rank", "name"))
+    hits = keys.join(names, "name").groupBy("doc_id").agg(F.min_by(F.struct(F.col("name").alias("key"), "path"), F.struct("rank", "path")).alias("hit"))
+    payload = spark.read.schema(RECORDED + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", True).json(root)
+    read = payload.select(F.col("_metadata.file_path").alias("path"), effective_lines().alias("lines"), F.col("_corrupt").isNotNull().alias("bad"))
+    same = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    found = hits.select("doc_id", "hit.key", same("hit.path").alias("path")).join(read.withColumn("path", same("path")), "path", "left")
+    error = F.when(F.col("key").isNull(), "OCR_EMPTY_RESULT").when(F.coalesce("bad", F.lit(True)), "OCR_FAILED")
+    return requests.select("doc_id").join(found, "doc_id", "left").select("doc_id", "key", F.when(~F.col("bad"), F.col("lines")).alias("lines"), error.alias("error"))
+
+
 def effective_lines() -> Column:
     """Lines with a score: their own, else the mean of their words', else null."""
     mean = lambda ws: F.try_divide(F.aggregate(ws, F.lit(0.0), lambda a, w: a + F.coalesce(w["confidence"], F.lit(0.0))), F.size(F.filter(ws, lambda w: w["confidence"].isNotNull())))
@@ -72,7 +108,11 @@ def register(name: str, provider: Callable[..., DataFrame]) -> None:
 
 
 def provider(name: str) -> Callable[..., DataFrame]:
-    """The provider of a name; "a+b" takes a's rows and, for documents that a fails on, b's."""
+    """The provider of a name; "a+b" takes a's rows and b's for documents that a has no row for, or a row with an error of its own.
+
+    A row of b tells that it served, and the error of a (first_error) if a gave one; an error that says something
+    of the document stays as it is. A provider of calls is sources.calls.recognised.
+    """
     first, plus, second = name.lower().partition("+")
     for part in (first, second) if plus else (first,):
         if part not in _PROVIDERS:
@@ -81,9 +121,14 @@ def provider(name: str) -> Callable[..., DataFrame]:
         return _PROVIDERS[first]
 
     def chain(docs: DataFrame) -> DataFrame:
-        got = _PROVIDERS[first](docs).withColumn("served_by_fallback", F.lit(False))
+        given = _PROVIDERS[first](docs)
+        error = F.col("error") if "error" in given.columns else F.lit(None).cast("string")
+        asked = F.coalesce(error.isin(*FALLBACK), F.lit(False))
+        got = given.where(~asked).withColumns({"served_by_fallback": F.lit(False), "first_error": F.lit(None).cast("string")})
+        failed = given.where(asked).select("doc_id", error.alias("first_error"))
         rest = docs.join(got.select("doc_id"), "doc_id", "left_anti")
-        return got.unionByName(_PROVIDERS[second](rest).withColumn("served_by_fallback", F.lit(True)))
+        told = _PROVIDERS[second](rest).withColumn("served_by_fallback", F.lit(True)).join(failed, "doc_id", "left")
+        return got.unionByName(told, allowMissingColumns=True)
 
     return chain
 
