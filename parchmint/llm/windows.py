@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmap import key_bitmap, maybe, split_by
-from .common import distinct_names, exists, join_one, raw_text, remove, saved, scratch_path, small_batches
+from .bitmap import BITS, bits_for, key_bitmap, key_bitmaps, maybe, split_by
+from .common import distinct_names, exists, raw_text, remove, saved, scratch_path, small_batches
 
 SHINGLE = 8
 #: Rows that a worker holds before it hands them on.
 ROWS = 20_000
-#: Bytes that a run keeps of each window's own hash; windows are compared only under one 64-bit hash.
-KEPT = 6
+#: Bytes of text for each bucket of a run; documents of a batch that are sampled for hot hashes, and how many of these a run may have.
+BUCKET_BYTES, SAMPLED, HOT = 64 << 20, 800, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
@@ -95,9 +95,10 @@ def _handed_on(out: list[list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch
     return made
 
 
-def _blocks(width: int, known: np.ndarray | None):
-    """The blocks of texts: all of them with their windows' hashes, or those whose hash may be known with their place."""
-    kinds = {"hash": pa.int64(), "digest": pa.binary(), "doc": pa.int64(), **({"windows": pa.binary()} if known is None else {"row": pa.int64(), "start": pa.int64(), "n": pa.int64()})}
+def _blocks(width: int, known: np.ndarray | None = None, many: np.ndarray | None = None):
+    """The blocks of texts: all of them with their windows' hashes, or those whose hash may be known with their
+    place, and with their windows' hashes where blocks of that hash may differ."""
+    kinds = {"hash": pa.int64(), "digest": pa.binary(), "doc": pa.int64(), "windows": pa.binary(), **({} if known is None else {"row": pa.int64(), "start": pa.int64(), "n": pa.int64()})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in kinds]
@@ -121,14 +122,13 @@ def _blocks(width: int, known: np.ndarray | None):
                 out[0] += x[starts].view(np.int64).tolist()
                 out[1] += [_digest(flat[a:b]) for a, b in zip(froms, tos)]
                 out[2] += [doc] * len(starts)
-                if known is None:
-                    cut = own.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
-                    out[3] += [cut[KEPT * a : KEPT * (a + n)] for a, n in zip(starts.tolist(), lengths.tolist())]
-                else:
+                cut, told = own.tobytes(), np.ones(len(starts), bool) if known is None else maybe(many, x[starts])
+                out[3] += [cut[8 * a : 8 * (a + n)] if t else None for a, n, t in zip(starts.tolist(), lengths.tolist(), told.tolist())]
+                if known is not None:
                     row = xxhash.xxh64_intdigest(raw, 42)
-                    out[3] += [row - ((row >> 63) << 64)] * len(starts)
-                    out[4] += starts.tolist()
-                    out[5] += lengths.tolist()
+                    out[4] += [row - ((row >> 63) << 64)] * len(starts)
+                    out[5] += starts.tolist()
+                    out[6] += lengths.tolist()
                 if len(out[0]) >= ROWS:
                     yield _handed_on(out, kinds)
         yield _handed_on(out, kinds)
@@ -136,66 +136,105 @@ def _blocks(width: int, known: np.ndarray | None):
     return run
 
 
-def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of blocks (windows, hash, others): others, hash, the window's own hash and its place."""
-    for batch in batches:
-        raw = [w.as_buffer().to_pybytes() for w in batch.column(0)]
-        n = np.fromiter((len(w) // KEPT for w in raw), np.int64, len(raw))
-        own = np.zeros((int(n.sum()), 8), np.uint8)
-        own[:, :KEPT] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, KEPT)
-        take = pa.array(np.repeat(np.arange(len(raw)), n))
-        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns[1:]], pa.array(own.view(np.int64).ravel()), pa.array(place)], [*batch.schema.names[1:], "own", "place"])
+def _unfolded(many: np.ndarray | None):
+    """A row for each window of blocks (windows, hash, others) whose hash may be in many: hash, others, the window's own hash and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if many is not None:
+                batch = batch.filter(pa.array(maybe(many, np.asarray(batch.column(1)).view(np.uint64))))
+            raw = [w.as_buffer().to_pybytes() for w in batch.column(0)]
+            n = np.fromiter((len(w) // 8 for w in raw), np.int64, len(raw))
+            own = np.frombuffer(b"".join(raw), np.int64)
+            take = pa.array(np.repeat(np.arange(len(raw)), n))
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns[1:]], pa.array(own), pa.array(place)], [*batch.schema.names[1:], "own", "place"])
+
+    return run
 
 
 class WindowIndex:
-    """Sorted immutable runs of (hash, digest, low, high, windows): each block once, with the smallest and largest document of it.
+    """Sorted immutable runs of (slot, hash, digest, low, high, windows): each block once, with the smallest and largest document of it.
+
+    A run is a table bucketed and sorted by slot, so merge joins read it without a shuffle. The slot is the
+    hash; where a sample of the batch shows a hash in a fiftieth of its documents or more (a passage that
+    differs in what surrounds it), its blocks are spread by their digests, and the hash is kept in the list of
+    the run's hot ones, HOT at most. More than `fan` runs of a level become one of the next, by one shuffle. Runs and
+    the manifest that names them lie under path, in the shared folder; an index there is opened again, by
+    any later session. Without a path the index is scratch, has no manifest, and close() removes it.
 
-    A run is a table bucketed and sorted by hash, so merge joins read it without a shuffle. More than
-    `fan` runs of a level become one of the next, by one shuffle. Runs and the manifest that names
-    them lie under path, in the shared folder; an index there is opened again, by any later session.
-    Without a path the index is scratch, and close() removes it.
+    The first batch's bytes decide how many buckets there are, one for BUCKET_BYTES.
     """
 
-    SCHEMA = "hash long, digest binary, low long, high long, windows binary"
+    SCHEMA = "slot long, hash long, digest binary, low long, high long, windows binary"
 
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = 50, buckets: int | None = None, fan: int = 4) -> None:
-        self.spark, self.width, self.fan, self.scratch = spark, width, fan, path is None
+        self.spark, self.width, self.fan, self.scratch, self.buckets = spark, width, fan, path is None, buckets
         self.path = path or scratch_path(spark, "index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[str, int]] = []
+        self.runs: list[tuple[str, int, tuple[int, ...]]] = []
         self.version = 0
-        if exists(spark, f"{self.path}/manifest"):
+        if not self.scratch and exists(spark, f"{self.path}/manifest"):
             rows = spark.read.parquet(f"{self.path}/manifest")
             last = rows.orderBy("version", ascending=False).first()
             self.version, self.width, self.buckets = last["version"], last["width"], last["buckets"]
-            self.runs = [(r["run"], r["level"]) for r in rows.where(F.col("version") == self.version).orderBy("place").collect() if r["run"]]
-            for run, _ in self.runs:
-                spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (hash BIGINT, digest BINARY, low BIGINT, high BIGINT, windows BINARY) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+            self.runs = [(r["run"], r["level"], tuple(r["hot"])) for r in rows.where(F.col("version") == self.version).orderBy("place").collect() if r["run"]]
+            for run, *_ in self.runs:
+                columns = self.SCHEMA.replace("long", "BIGINT").replace("binary", "BINARY")
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {run} ({columns}) USING parquet CLUSTERED BY (slot) SORTED BY (slot) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
 
-    def _write(self, blocks: DataFrame) -> str:
+    def _write(self, blocks: DataFrame, hot: tuple[int, ...]) -> str:
         name = f"parchmint_run_{uuid.uuid4().hex[:12]}"
-        blocks.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").saveAsTable(name)
+        slot = F.when(F.col("hash").isin(*hot), F.xxhash64("digest")).otherwise(F.col("hash")) if hot else F.col("hash")
+        rows = blocks.select(slot.alias("slot"), "hash", "digest", "low", "high", "windows")
+        rows.repartition(self.buckets, "slot").write.bucketBy(self.buckets, "slot").sortBy("slot").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
-    def _note(self, runs: list[tuple[str, int]]) -> None:
+    def _note(self, runs: list[tuple[str, int, tuple[int, ...]]]) -> None:
         """A new version of the manifest; runs that it does not name go."""
         self.version += 1
-        rows = [(self.version, i, run, level, self.width, self.buckets) for i, (run, level) in enumerate(runs or [("", 0)])]
-        kind = "version int, place int, run string, level int, width int, buckets int"
-        self.spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        for run, _ in set(self.runs) - set(runs):
+        if not self.scratch:
+            rows = [(self.version, i, run, level, list(hot), self.width, self.buckets) for i, (run, level, hot) in enumerate(runs or [("", 0, ())])]
+            kind = "version int, place int, run string, level int, hot array<long>, width int, buckets int"
+            self.spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        for run, *_ in set(self.runs) - set(runs):
             self.spark.sql(f"DROP TABLE {run}")
             remove(self.spark, f"{self.path}/{run}")
         self.runs = runs
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def _hot(self, docs: DataFrame, n: int) -> tuple[int, ...]:
+        """Hashes of blocks that a fiftieth of a sample of documents have; what is missed costs balance only."""
+        sample = docs.sample(min(1.0, SAMPLED / max(1, n)), seed=5)
+        seen = sample.mapInArrow(_blocks(self.width), "hash long, digest binary, doc long, windows binary").groupBy("hash").agg(F.count("*").alias("k"), F.countDistinct("digest").alias("unlike"))
+        least = max(16, min(n, SAMPLED) // 50)
+        return tuple(r["hash"] for r in seen.where((F.col("k") >= least) & (F.col("unlike") > 1)).orderBy(F.desc("k"), "hash").limit(HOT).collect())
+
+    def _related(self, own: DataFrame, hot: tuple[int, ...]) -> list[DataFrame]:
+        """Blocks of older runs with a hash that this run has, by merge joins of sorted runs; hashes that are hot on either side by list."""
+        cold = own.where("slot = hash").select("slot").distinct().hint("merge")
+        both = {h for _, _, old in self.runs for h in old}
+        met = [r["hash"] for r in own.where(F.col("hash").isin(*both)).select("hash").distinct().collect()] if both else []
+        out = []
+        for name, _, old in self.runs:
+            table = self.spark.table(name)
+            out.append(table.join(cold, "slot", "left_semi"))
+            listed = [*(set(met) & set(old)), *hot]
+            if listed:  # what the merge join has found is not taken again
+                known = F.col("hash").isin(*listed) & ((F.col("slot") != F.col("hash")) | F.col("hash").isin(*hot) if hot else F.col("slot") != F.col("hash"))
+                out.append(table.where(known).join(cold, "slot", "left_anti"))
+        return [x.select("hash", "digest", "low", "high", "windows") for x in out]
+
+    def add(self, docs: DataFrame, n: int | None = None, size: int | None = None) -> DataFrame:
         """Take a batch (doc, text) in; returns (doc, row, start, n): windows start .. start + n - 1 of its
         texts that a document with a smaller id has too, in the batch or before.
 
         Earlier batches are judged no more. A block whose digest a smaller document has is repeated
-        whole; the others of a hash with several digests are compared window by window.
+        whole; the others of a hash with several digests are compared window by window, by 64 bits of the
+        window's own hash under the 64 bits of the block's. n and size are the batch's documents and bytes, if known.
         """
+        if n is None or (size is None and self.buckets is None):
+            told = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+            n, size = told["n"], told["size"]
+        self.buckets = self.buckets or max(1, -(-size // BUCKET_BYTES))
         passing: list[str] = []
 
         def kept_for_now(df: DataFrame, name: str) -> DataFrame:
@@ -203,53 +242,52 @@ class WindowIndex:
             df.write.parquet(passing[-1])
             return self.spark.read.schema(df.schema).parquet(passing[-1])
 
-        made = docs.mapInArrow(_blocks(self.width, None), "hash long, digest binary, doc long, windows binary")
-        run = self._write(made.groupBy("hash", "digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows")))
+        hot = self._hot(docs, n)
+        made = docs.mapInArrow(_blocks(self.width), "hash long, digest binary, doc long, windows binary")
+        run = self._write(made.groupBy("hash", "digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows")), hot)
         own = self.spark.table(run)
-        heads = own.select("hash", "digest", "low", "high")
-        hashes = heads.groupBy("hash").agg(F.count("*").alias("k"), F.max(F.col("high") > F.col("low")).alias("shared"))
-        older = [self.spark.table(name) for name, _ in self.runs]
-        shared = [t.join(hashes.hint("merge"), "hash", "left_semi") for t in older]
-        related = kept_for_now(reduce(DataFrame.unionByName, shared), "related") if shared else own.limit(0)
-        known = kept_for_now(hashes.where("k > 1 or shared").select("hash").unionByName(related.select("hash")).distinct(), "known")
-        mine = kept_for_now(own.join(known, "hash", "left_semi"), "mine")
-        every = mine.unionByName(related)
-        lows = every.groupBy("hash", "digest").agg(F.min("low").alias("low"))
-        many = kept_for_now(every.groupBy("hash").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("hash"), "many")
-        found = kept_for_now(docs.mapInArrow(_blocks(self.width, key_bitmap(known, "hash")), "hash long, digest binary, doc long, row long, start long, n long"), "found")
-        total = found.count()
-        counts = found.groupBy("hash", "digest").agg(F.count("*").alias("count"))
-        judged = kept_for_now(join_one(found, kept_for_now(lows.join(counts, ["hash", "digest"]), "lows"), ["hash", "digest"], "count", total).drop("count"), "judged")
+        mine = own.select("hash", "digest", "low", "high", "windows")
+        every = mine
+        if self.runs:
+            related = kept_for_now(reduce(DataFrame.unionByName, self._related(own, hot)), "related")
+            every = related.withColumn("old", F.lit(1)).unionByName(mine.withColumn("old", F.lit(0)))
+        flags = every.groupBy("hash").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.max(F.col("high") > F.col("low")).alias("shared"), *([F.max("old").alias("old")] if self.runs else []))
+        many = F.col("a") != F.col("b")
+        known = many | F.col("shared") | (F.col("old") > 0) if self.runs else many | F.col("shared")
+        bits = bits_for(2 * size // 100) if size else BITS  # a block begins about every 22 words
+        known_bits, many_bits = key_bitmaps(flags, "hash", [known, many], bits)
+
+        found = kept_for_now(docs.mapInArrow(_blocks(self.width, known_bits, many_bits), "hash long, digest binary, doc long, windows binary, row long, start long, n long"), "found")
+        lows = kept_for_now(every.select("digest", "low", "hash").mapInArrow(split_by(known_bits, True), "digest binary, low long, hash long").groupBy("hash", "digest").agg(F.min("low").alias("low")), "lows")
+        judged = found.join(lows, ["hash", "digest"])  # both sides are shuffled for it, so Spark splits a passage that many documents have
         whole = judged.where("low < doc").select("doc", "row", "start", "n")
-        unfolded = every.join(many, "hash", "left_semi").select("windows", "hash", "low").mapInArrow(_unfolded, "hash long, low long, own long, place long")
-        first = unfolded.groupBy("hash", "own").agg(F.min("low").alias("least"))
-        contested = judged.where("low = doc").select("hash", "digest", "doc", "row", "start").join(many, "hash", "left_semi")
-        kept = mine.join(many, "hash", "left_semi").select("hash", "digest", "windows")
-        singles = kept_for_now(contested.join(kept, ["hash", "digest"]).select("windows", "hash", "doc", "row", "start").mapInArrow(_unfolded, "hash long, doc long, row long, start long, own long, place long"), "singles")
-        least = kept_for_now(first.join(singles.groupBy("hash", "own").agg(F.count("*").alias("count")), ["hash", "own"]), "least")
-        parts = join_one(singles, least, ["hash", "own"], "count", singles.count()).where("least < doc")
+        unfolded = every.select("windows", "hash", "low").mapInArrow(_unfolded(many_bits), "hash long, low long, own long, place long")
+        least = kept_for_now(unfolded.groupBy("hash", "own").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").drop("most"), "least")
+        contested = judged.where("low >= doc and windows is not null").select("windows", "hash", "doc", "row", "start")
+        singles = contested.mapInArrow(_unfolded(None), "hash long, doc long, row long, start long, own long, place long")
+        parts = singles.join(least, ["hash", "own"]).where("least < doc")
         spans = saved(whole.unionByName(parts.select("doc", "row", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("n"))), "spans")
         for path in passing:
             remove(self.spark, path)
-        self._note([*self.runs, (run, 0)])
-        self.compact()
+        self._note([*self.runs, (run, 0, hot)])
         return spans
 
     def compact(self) -> None:
         """Merge the runs of each level that has more than `fan`, the lowest first."""
         level = 0
-        while level <= max((x for _, x in self.runs), default=-1):
-            old = [run for run, x in self.runs if x == level]
+        while level <= max((x for _, x, _ in self.runs), default=-1):
+            old = [(run, hot) for run, x, hot in self.runs if x == level]
             if len(old) > self.fan:
                 # the files, not the tables: Spark 4.1 takes a union of bucketed tables for bucketed, and would group each run by itself
-                both = reduce(DataFrame.unionByName, [self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{run}") for run in old])
-                merged = self._write(both.repartition(self.buckets, "hash").groupBy("hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows")))
-                self._note([*[(run, x) for run, x in self.runs if x != level], (merged, level + 1)])
+                both = reduce(DataFrame.unionByName, [self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{run}") for run, _ in old])
+                hot = tuple(sorted({h for _, own in old for h in own})[: HOT * self.fan * 2])
+                merged = self._write(both.groupBy("hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows")), hot)
+                self._note([*[r for r in self.runs if r[1] != level], (merged, level + 1, hot)])
             level += 1
 
     def close(self) -> None:
         """Forget the tables; files stay for the next to open the index, unless it is scratch."""
-        for run, _ in self.runs:
+        for run, *_ in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
         if self.scratch:
             remove(self.spark, self.path)
@@ -280,7 +318,7 @@ def _cut(width: int):
     return run
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 4, fan: int = 2, index: WindowIndex | None = None) -> DataFrame:
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 3, fan: int = 1, index: WindowIndex | None = None) -> DataFrame:
     """docs without words covered by a window that also starts in a document with a smaller id.
 
     Returns all columns of docs, text_col with the kept words joined by one space, and n_words and
@@ -290,10 +328,10 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives an empty table.
 
     With an index docs are one more batch of it, judged against all that it holds. Else they enter a
-    scratch index in `batches` ranges of ids, smaller ids first, which gives the same as one batch.
+    scratch index in `batches` ranges of ids, cut at quantiles, smaller ids first, which gives the same as
+    one batch.
     Blocks, window hashes and spans are shuffled; a passage that a third of all documents share is one
-    row for each task after partial aggregates, and blocks that hold more than a thousandth of all rows
-    are joined by broadcast. Texts are shuffled only for documents that lose words (and the few that a
+    row for each task after partial aggregates, and Spark splits the joins of such rows. Texts are shuffled only for documents that lose words (and the few that a
     filter of fixed size lets through).
     """
     spark = docs.sparkSession
@@ -302,14 +340,21 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     if index is None:
         own = WindowIndex(spark, width=width, fan=fan)
-        ends = small.agg(F.min("doc").alias("a"), F.max("doc").alias("b")).first()
-        low, high = (ends["a"], ends["b"]) if ends["a"] is not None else (0, 0)
-        cuts = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1]
-        found = [own.add(small.where((F.col("doc") >= a) & (F.col("doc") < b))) for a, b in zip(cuts, cuts[1:])]
+        shares = [i / batches for i in range(1, batches)]
+        told = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.percentile_approx("doc", shares or [0.5], 1000).alias("cuts")).first()
+        cuts = sorted(set(told["cuts"] or [])) if shares else []  # ids of documents; the last batch may be empty
+        found = []
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            part = small if low is None else small.where(F.col("doc") > low)
+            part = part if high is None else part.where(F.col("doc") <= high)
+            if found:
+                own.compact()
+            found.append(own.add(part, told["n"] // batches, told["size"] // batches))
         spans = reduce(DataFrame.unionByName, found)
         own.close()
     else:
         width, spans = index.width, index.add(small)
+        index.compact()
     rows, mark, other, key = distinct_names([*docs.columns, words, removed], "_row", "_spans", "_doc", "_key")
     lost = spans.groupBy(F.col("doc").alias(other), F.col("row").alias(rows)).agg(F.collect_list(F.struct("start", "n")).alias(mark))
     affected = key_bitmap(spans.select(F.xxhash64("doc").alias("key")).distinct(), "key")

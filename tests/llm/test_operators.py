@@ -442,8 +442,8 @@ def test_an_index_takes_batches_in_two_sessions(spark, tmp_path):
         index = WindowIndex(session, str(tmp_path / "index"), width=20, fan=1)
         part = dedup_windows(table(session, [r for r in rows if a <= r[0] < b]), index=index)
         got += part.collect()
-        seen.append(sorted(level for _, level in index.runs))
-        for run, _ in index.runs:  # a run has each block once, also after compaction
+        seen.append(sorted(level for _, level, _ in index.runs))
+        for run, *_ in index.runs:  # a run has each block once, also after compaction
             held = [(r["hash"], bytes(r["digest"])) for r in session.table(run).collect()]
             assert len(held) == len(set(held))
         index.close()
@@ -451,6 +451,30 @@ def test_an_index_takes_batches_in_two_sessions(spark, tmp_path):
     assert seen == [[0], [1], [0, 1]]
 
 
+def test_windows_of_the_largest_and_smallest_ids(spark):
+    from parchmint.llm.windows import dedup_windows
+
+    text = " ".join(words(80, 90))
+    rows = [(2**63 - 1, text, "s"), (-(2**63), text, "s"), (5, "x " + text, "s"), (2**63 - 2, " ".join(words(60, 91)), "s"), (None, text, "s")]
+    got = dedup_windows(table(spark, rows)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {2**63 - 1: 80, -(2**63): 0, 5: 80, 2**63 - 2: 0, None: 0}
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_one_passage_in_unlike_surroundings(spark, batches, monkeypatch):
+    from parchmint.llm import windows
+
+    shared = words(45, 92)
+    rows = [(i, " ".join([*words(20, 1000 + i), *shared, *words(20 + i % 3, 2000 + i)]), "s") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more", "s") for i in range(0, 60, 7)] + [(200, " ".join(words(400, 93)), "s")]
+    seen = []
+    close = windows.WindowIndex.close
+    monkeypatch.setattr(windows.WindowIndex, "close", lambda self: (seen.append([hot for *_, hot in self.runs]), close(self))[1])
+    got = windows.dedup_windows(table(spark, rows), batches=batches).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == brute_windows(rows, 50)
+    assert all(seen[0])  # each run spreads the passage's hashes
+
+
 def test_windows_random(spark):
     from parchmint.llm.windows import dedup_windows
 
