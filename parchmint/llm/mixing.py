@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, distinct_names, running_total, saved
@@ -128,6 +128,7 @@ def mix(
     seed: int = 1,
     id_col: str = "doc_id",
     buckets: int = 4096,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """How often each document enters a mix whose sources come near target sizes.
 
@@ -140,7 +141,7 @@ def mix(
     array of structs (source, source_size, target) of the document's sources. Documents are taken
     whole: a source misses its target by half a document at most for each pattern and level. Repeated
     rows are documents of their own. Documents without words are never taken, an empty table gives an
-    empty table. The order that decides is xxhash64(seed, id): reruns agree. Fails beyond
+    empty table. The order that decides is xxhash64(seed, id), then id, size and the columns of ties: reruns agree. Fails beyond
     MAX_PATTERNS patterns instead of collecting more.
 
     The text is read once; what is shuffled is (id, pattern, size). Patterns are aggregated before the
@@ -171,7 +172,7 @@ def mix(
         rows.append((p, list(names), ends, [(s[1:] if s[0] == "0" else None, sizes[index[s]], float(goal[index[s]])) for s in names]))
     table = spark.createDataFrame(rows, f"`{pid}` int, _names array<string>, `{cuts}` array<bigint>, `{targets}` array<struct<source:string,source_size:bigint,target:double>>")
     told = sized.join(F.broadcast(table), F.col(pattern) == F.col("_names"), "left").drop("_names", pattern)  # at most MAX_PATTERNS rows
-    order = [F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col), F.col(size_c)]
+    order = [F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col), F.col(size_c), *map(F.col, ties)]
     scanned = running_total(told, [pid], order, order[0], F.col(size_c), before, buckets)
     middle = 2 * F.col(before) + F.col(size_c)
     times = F.aggregate(F.transform(F.col(cuts), lambda c: ((middle < 2 * c) & (F.col(size_c) > 0)).cast("int")), F.lit(0), lambda a, x: a + x)
@@ -186,8 +187,23 @@ def mix_by_source(docs: DataFrame, source_col: str = "source", text_col: str = "
     return mix(small, F.array(F.col("_source")), F.col("_words"), **options)
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, uses_col: str = "_uses", id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document as many times as it is used; unused ones go. ids must be unique."""
-    uses = mixed.select(F.col(id_col).alias("_id"), F.col(uses_col).alias("_n")).where(F.col("_n") > 0)
-    joined = docs.join(uses, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[f"`{c}`" for c in docs.columns])
+def mixed_rows(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 1, **options) -> DataFrame:
+    """The mix of mix_by_source itself: rows of docs as often as it takes them, with docs' columns alone; unused ones go.
+
+    Rows are told apart by two 64-bit hashes of all their columns, so rows that share an id or have none are
+    taken each as often as they should. Rows equal in all columns share what is taken of them evenly, the rest
+    goes to some of them. Null texts have no words and go, as does an empty table. Texts are shuffled once.
+    """
+    one, two, n, k = distinct_names(docs.columns, "_key1", "_key2", "_n", "_k")
+    parts = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    keyed = docs.select("*", F.xxhash64(*parts).alias(one), F.xxhash64(F.lit(seed), *parts).alias(two))
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    small = saved(keyed.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(one).alias("key1"), F.col(two).alias("key2"), size.alias("words")), "mix")
+    told = mix(small, F.array(F.col("source")), F.col("words"), seed=seed, id_col="id", ties=("key1", "key2"), **options).where("_uses > 0")
+    uses = told.groupBy(F.col("key1").alias(one), F.col("key2").alias(two)).agg(F.sum("_uses").alias(n))
+    rows = small.groupBy(F.col("key1").alias(one), F.col("key2").alias(two)).agg(F.count("*").alias(k))
+    joined = keyed.join(uses.join(rows, [one, two]), [one, two])
+    first = F.row_number().over(Window.partitionBy(one, two).orderBy(one))
+    times = F.floor(F.col(n) / F.col(k)) + (first <= F.col(n) % F.col(k)).cast("long")
+    out = joined.withColumn(n, times).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    return out.select(*[f"`{c}`" for c in docs.columns])

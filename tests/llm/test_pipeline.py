@@ -60,3 +60,46 @@ def test_near_copies_keeps_one_row_of_each_group_whatever_the_ids(spark):
     assert len(groups) == 16 and {(r["doc_id"], r["text"]) for r in got} <= set(rows)
     want = Counter((g, min([i for i in ids if i is not None], default=None)) for g, ids in groups.items())
     assert Counter((low[fps[r["text"]]], r["doc_id"]) for r in got) == want
+
+
+def test_rows_that_share_an_id_pass_every_stage(spark, tmp_path):
+    import corpus_pipeline as own
+    from tests.llm.test_operators import words
+
+    text = lambda k, n=60: " ".join(words(n, 700 + k))
+    rows = [(5, text(0), "en", "a"), (5, text(1, 90), "de", "a"), (None, text(2), "en", "b"), (None, text(3), "en", None), (7, None, "en", "a"), (8, "", "de", "b"), (9, text(4), None, "b"), (9, text(4), None, "b"), (10, " 123 ", "en", "a"), (11, text(5, 20_000), "en", "c")]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), "x") for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _uses string").repartition(4)
+    plain = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    written = [r for r in rows if any(map(str.isalpha, r[1] or ""))]
+    first = own.language(spark, docs, SF)
+    assert first.columns == own.COLUMNS and plain(first) == Counter((i, t, s) for i, t, _, s in written)
+    second = own.lines(spark, docs, SF)
+    assert plain(second) == Counter((i, t or "", s) for i, t, _, s in rows)
+    third = own.near_copies(spark, docs, SF)
+    assert Counter(r["doc_id"] for r in third.collect())[9] == 1
+    fourth = plain(own.mixture(spark, docs, SF))
+    size = {(i, t, s): len(WORD.findall(t or "")) for i, t, _, s in rows}
+    most = Counter((i, t, s) for i, t, _, s in rows)
+    assert set(fourth) <= set(most) and all(0 < n <= 2 * most[r] and size[r] for r, n in fourth.items())
+    from parchmint.llm.mixing import fill_targets
+
+    names = ["a", "b", "c", None]
+    total = [sum(size[i, t, s] for i, t, _, s in rows if s == name) for name in names]
+    goal = fill_targets(total, [5, 2, 1, 5], 1.5 * sum(total), 2)
+    largest = {name: max(size[i, t, s] for i, t, _, s in rows if s == name) for name in names}
+    for name, g in zip(names, goal):
+        assert abs(sum(n * size[r] for r, n in fourth.items() if r[2] == name) - g) <= largest[name]
+    fifth = own.sequences(spark, docs, SF).where("start = 0")
+    assert Counter(r["doc_id"] for r in fifth.collect()) == Counter(i for i, *_ in rows)
+    for _, stage in own.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_two_unlike_rows_of_one_id_are_not_multiplied(spark):
+    from parchmint.llm.mixing import mixed_rows
+    from tests.llm.test_operators import words
+
+    rows = [(5, " ".join(words(10, 1)), "a"), (5, " ".join(words(30, 2)), "a"), (None, "x y", "a"), (None, "z", "a"), (6, "same", "a"), (6, "same", "a"), (6, "same", "a")]
+    got = Counter(map(tuple, mixed_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_uses=2).collect()))
+    words_taken = sum(n * len(t.split()) for (_, t, _), n in got.items())
+    assert abs(words_taken - 1.5 * 46) <= 30 and all(n <= 2 * rows.count(r) for r, n in got.items())
