@@ -1,7 +1,9 @@
 """A corpus from raw documents: language, lines, near copies, mix, sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
-return the columns of documents; n_chars follows the text.
+return the columns of documents; n_chars follows the text. Other columns go. Rows that share an id or
+have none are documents of their own in every stage, texts are read whole, and an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from parchmint.llm.common import saved
 from parchmint.llm.language import identify
 from parchmint.llm.lines import dedup_lines
-from parchmint.llm.mixing import mix_by_source, repeated
+from parchmint.llm.mixing import mixed_rows
 from parchmint.llm.packing import pack
 from parchmint.llm.simhash import simhash_representatives
 
@@ -23,12 +25,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
+    """Documents in which a language is found; null texts and those without a letter go. Repeated rows stay."""
     return identify(docs.select(*COLUMNS), keep_text=True).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that 10 of them share."""
+    """Documents without the lines that 10 of them share; a repeated row counts each time. Null text becomes empty."""
     return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -38,8 +40,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as it takes them, so one may come twice, and none that it leaves."""
-    return repeated(docs.select(*COLUMNS), mix_by_source(docs)).select(*COLUMNS)
+    """The mix: each row as often as it takes it, so one may come twice, and none that it leaves; those without words go. A null source is one of its own."""
+    return mixed_rows(docs.select(*COLUMNS))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
