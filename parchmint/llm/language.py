@@ -23,6 +23,8 @@ from .toxicity import held_out
 
 #: Texts of a batch, and entries of a matrix of presence that is held at once.
 BATCH, HELD = 128, 1 << 22
+#: Landmarks of all languages together, characters of a text that the fit reads, and entries of a table of n-grams by languages.
+LANDMARKS, FIT_CHARS, TOLD = 2048, 8000, 1 << 24
 
 
 @cache
@@ -45,83 +47,111 @@ def gram_codes(text: str) -> np.ndarray:
 
 @dataclass
 class Kernel:
-    """All n-grams of the landmarks, and what each gives each language: the landmarks' rows of presence times their weights."""
+    """All n-grams of the landmarks, which landmarks have each (grams' rows of `marks` from `starts` on), and what each landmark gives each language.
+
+    told has what each n-gram gives each language, the sum over its landmarks, where that table is small; else
+    kernels are computed and weighted. Both are the same sums in another order.
+    """
 
     grams: np.ndarray
-    told: np.ndarray
+    starts: np.ndarray
+    marks: np.ndarray
+    scale: np.ndarray
     names: list[str]
+    weight: np.ndarray | None = None
+    told: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, codes: list[np.ndarray], names: list[str]) -> Kernel:
+        """The inverted index of landmarks' n-grams."""
+        flat = np.concatenate(codes)
+        owner = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])
+        order = np.argsort(flat, kind="stable")
+        grams, starts = np.unique(flat[order], return_index=True)
+        return cls(grams, np.concatenate([starts, [len(flat)]]), owner[order], np.array([1 / math.sqrt(len(c)) for c in codes]), names)
+
+    def weighted(self, weight: np.ndarray) -> None:
+        """Take landmarks' weights on: a row for each, a column for each language."""
+        self.weight = weight * self.scale[:, None]
+        if len(self.grams) * weight.shape[1] <= TOLD:
+            step, parts = max(1, HELD // weight.shape[1]), []
+            for i in range(0, len(self.grams), step):  # each has one landmark at least
+                at = self.starts[i : min(i + step, len(self.grams))]
+                end = self.starts[min(i + step, len(self.grams))]
+                parts.append(np.add.reduceat(self.weight[self.marks[at[0] : end]], at - at[0], axis=0).astype(np.float32))
+            self.told = np.concatenate(parts)
+
+    def found(self, codes: np.ndarray) -> np.ndarray:
+        """Places of those n-grams that some landmark has."""
+        at = np.searchsorted(self.grams, codes)
+        at[at == len(self.grams)] = 0
+        return at[self.grams[at] == codes]
+
+    def kernels(self, codes: np.ndarray) -> np.ndarray:
+        """How many n-grams a text shares with each landmark, over the root of how many it has."""
+        at = self.found(codes)
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(at) else np.empty(0, np.int64)
+        return np.bincount(self.marks[rows], minlength=len(self.scale)) / math.sqrt(len(codes))
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """A row for each text: which grams it has, divided by the root of how many n-grams it has in all."""
-        out = np.zeros((len(texts), len(self.grams)), np.float32)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """A column for each language: near 1 for it, near -1 for others."""
+        out = np.zeros((len(texts), len(self.names)))
         for i, text in enumerate(texts):
             codes = gram_codes(text)
-            at = np.searchsorted(self.grams, codes)
-            at[at == len(self.grams)] = 0
-            out[i, at[self.grams[at] == codes]] = 1 / math.sqrt(len(codes))
+            out[i] = self.told[self.found(codes)].sum(0, dtype=np.float64) / math.sqrt(len(codes)) if self.told is not None else self.kernels(codes) @ self.weight
         return out
 
-    def times(self, texts: list[str], matrix: np.ndarray) -> np.ndarray:
-        """Rows of presence times a matrix, in batches: with the landmarks' rows these are kernels."""
-        step = max(1, min(BATCH, HELD // len(self.grams)))
-        return np.concatenate([self.presence(texts[i : i + step]) @ matrix for i in range(0, len(texts), step)])
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """A column for each language: near 1 for it, near -1 for others."""
-        return self.times(texts, self.told)
-
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
 def fit(texts: list[str], names: list[str], landmarks: int = 64, ridge: float = 1e-2) -> Kernel | None:
-    """Fit on texts in random order and their languages: the first `landmarks` of each language, all texts for the regression.
+    """Fit on texts in random order and their languages: the first `landmarks` of each language (fewer where
+    LANDMARKS bounds those of all languages), all texts for the regression; only a text's first FIT_CHARS characters.
 
-    None where there is nothing to learn.
+    None where there is nothing to learn. Landmarks are kept as sorted n-grams and an inverted index, so memory
+    goes with how many n-grams they have and not with landmarks times all n-grams.
     """
     known = sorted(set(names))
     if not known:
         return None
     of = {k: [i for i, m in enumerate(names) if m == k] for k in known}
-    marks = [texts[i] for own in of.values() for i in own[:landmarks]]
-    grams = np.unique(np.concatenate([gram_codes(t) for t in marks]))
-    model = Kernel(grams, np.empty((len(grams), 0), np.float32), known)
-    rows = model.presence(marks)
-    base = (rows @ rows.T).astype(float)
-    value, vector = np.linalg.eigh(base)
+    each = max(1, min(landmarks, LANDMARKS // len(known)))
+    codes = {i: gram_codes(texts[i][:FIT_CHARS]) for own in of.values() for i in own[:each]}
+    model = Kernel.of(list(codes.values()), known)
+    base = np.stack([model.kernels(c) for c in codes.values()]) * model.scale
+    value, vector = np.linalg.eigh((base + base.T) / 2)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    phi = model.times(texts, rows.T).astype(float) @ root
+    phi = np.concatenate([np.stack([model.kernels(codes[i] if i in codes else gram_codes(texts[i][:FIT_CHARS])) for i in range(at, min(at + BATCH, len(texts)))]) * model.scale @ root for at in range(0, len(texts), BATCH)])
     y = np.array([[1.0 if m == k else -1.0 for k in known] for m in names])
     weight = np.array([1.0 / len(of[m]) for m in names])[:, None] * len(names) / len(known)
     alpha = np.linalg.solve(phi.T @ (phi * weight) + ridge * np.eye(phi.shape[1]) * len(names) / 100, phi.T @ (y * weight))
-    model.told = rows.T @ (root @ alpha).astype(np.float32)
+    model.weighted(root @ alpha)
     return model
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most: int = 8000, most_bytes: int = 64 << 20, seed: int = 6) -> tuple[list[str], list[str]]:
-    """Texts with a letter and their languages, held-out rows apart, in an order drawn by seed.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most: int = 8000, seed: int = 6) -> tuple[list[str], list[str]]:
+    """Beginnings of texts with a letter and their languages, held-out rows apart, in an order drawn by seed.
 
     Of each language per_language documents at most, of all together `most`: first one of each
-    language, then a second, and so on, as long as their texts fit in most_bytes. Ids are ranked, and
+    language, then a second, and so on. Of each text FIT_CHARS characters: the fit is bounded by
+    `most` times as many, and no language goes for the length of its texts. Ids are ranked, and
     cut in each task before they are shuffled; only texts of chosen rows move.
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    keyed = rows.select("_lang", F.xxhash64(F.lit(seed), "_id", "_text").alias("_key"), F.octet_length("_text").cast("long").alias("_size"))
+    keyed = rows.select("_lang", F.xxhash64(F.lit(seed), "_id", "_text").alias("_key"))
     for own in (["_lang", F.pmod("_key", F.lit(256))], ["_lang"]):  # a hot language is cut in parts first
         rank = F.row_number().over(Window.partitionBy(*own).orderBy("_key"))
         keyed = keyed.withColumn("_rank", rank).where(F.col("_rank") <= per_language)
-    ranked = keyed.orderBy("_rank", "_key").limit(most).collect()
-    chosen, total = set(), 0
-    for r in ranked:
-        if total + r["_size"] <= most_bytes:
-            total += r["_size"]
-            chosen.add(r["_key"])
+    chosen = [r["_key"] for r in keyed.orderBy("_rank", "_key").limit(most).collect()]
     if not chosen:
         return [], []
-    picked = docs.sparkSession.createDataFrame([(k,) for k in sorted(chosen)], "_key long")
-    got = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_id", "_text")).join(F.broadcast(picked), "_key").dropDuplicates(["_key"]).collect()  # at most `most` rows
+    picked = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(chosen))], "_key long")
+    cut = F.substring(F.regexp_replace("_text", r"^[^\p{L}]+", " "), 1, FIT_CHARS)
+    got = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_id", "_text")).join(F.broadcast(picked), "_key").dropDuplicates(["_key"]).select("_key", cut.alias("_text"), "_lang").collect()  # at most `most` rows
     got = sorted((r for r in got if has_letter(r["_text"])), key=lambda r: r["_key"])
     return [r["_text"] for r in got], [r["_lang"] for r in got]
 

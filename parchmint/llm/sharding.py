@@ -9,7 +9,8 @@ it, and never move between others, whatever the number of shards.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -34,25 +35,51 @@ def even_tree(shards: int, racks: int = 2, per_rack: int = 4) -> list[Leaf]:
     return [Leaf(i, i // (racks * per_rack), i // per_rack % racks) for i in range(shards)]
 
 
-def _clock(key: Column, leaf: Leaf, salt: int) -> Column:
-    """struct<draw, shard> of a leaf. u is odd/2^53: never 0 or 1, and exact as a double."""
-    h = F.xxhash64(key, *[F.lit(x) for x in (salt, leaf.region, leaf.rack, leaf.shard)])
-    u = (F.shiftrightunsigned(h, 12) * 2 + 1).cast("double") / F.lit(float(2**53))
-    return F.struct((-F.log(u) / F.lit(float(leaf.weight))).alias("draw"), F.lit(leaf.shard).alias("shard"))
+_TREE = "array<struct<n:int,racks:array<struct<n:int,leaves:array<struct<n:int,weight:double>>>>>>"
 
 
-def _least(draws: Sequence[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
-
-
-def place(key: Column, leaves: Sequence[Leaf], salt: int = 0) -> Column:
-    """The shard of a key: the tree and the key decide alone. Weights of 0 draw nothing; a tie goes to the lower shard."""
+def _tree(leaves: Sequence[Leaf]) -> Column:
+    """The tree as one literal of nested arrays in order of numbers; leaves of weight 0 are left out."""
     alive = sorted((x for x in leaves if x.weight > 0), key=lambda x: (x.region, x.rack, x.shard))
     if not alive:
         raise ValueError("no shard has weight")
-    racks = [(region, _least([_clock(key, x, salt) for x in own])) for (region, _), own in groupby(alive, key=lambda x: (x.region, x.rack))]
-    regions = [_least([draw for _, draw in own]) for _, own in groupby(racks, key=lambda x: x[0])]
-    return _least(regions)["shard"].cast("int")
+    regions = [{"n": region, "racks": [{"n": rack, "leaves": [{"n": x.shard, "weight": x.weight} for x in own]} for rack, own in groupby(racks, key=lambda x: x.rack)]} for region, racks in groupby(alive, key=lambda x: x.region)]
+    return F.from_json(F.lit(json.dumps(regions)), _TREE)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _least(nodes: Column, draw: Callable[[Column], Column]) -> Column:
+    """The node of the least draw, the first of equals."""
+    at = F.array_min(F.transform(nodes, lambda x, i: F.struct(draw(x).alias("draw"), i.alias("i"))))["i"]
+    return F.get(nodes, at)
+
+
+def place(key: Column, leaves: Sequence[Leaf], salt: int = 0) -> Column:
+    """The shard of a key: the tree and the key decide alone. Weights of 0 draw nothing; a tie goes to the lower number.
+
+    The descent takes the region of the least draw, of its racks the one of the least draw, and of that one's
+    shards the one of the least. The tree is data, so the expression is as large for a thousand shards as for two.
+    """
+
+    def clock(region: Column, rack: Column, leaf: Column) -> Column:
+        """u is odd/2^53: never 0 or 1, and exact as a double."""
+        h = F.xxhash64(key, F.lit(salt), region, rack, leaf["n"])
+        u = (F.shiftrightunsigned(h, 12) * 2 + 1).cast("double") / F.lit(float(2**53))
+        return -F.log(u) / leaf["weight"]
+
+    def of_rack(region: Column, rack: Column) -> Column:
+        return F.array_min(F.transform(rack["leaves"], lambda x: clock(region, rack["n"], x)))
+
+    def of_region(region: Column) -> Column:
+        return F.array_min(F.transform(region["racks"], lambda k: of_rack(region["n"], k)))
+
+    def in_region(region: Column) -> Column:
+        return _bound(_least(region["racks"], lambda k: of_rack(region["n"], k)), lambda rack: _least(rack["leaves"], lambda x: clock(region["n"], rack["n"], x))["n"])
+
+    return _bound(_least(_tree(leaves), of_region), in_region)
 
 
 def shard(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = 4096) -> DataFrame:

@@ -302,10 +302,12 @@ def _passes(e: np.ndarray, mask: np.ndarray, move: np.ndarray) -> tuple[np.ndarr
     return p, (ot * x / z, a * to / z, a * tt * x / z)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> tuple[list[str], list[str], float]:
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", seed: int = 5, most_bytes: int = 128 << 20) -> tuple[list[str], list[str], float]:
     """Texts of about per_class (toxic, clean) labelled documents that are not held out, by seeded hash,
     and how much heavier a clean one counts.
 
+    Together they have most_bytes at most: where they would have more, the longest are left out of the fit.
+
     Repeated labels of an id count by their mean. Null labels are none. The expected number of rows is
     the bound; ids that are sampled are broadcast (16 bytes each).
     """
@@ -314,7 +316,15 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: tuple[
     heavy = max(1.0, n.get(0, 0) / per_class[1]) / max(1.0, n.get(1, 0) / per_class[0])
     share = F.when(F.col("_y") == 1, F.lit(min(1.0, per_class[0] / max(1, n.get(1, 0))))).otherwise(F.lit(min(1.0, per_class[1] / max(1, n.get(0, 0)))))
     picked = known.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id").select("_y", "_id", "_text").collect()
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id").select("_y", "_id", "_text")
+    size = F.ceil(F.log2(F.octet_length("_text") + 1.0)).cast("int")  # texts of up to 2^size bytes
+    longest, total = 0, 0
+    for r in sorted(rows.groupBy(size.alias("size")).agg(F.sum(F.octet_length("_text")).alias("bytes")).collect(), key=lambda r: r["size"]):
+        total += r["bytes"]
+        if total > most_bytes:
+            break
+        longest = r["size"]
+    rows = rows.where(size <= longest).collect()
     rows.sort(key=lambda r: (r["_id"], r["_text"]))
     return [r["_text"] for r in rows if r["_y"] == 1], [r["_text"] for r in rows if r["_y"] == 0], heavy
 

@@ -256,6 +256,17 @@ def test_draws_equal_an_independent_version(spark):
     assert [(r["a"], r["b"], r["c"]) for r in rows] == [(drawn(r["k"], even_tree(16)), drawn(r["k"], uneven), 0) for r in rows]
 
 
+def test_a_thousand_shards(spark):
+    from pyspark.sql import functions as F
+
+    from parchmint.llm.sharding import even_tree, place
+
+    tree = even_tree(1000)
+    rows = spark.range(300).select("id", place(F.col("id"), tree).alias("a"), place(F.col("id"), even_tree(1001)).alias("b")).collect()
+    assert [r["a"] for r in rows[:60]] == [drawn(r["id"], tree) for r in rows[:60]]
+    assert {r["b"] for r in rows if r["a"] != r["b"]} <= {1000} and len({r["a"] for r in rows}) > 200
+
+
 def test_one_more_shard_takes_rows_only_into_itself(spark):
     from pyspark.sql import functions as F
 
@@ -620,11 +631,12 @@ def test_kernels_count_every_common_gram():
     texts = ["Ab c!d", "abc", "İßx 語る", "", "12", "a" * 5000 + " b", "𐐀𐐨 z"]
     for x in texts:
         assert len(gram_codes(x)) == len(brute_grams(x))
-    model = Kernel(np.unique(np.concatenate(list(map(gram_codes, texts)))), np.empty(0), [])
-    for x in texts:
-        for y in texts:
+    model = Kernel.of(list(map(gram_codes, texts)), [])
+    for x in [*texts, "Ab zz", "new"]:
+        got = model.kernels(gram_codes(x)) * model.scale
+        for y, k in zip(texts, got.tolist()):
             a, b = brute_grams(x), brute_grams(y)
-            assert (model.presence([x]) @ model.presence([y]).T)[0, 0] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-5)
+            assert k == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-9)
 
 
 def test_ridge_on_landmarks_equals_kernel_ridge_when_all_are_landmarks():
@@ -663,3 +675,29 @@ def test_language_keeps_clashing_columns_and_very_long_texts(spark):
     assert len(got) == 42 and {(r["lang_pred"], r["score"]) for r in got} == {("p", 0.5)}
     assert all(r["_lang_pred"] == ("de" if r["text"].startswith("sch") else "la") and 0 <= r["_score"] <= 1 for r in got)
     assert {r["held_out"] for r in identify(docs).collect() if r["doc_id"] is None} == {zlib.crc32(b"") % 4 == 2}
+
+
+def test_many_languages_fit_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    from parchmint.llm import language
+
+    draw = np.random.default_rng(8)
+    letters = [[chr(0x3400 + 200 * k + i) for i in range(200)] for k in range(125)]
+    texts, names = [], []
+    for k in range(125):
+        for _ in range(12):
+            texts.append("".join(draw.choice(letters[k], 1500)))
+            names.append(f"l{k:03}")
+    tracemalloc.start()
+    model = language.fit(texts, names)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    probe = ["".join(draw.choice(letters[k], 300)) for k in range(0, 125, 7)]
+    direct = model.scores(probe)
+    assert [model.names[i] for i in direct.argmax(1)] == [f"l{k:03}" for k in range(0, 125, 7)]
+    assert model.told is None  # too many n-grams by languages for a table
+    few = language.fit(texts[:60], names[:60])
+    assert few.told is not None
+    with_table, few.told = few.scores(texts[:9]), None
+    assert np.allclose(with_table, few.scores(texts[:9]), atol=1e-4)
