@@ -28,6 +28,8 @@ from .common import distinct_names, exists, raw_text, remove, saved, scratch_pat
 SHINGLE = 8
 #: Rows that a worker holds before it hands them on.
 ROWS = 20_000
+#: What a worker tells of blocks.
+BLOCK = "hash long, digest binary, low long, high long, windows binary"
 #: Bytes of text for each bucket of a run; documents of a batch that are sampled for hot hashes, and how many of these a run may have.
 BUCKET_BYTES, SAMPLED, HOT = 64 << 20, 800, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -95,40 +97,70 @@ def _handed_on(out: list[list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch
     return made
 
 
-def _blocks(width: int, known: np.ndarray | None = None, many: np.ndarray | None = None):
-    """The blocks of texts: all of them with their windows' hashes, or those whose hash may be known with their
-    place, and with their windows' hashes where blocks of that hash may differ."""
-    kinds = {"hash": pa.int64(), "digest": pa.binary(), "doc": pa.int64(), "windows": pa.binary(), **({} if known is None else {"row": pa.int64(), "start": pa.int64(), "n": pa.int64()})}
+def _cut_up(raw: bytes, width: int, known: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, bytes]:
+    """A text's blocks, or those whose hash may be known: hashes, digests, first windows, numbers of windows; and all windows' hashes."""
+    words = raw.split()
+    x, own = window_hashes(words, width)
+    starts, lengths = _runs(x)
+    if known is not None and len(starts):
+        keep = maybe(known, x[starts])
+        starts, lengths = starts[keep], lengths[keep]
+    if not len(starts):
+        return np.empty(0, np.int64), [], starts, lengths, b""
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begins = np.concatenate([[0], ends[:-1]])
+    froms, tos = begins[starts].tolist(), (ends[starts + lengths + width - 2] - 1).tolist()
+    return x[starts].view(np.int64), [_digest(flat[a:b]) for a, b in zip(froms, tos)], starts, lengths, own.tobytes()
+
+
+def _blocks(width: int):
+    """(hash, digest, low, high, windows) of the blocks of (doc, text), equal ones of ROWS together."""
+    kinds = {"hash": pa.int64(), "digest": pa.binary(), "low": pa.int64(), "high": pa.int64(), "windows": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = list(held.values())
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+            held.clear()
+            return made
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes, digests, starts, lengths, own = _cut_up(raw_text(text), width)
+                for h, d, a, n in zip(hashes.tolist(), digests, starts.tolist(), lengths.tolist()):
+                    if (seen := held.get(d)) is None:
+                        held[d] = [h, d, doc, doc, own[8 * a : 8 * (a + n)]]
+                    else:
+                        seen[2], seen[3] = min(seen[2], doc), max(seen[3], doc)
+                if len(held) >= ROWS:
+                    yield out()
+        yield out()
+
+    return run
+
+
+def _places(width: int, known: np.ndarray, many: np.ndarray):
+    """The blocks of (doc, text) whose hash may be known, with their place, and with their windows' hashes where blocks of that hash may differ."""
+    kinds = {"hash": pa.int64(), "digest": pa.binary(), "doc": pa.int64(), "windows": pa.binary(), "row": pa.int64(), "start": pa.int64(), "n": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in kinds]
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = raw_text(text)
-                words = raw.split()
-                x, own = window_hashes(words, width)
-                if not len(x):
+                hashes, digests, starts, lengths, own = _cut_up(raw, width, known)
+                if not digests:
                     continue
-                starts, lengths = _runs(x)
-                if known is not None:
-                    keep = maybe(known, x[starts])
-                    starts, lengths = starts[keep], lengths[keep]
-                    if not len(starts):
-                        continue
-                flat = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                begins = np.concatenate([[0], ends[:-1]])
-                froms, tos = begins[starts].tolist(), (ends[starts + lengths + width - 2] - 1).tolist()
-                out[0] += x[starts].view(np.int64).tolist()
-                out[1] += [_digest(flat[a:b]) for a, b in zip(froms, tos)]
-                out[2] += [doc] * len(starts)
-                cut, told = own.tobytes(), np.ones(len(starts), bool) if known is None else maybe(many, x[starts])
-                out[3] += [cut[8 * a : 8 * (a + n)] if t else None for a, n, t in zip(starts.tolist(), lengths.tolist(), told.tolist())]
-                if known is not None:
-                    row = xxhash.xxh64_intdigest(raw, 42)
-                    out[4] += [row - ((row >> 63) << 64)] * len(starts)
-                    out[5] += starts.tolist()
-                    out[6] += lengths.tolist()
+                told = maybe(many, hashes.view(np.uint64)).tolist()
+                row = xxhash.xxh64_intdigest(raw, 42)
+                row -= (row >> 63) << 64
+                starts, lengths = starts.tolist(), lengths.tolist()
+                windows = [own[8 * a : 8 * (a + n)] if t else None for a, n, t in zip(starts, lengths, told)]
+                for values, new in zip(out, (hashes.tolist(), digests, [doc] * len(starts), windows, [row] * len(starts), starts, lengths)):
+                    values += new
                 if len(out[0]) >= ROWS:
                     yield _handed_on(out, kinds)
         yield _handed_on(out, kinds)
@@ -185,8 +217,10 @@ class WindowIndex:
     def _write(self, blocks: DataFrame, hot: tuple[int, ...]) -> str:
         name = f"parchmint_run_{uuid.uuid4().hex[:12]}"
         slot = F.when(F.col("hash").isin(*hot), F.xxhash64("digest")).otherwise(F.col("hash")) if hot else F.col("hash")
-        rows = blocks.select(slot.alias("slot"), "hash", "digest", "low", "high", "windows")
-        rows.repartition(self.buckets, "slot").write.bucketBy(self.buckets, "slot").sortBy("slot").option("path", f"{self.path}/{name}").saveAsTable(name)
+        dealt = blocks.select(slot.alias("slot"), "hash", "digest", "low", "high", "windows").repartition(self.buckets, "slot")
+        # blocks of one slot lie together, so grouping moves none a second time
+        rows = dealt.groupBy("slot", "hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows"))
+        rows.write.bucketBy(self.buckets, "slot").sortBy("slot").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def _note(self, runs: list[tuple[str, int, tuple[int, ...]]]) -> None:
@@ -204,7 +238,7 @@ class WindowIndex:
     def _hot(self, docs: DataFrame, n: int) -> tuple[int, ...]:
         """Hashes of blocks that a fiftieth of a sample of documents have; what is missed costs balance only."""
         sample = docs.sample(min(1.0, SAMPLED / max(1, n)), seed=5)
-        seen = sample.mapInArrow(_blocks(self.width), "hash long, digest binary, doc long, windows binary").groupBy("hash").agg(F.count("*").alias("k"), F.countDistinct("digest").alias("unlike"))
+        seen = sample.mapInArrow(_blocks(self.width), BLOCK).groupBy("hash").agg(F.count("*").alias("k"), F.countDistinct("digest").alias("unlike"))
         least = max(16, min(n, SAMPLED) // 50)
         return tuple(r["hash"] for r in seen.where((F.col("k") >= least) & (F.col("unlike") > 1)).orderBy(F.desc("k"), "hash").limit(HOT).collect())
 
@@ -243,8 +277,7 @@ class WindowIndex:
             return self.spark.read.schema(df.schema).parquet(passing[-1])
 
         hot = self._hot(docs, n)
-        made = docs.mapInArrow(_blocks(self.width), "hash long, digest binary, doc long, windows binary")
-        run = self._write(made.groupBy("hash", "digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows")), hot)
+        run = self._write(docs.mapInArrow(_blocks(self.width), BLOCK), hot)
         own = self.spark.table(run)
         mine = own.select("hash", "digest", "low", "high", "windows")
         every = mine
@@ -257,7 +290,7 @@ class WindowIndex:
         bits = bits_for(2 * size // 100) if size else BITS  # a block begins about every 22 words
         known_bits, many_bits = key_bitmaps(flags, "hash", [known, many], bits)
 
-        found = kept_for_now(docs.mapInArrow(_blocks(self.width, known_bits, many_bits), "hash long, digest binary, doc long, windows binary, row long, start long, n long"), "found")
+        found = kept_for_now(docs.mapInArrow(_places(self.width, known_bits, many_bits), "hash long, digest binary, doc long, windows binary, row long, start long, n long"), "found")
         lows = kept_for_now(every.select("digest", "low", "hash").mapInArrow(split_by(known_bits, True), "digest binary, low long, hash long").groupBy("hash", "digest").agg(F.min("low").alias("low")), "lows")
         judged = found.join(lows, ["hash", "digest"])  # both sides are shuffled for it, so Spark splits a passage that many documents have
         whole = judged.where("low < doc").select("doc", "row", "start", "n")
@@ -281,7 +314,7 @@ class WindowIndex:
                 # the files, not the tables: Spark 4.1 takes a union of bucketed tables for bucketed, and would group each run by itself
                 both = reduce(DataFrame.unionByName, [self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{run}") for run, _ in old])
                 hot = tuple(sorted({h for _, own in old for h in own})[: HOT * self.fan * 2])
-                merged = self._write(both.groupBy("hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows")), hot)
+                merged = self._write(both, hot)
                 self._note([*[r for r in self.runs if r[1] != level], (merged, level + 1, hot)])
             level += 1
 
@@ -328,8 +361,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives an empty table.
 
     With an index docs are one more batch of it, judged against all that it holds. Else they enter a
-    scratch index in `batches` ranges of ids, cut at quantiles, smaller ids first, which gives the same as
-    one batch.
+    scratch index in `batches` ranges of ids, cut at quantiles, smaller ids first, each after the second twice
+    as large as all before it together, so that compaction merges the small ones; this gives the same as one batch.
     Blocks, window hashes and spans are shuffled; a passage that a third of all documents share is one
     row for each task after partial aggregates, and Spark splits the joins of such rows. Texts are shuffled only for documents that lose words (and the few that a
     filter of fixed size lets through).
@@ -340,7 +373,10 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     if index is None:
         own = WindowIndex(spark, width=width, fan=fan)
-        shares = [i / batches for i in range(1, batches)]
+        parts = [1.0, 1.0]
+        while len(parts) < batches:
+            parts.append(2 * sum(parts))
+        shares = [sum(parts[: i + 1]) / sum(parts[:batches]) for i in range(batches - 1)]
         told = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.percentile_approx("doc", shares or [0.5], 1000).alias("cuts")).first()
         cuts = sorted(set(told["cuts"] or [])) if shares else []  # ids of documents; the last batch may be empty
         found = []
@@ -349,7 +385,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             part = part if high is None else part.where(F.col("doc") <= high)
             if found:
                 own.compact()
-            found.append(own.add(part, told["n"] // batches, told["size"] // batches))
+            share = parts[len(found)] / sum(parts[:batches])
+            found.append(own.add(part, int(told["n"] * share), int(told["size"] * share)))
         spans = reduce(DataFrame.unionByName, found)
         own.close()
     else:

@@ -483,7 +483,7 @@ def test_one_passage_in_unlike_surroundings(spark, batches, monkeypatch):
     monkeypatch.setattr(windows.WindowIndex, "close", lambda self: (seen.append([hot for *_, hot in self.runs]), close(self))[1])
     got = windows.dedup_windows(table(spark, rows), batches=batches).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == brute_windows(rows, 50)
-    assert all(seen[0])  # each run spreads the passage's hashes
+    assert any(seen[0])  # runs of enough documents spread the hashes of the passage
 
 
 def test_windows_random(spark):
