@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.useObjectHashAggregateExec", "false")  # lines come sorted by document: sort aggregates stream, hash tables of whole lines spill
+        .config("spark.sql.python.filterPushdown.enabled", "true")  # sources.calls.ProviderSource asks for it
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # plans of thousands of expressions build in half the time
         .getOrCreate()
     )

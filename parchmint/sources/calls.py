@@ -6,6 +6,7 @@ Nothing that it raises fails a job: every request has one row, with its lines or
 
 from __future__ import annotations
 
+import importlib
 import random
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -103,12 +104,18 @@ def register(name: str, provider: Provider) -> None:
 
 
 def chain(name: str) -> list[tuple[str, Provider]]:
-    """The providers of "a" or "a+b"; an unknown name says which are known."""
-    parts = name.lower().split("+")
-    for part in parts:
-        if part not in _KNOWN:
+    """The providers of "a" or "a+b"; an unknown name says which are known.
+
+    A name with a colon is one of a module, as in "package.module:function", which workers import themselves:
+    a data source is planned in a process of its own, where nothing that the driver registered is known.
+    """
+    found = []
+    for part in name.split("+"):
+        module, colon, attribute = part.partition(":")
+        if not colon and part.lower() not in _KNOWN:
             raise KeyError(f"PROVIDER_NOT_REGISTERED: {part}; known: {', '.join(sorted(_KNOWN))}")
-    return [(part, _KNOWN[part]) for part in parts]
+        found.append((part, getattr(importlib.import_module(module), attribute)) if colon else (part.lower(), _KNOWN[part.lower()]))
+    return found
 
 
 def _columns(outcomes: Iterable[Outcome]) -> list[pa.Array]:
@@ -170,9 +177,10 @@ class ProviderReader(DataSourceReader):
 
 
 class ProviderSource(DataSource):
-    """spark.read.format("parchmint_provider"): documents `first` to `last` of a `provider` ("a" or "a+b"), one row each.
+    """spark.read.format("parchmint_provider"): documents `first` to `last` of a `provider` ("package.module:function", or two with a plus), one row each.
 
-    A document that no provider reads has a row with its error. Reads go by partitions of ids.
+    A document that no provider reads has a row with its error. Reads go by partitions of ids. The session
+    needs spark.sql.python.filterPushdown.enabled.
     """
 
     @classmethod
