@@ -2,9 +2,37 @@
 
 from collections import Counter, defaultdict
 
-from tests.llm.test_operators import WORD, brute_fingerprint, components
+import numpy as np
+import xxhash
+
+from tests.llm.test_operators import WORD, components
 
 SF = "/root/testdata/sf0.001"
+_DRAW = np.random.default_rng(42)
+TABLES = [sum(1 << int(i) for i in _DRAW.choice(256, 20, replace=False)) for _ in range(80)]
+
+
+def brute_wide(text):
+    """Four SimHashes of the set of 5-word shingles, bit by bit."""
+    words = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    if not words:
+        return 0
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    hashes, out, m = {xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles}, 0, (1 << 64) - 1
+    for k in range(4):
+        mixed = []
+        for h in hashes:
+            x = h * (2 * k + 1) * 0x9E3779B97F4A7C15 & m
+            x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & m
+            mixed.append(x ^ (x >> 32))
+        for bit in range(64):
+            if sum(x >> bit & 1 for x in mixed) * 2 > len(mixed):
+                out |= 1 << (64 * k + bit)
+    return out
+
+
+def near(a, b):
+    return (a ^ b).bit_count() <= 46 and any((a ^ b) & t == 0 for t in TABLES)
 
 
 def test_each_stage(spark, tmp_path):
@@ -25,8 +53,8 @@ def test_each_stage(spark, tmp_path):
     count = Counter(k for r in rows[1] for k in {key(x) for x in r["text"].split("\n")} - {""})
     want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if count[key(x)] < 10) for r in rows[1]}
     assert {r["doc_id"]: r["text"] for r in rows[2]} == want and all(r["n_chars"] == len(r["text"]) for r in rows[2])
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows[2]}
-    low = components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    fps = {r["doc_id"]: brute_wide(r["text"]) for r in rows[2]}
+    low = components(sorted(fps), lambda a, b: near(fps[a], fps[b]))
     assert {r["doc_id"] for r in rows[3]} == {i for i in fps if low[i] == i}
     size = {r["doc_id"]: (r["source"], len(WORD.findall(r["text"]))) for r in rows[3]}
     taken, largest, total = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -51,8 +79,8 @@ def test_near_copies_keeps_one_row_of_each_group_whatever_the_ids(spark):
     t = [" ".join(words(60, 900 + k)) for k in range(16)]
     rows = [(5, t[0]), (5, t[1]), (3, t[2]), (5, t[2]), (7, t[2]), (8, t[3]), (8, t[3]), (None, t[4]), (None, t[0]), *[(None, x) for x in t[5:15]], (9, None), (None, "")]
     docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
-    fps = {x: brute_fingerprint(x) for _, x in rows}
-    low = components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    fps = {x: brute_wide(x) for _, x in rows}
+    low = components(sorted(set(fps.values())), near)
     groups = defaultdict(list)
     for i, x in rows:
         groups[low[fps[x]]].append(i)
@@ -103,3 +131,51 @@ def test_two_unlike_rows_of_one_id_are_not_multiplied(spark):
     got = Counter(map(tuple, mixed_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_uses=2).collect()))
     words_taken = sum(n * len(t.split()) for (_, t, _), n in got.items())
     assert abs(words_taken - 1.5 * 46) <= 30 and all(n <= 2 * rows.count(r) for r, n in got.items())
+
+
+def test_wide_links_in_hot_buckets_and_recall(spark):
+    from parchmint.llm.simhash import distance_for, near_representatives, wide_links
+
+    draw = np.random.default_rng(3)
+    assert distance_for(0.8) == 46
+    base = [int(x) for x in draw.integers(0, 2**63, 40)]
+    wide = [sum(base[4 * g + k] << (64 * k) for k in range(4)) for g in range(10)]
+    values = {0, *wide}
+    for w in wide:
+        for _ in range(30):
+            v = w
+            for bit in draw.choice(256, int(draw.integers(1, 30)), replace=False):
+                v ^= 1 << int(bit)
+            values.add(v)
+    fps = spark.createDataFrame([(v.to_bytes(32, "little"),) for v in values], "fp binary").repartition(5)
+    for chunk in (1024, 5):
+        links = [(int.from_bytes(r["a"], "little"), int.from_bytes(r["b"], "little")) for r in wide_links(fps, 46, chunk=chunk).collect()]
+        assert all((a ^ b).bit_count() <= 46 for a, b in links)
+        parent = {v: v for v in values}
+
+        def root(v, parent=parent):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        want = components(sorted(values), near)
+        groups, found = defaultdict(set), defaultdict(set)
+        for v in values:
+            groups[want[v]].add(v)
+            found[root(v)].add(v)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+    rows, pairs = [], 0
+    for i in range(120):
+        words = [f"w{x}" for x in draw.integers(0, 5000, 200)]
+        other = words.copy()
+        for at in draw.integers(0, 200, 1 + i % 5):
+            other[at] = "new"
+        a, b = ({tuple(w[j : j + 5]) for j in range(196)} for w in (words, other))
+        if len(a & b) / len(a | b) >= 0.8:
+            pairs += 1
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = near_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert pairs > 60 and len(got) <= len(rows) - 0.9 * pairs and {2 * (r["doc_id"] // 2) for r in got} == {r["doc_id"] for r in got if r["doc_id"] % 2 == 0}
