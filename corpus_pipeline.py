@@ -16,7 +16,7 @@ from parchmint.llm.language import identify
 from parchmint.llm.lines import dedup_lines
 from parchmint.llm.mixing import mixed_rows
 from parchmint.llm.packing import pack
-from parchmint.llm.simhash import simhash_representatives
+from parchmint.llm.simhash import near_representatives
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,8 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id, and of several with that id one by a hash of the row."""
-    return simhash_representatives(docs.select(*COLUMNS))
+    """One document of each group of near copies (0.8 of their 5-word shingles, by SimHash): the one with the smallest id, and of several with that id one by a hash of the row."""
+    return near_representatives(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
