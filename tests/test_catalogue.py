@@ -36,10 +36,22 @@ def test_query(spark, name):
     assert rows == sorted(str([plain(r[i]) for i in order]) for r in want.fetchall())
 
 
-def test_entry_imports_without_the_training_data_part():
+def test_entry_imports_without_the_training_data_part(tmp_path):
+    """In a copy without those folders, entry and tests are still there; with them, the queries are."""
+    import json
+    import shutil
+    import subprocess
+    import sys
+
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "spark-warehouse", "__pycache__", ".pytest_cache"))
+    told = subprocess.run([sys.executable, "-c", "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    names, sql = json.loads(told.stdout.strip().splitlines()[-1])
+    assert set(names) == set(catalog.QUERIES) and set(sql) == set(catalog.ORACLES) and not (copy / "parchmint" / "llm").exists()
 
 
 def test_clean_all_lines_against_unicodedata(spark, tmp_path):
