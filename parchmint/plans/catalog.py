@@ -197,10 +197,11 @@ def date_formats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def date_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of parts from 1 to 99 as a date of 2026, misreadings repaired."""
-    parts = spark.range(1, 100).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("b"))
-    rows = parts.select("a", "b", F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string"), F.lit("2026")).alias("t")).withColumn("p", dates.parse_date(F.col("t")))
-    return rows.select("a", "b", F.col("p.value").cast("string").alias("value"), F.col("p.raw").alias("raw"), F.col("p.warning").alias("warning"))
+    """Two parts from 1 to 99 that each order's number gives, as a date of the order's year, misreadings repaired."""
+    i = F.col("o_orderkey")
+    parts = table(spark, sf, "orders").select(i.alias("id"), (i % 99 + 1).cast("int").alias("a"), (F.floor(i / 99) % 99 + 1).cast("int").alias("b"), F.year("o_orderdate").alias("c"))
+    rows = parts.withColumn("p", dates.parse_date(F.concat_ws("/", *[F.col(x).cast("string") for x in "abc"])))
+    return rows.select("id", "a", "b", "c", F.col("p.value").cast("string").alias("value"), F.col("p.raw").alias("raw"), F.col("p.warning").alias("warning"))
 
 
 @query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS value, CASE WHEN month(o_orderdate) < 10 THEN strftime(o_orderdate, '%m/%d/%Y') END AS raw FROM orders""")

@@ -240,3 +240,40 @@ def test_settings_ids_and_failures(spark):
     pairs = spark.sql("SELECT 1 AS doc_id, map('total', '1.00') AS expected, map('total', '2.00') AS actual UNION ALL SELECT 2, map('total', '1.00'), map('total', '1')")
     got = evaluate.failures(evaluate.field_scores(pairs, ("total",)), pairs, spark.sql("SELECT 2 AS doc_id, 0.5D AS f1")).collect()
     assert {r["doc_id"]: [tuple(f) for f in r["fields"]] for r in got} == {1: [("total", "1.00", "2.00")], 2: []}
+
+
+def test_misread_dates_against_brute_force(spark, tmp_path):
+    import datetime
+
+    from parchmint.functions.dates import CONFUSED
+    from parchmint.plans import catalog
+
+    def readings(n):
+        tens, ones = divmod(n, 10)
+        every = [n] + ([r * 10 + ones for r in CONFUSED[tens]] if n >= 10 else []) + [tens * 10 + r for r in CONFUSED[ones]]
+        return [x for x in dict.fromkeys(every) if 1 <= x <= 31]
+
+    def date(year, month, day):
+        try:
+            return datetime.date(year, month, day), f"{month:02}/{day:02}/{year}"
+        except ValueError:
+            return None
+
+    def repaired(a, b, c):
+        tried = []
+        if a > 31 >= b:
+            tried += [date(c, x, b) if x <= 12 else date(c, b, x) if b <= 12 else None for x in readings(a)]
+        elif b > 31 >= a:
+            tried += [date(c, x, a) if x <= 12 else date(c, a, x) if a <= 12 else None for x in readings(b)]
+        for x in readings(a):
+            for y in readings(b):
+                tried += [date(c, x, y) if x <= 12 else None, date(c, y, x) if y <= 12 else None]
+        return next((t for t in tried if t), None)
+
+    spark.range(99 * 99).select(F.col("id").alias("o_orderkey"), F.lit("2024-05-05").cast("timestamp").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = catalog.QUERIES["date_repair"](spark, str(tmp_path)).collect()
+    assert len(rows) == 99 * 99 and len({(r["a"], r["b"]) for r in rows}) == 99 * 99
+    for r in rows:
+        if r["a"] > 31 or r["b"] > 31:
+            want = repaired(r["a"], r["b"], r["c"])
+            assert (r["value"], r["raw"] if want else None) == ((str(want[0]), want[1]) if want else (None, None)), r
