@@ -27,11 +27,13 @@ from .common import distinct_names, exists, raw_text, remove, saved, scratch_pat
 
 SHINGLE = 8
 #: Rows that a worker holds before it hands them on.
-ROWS = 20_000
+ROWS = 10_000
 #: What a worker tells of blocks.
 BLOCK = "hash long, digest binary, low long, high long, windows binary"
 #: Bytes of text for each bucket of a run; documents of a batch that are sampled for hot hashes, and how many of these a run may have.
-BUCKET_BYTES, SAMPLED, HOT = 64 << 20, 800, 256
+BUCKET_BYTES, SAMPLED, HOT = 24 << 20, 800, 256
+#: Buckets of a run at most, and bytes that its writer holds.
+BUCKETS, HELD = 1 << 15, 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
@@ -185,6 +187,11 @@ def _unfolded(many: np.ndarray | None):
     return run
 
 
+def buckets_for(size: int) -> int:
+    """Buckets for so many bytes of text: one for BUCKET_BYTES, so that a task that writes or reads one stays small."""
+    return min(BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+
+
 class WindowIndex:
     """Sorted immutable runs of (slot, hash, digest, low, high, windows): each block once, with the smallest and largest document of it.
 
@@ -195,7 +202,7 @@ class WindowIndex:
     the manifest that names them lie under path, in the shared folder; an index there is opened again, by
     any later session. Without a path the index is scratch, has no manifest, and close() removes it.
 
-    The first batch's bytes decide how many buckets there are, one for BUCKET_BYTES.
+    The first batch's bytes decide how many buckets there are, if they are not given.
     """
 
     SCHEMA = "slot long, hash long, digest binary, low long, high long, windows binary"
@@ -220,7 +227,7 @@ class WindowIndex:
         dealt = blocks.select(slot.alias("slot"), "hash", "digest", "low", "high", "windows").repartition(self.buckets, "slot")
         # blocks of one slot lie together, so grouping moves none a second time
         rows = dealt.groupBy("slot", "hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows"))
-        rows.write.bucketBy(self.buckets, "slot").sortBy("slot").option("path", f"{self.path}/{name}").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "slot").sortBy("slot").option("parquet.block.size", HELD).option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def _note(self, runs: list[tuple[str, int, tuple[int, ...]]]) -> None:
@@ -268,7 +275,7 @@ class WindowIndex:
         if n is None or (size is None and self.buckets is None):
             told = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
             n, size = told["n"], told["size"]
-        self.buckets = self.buckets or max(1, -(-size // BUCKET_BYTES))
+        self.buckets = self.buckets or buckets_for(size)
         passing: list[str] = []
 
         def kept_for_now(df: DataFrame, name: str) -> DataFrame:
@@ -383,6 +390,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for low, high in zip([None, *cuts], [*cuts, None]):
             part = small if low is None else small.where(F.col("doc") > low)
             part = part if high is None else part.where(F.col("doc") <= high)
+            own.buckets = buckets_for(told["size"])
             if found:
                 own.compact()
             share = parts[len(found)] / sum(parts[:batches])
