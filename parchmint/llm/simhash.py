@@ -235,7 +235,7 @@ def distance_for(similarity: float, bits: int = 64 * WIDE, spare: float = 1.25)
 
 
 def _block_keys(tables: int, width: int, seed: int):
-    """(c, key, fp): for each fingerprint and table the `width` bits that the table reads."""
+    """(bucket, fp): for each fingerprint and table the table's number and the `width` bits that it reads."""
     draw = np.random.default_rng(seed)
     places = np.stack([draw.choice(64 * WIDE, width, replace=False) for _ in range(tables)])
     powers = 1 << np.arange(width, dtype=np.int64)
@@ -246,16 +246,15 @@ def _block_keys(tables: int, width: int, seed: int):
                 column = whole.column(0).slice(at, 1000)
                 n = len(column)
                 bits = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, 8 * WIDE), axis=1, bitorder="little")
-                keys = np.stack([bits[:, own] @ powers for own in places], axis=1)
-                take = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.ravel()), column.take(take)], ["c", "key", "fp"])
+                keys = np.stack([(bits[:, own] @ powers) + (c << width) for c, own in enumerate(places)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), column.take(pa.array(np.repeat(np.arange(n), tables)))], ["bucket", "fp"])
 
     return run
 
 
 def _wide_links(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; a bucket may go on in the next batch."""
+        """Rows (bucket, part, fp) come sorted by bucket and part; one may go on in the next batch."""
 
         def out(fps: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -273,34 +272,38 @@ def _wide_links(distance: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [np.asarray(batch.column(i)) for i in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WIDE)]
+            own = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)]
             if kept is not None:
                 own = [np.concatenate(x) for x in zip(kept, own)]
-            new = np.zeros(len(own[0]) - 1, bool)
-            for x in own[:4]:
-                new |= x[1:] != x[:-1]
-            ends = np.flatnonzero(new) + 1
+            ends = np.flatnonzero((own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])) + 1
             last = int(ends[-1]) if len(ends) else 0
             if last:
-                yield out(own[4], ends)
+                yield out(own[2], ends)
             kept = [x[last:] for x in own]
         if kept is not None:
-            yield out(kept[4], np.array([len(kept[4])]))
+            yield out(kept[2], np.array([len(kept[2])]))
 
     return run
 
 
-def wide_links(fps: DataFrame, distance: int, tables: int = 80, width: int = 20, seed: int = 42, chunk: int = CHUNK) -> DataFrame:
+def wide_links(fps: DataFrame, distance: int, tables: int = 64, width: int = 20, seed: int = 42, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between distinct wide fingerprints within distance that agree on the bits of one of the tables.
 
-    fps has one binary column fp without repeats. Buckets are counted and cut as those of fingerprint_links.
+    fps has one binary column fp without repeats. Every fingerprint goes into a bucket of each table, alone or
+    not, so rows go with the fingerprints alone. Buckets of more than `chunk` members are counted first (a row
+    for each task and bucket) and cut into chunks by hash that meet in pairs, as parts of the bucket; as each
+    holds more than `chunk` fingerprints, there are at most tables / chunk as many of them, and they are joined.
     """
-    rows = fps.mapInArrow(_block_keys(tables, width, seed), "c int, key long, fp binary")
-    many = rows.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return _dealt(rows.join(many, ["c", "key"]), chunk).mapInArrow(_wide_links(distance), "a binary, b binary")
+    rows = fps.mapInArrow(_block_keys(tables, width, seed), "bucket long, fp binary")
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(F.col("bucket").alias("hot"), F.ceil(F.col("n") / chunk).cast("int").alias("k"))
+    marked = rows.join(hot, F.col("bucket") == F.col("hot"), "left").select("bucket", "fp", "k")
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, own) * F.col("k") + F.greatest(j, own))
+    dealt = marked.select("bucket", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(parts)).alias("part"), "fp")
+    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "fp").mapInArrow(_wide_links(distance), "a binary, b binary")
 
 
-def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, tables: int = 80, width: int = 20) -> DataFrame:
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, tables: int = 64, width: int = 20) -> DataFrame:
     """One row of docs for each group of near copies, whole, chosen as by simhash_representatives.
 
     Near copies share `similarity` of their sets of word shingles, as told by 256 bits of SimHash: pairs that agree

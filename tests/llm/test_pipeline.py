@@ -9,7 +9,7 @@ from tests.llm.test_operators import WORD, components
 
 SF = "/root/testdata/sf0.001"
 _DRAW = np.random.default_rng(42)
-TABLES = [sum(1 << int(i) for i in _DRAW.choice(256, 20, replace=False)) for _ in range(80)]
+TABLES = [sum(1 << int(i) for i in _DRAW.choice(256, 20, replace=False)) for _ in range(64)]
 
 
 def brute_wide(text):
