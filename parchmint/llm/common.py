@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of jobs that are done: executors delete them once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

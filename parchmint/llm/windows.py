@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import BITS, bits_for, key_bitmap, key_bitmaps, maybe, split_by
-from .common import distinct_names, exists, raw_text, remove, saved, scratch_path, small_batches
+from .common import distinct_names, exists, raw_text, release, remove, saved, scratch_path, small_batches
 
 SHINGLE = 8
 #: Rows that a worker holds before it hands them on.
@@ -228,6 +228,7 @@ class WindowIndex:
         # blocks of one slot lie together, so grouping moves none a second time
         rows = dealt.groupBy("slot", "hash", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("windows").alias("windows"))
         rows.write.bucketBy(self.buckets, "slot").sortBy("slot").option("parquet.block.size", HELD).option("path", f"{self.path}/{name}").saveAsTable(name)
+        release(self.spark)  # all windows were in that shuffle
         return name
 
     def _note(self, runs: list[tuple[str, int, tuple[int, ...]]]) -> None:
@@ -309,6 +310,7 @@ class WindowIndex:
         spans = saved(whole.unionByName(parts.select("doc", "row", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("n"))), "spans")
         for path in passing:
             remove(self.spark, path)
+        release(self.spark)
         self._note([*self.runs, (run, 0, hot)])
         return spans
 
