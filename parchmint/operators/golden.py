@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from .evaluate import differences
-
 _PAIRS = "array<struct<path:string,value:string>>"
+_CHANGES = "array<struct<path:string,expected:string,actual:string>>"
 
 
 def paths(value: Column, kind: DataType, at: Column | None = None) -> Column:
@@ -44,12 +43,46 @@ def expected(rows: DataFrame, like: DataType, key: str = "doc_id", text: str = "
     return flattened(read, key, "_read")
 
 
+def changes(expected: Column, actual: Column, kind: DataType, at: Column | None = None) -> Column:
+    """array<struct<path, expected, actual>> of the leaves in which two values of that type differ, paths as paths() gives them.
+
+    Both are walked side by side, so equal leaves leave nothing. A leaf that one side has not counts as null.
+    """
+    at = F.lit("") if at is None else at
+    none = F.array().cast(_CHANGES)
+    below = lambda name: F.when(at == "", name).otherwise(F.concat(at, F.lit("."), name))
+    if isinstance(kind, StructType):
+        return F.flatten(F.array(*[changes(expected[f.name], actual[f.name], f.dataType, below(F.lit(f.name))) for f in kind.fields])) if kind.fields else none
+    if isinstance(kind, ArrayType):
+        size = lambda x: F.coalesce(F.size(x), F.lit(0))
+        n = F.greatest(F.lit(0), size(F.when(expected.isNotNull(), expected)), size(F.when(actual.isNotNull(), actual)))
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: changes(F.get(expected, i), F.get(actual, i), kind.elementType, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.when(n > 0, F.flatten(each)).otherwise(none)
+    if isinstance(kind, MapType):
+        keys = lambda x: F.coalesce(F.map_keys(x), F.array().cast(ArrayType(kind.keyType)))
+        every = F.array_union(keys(expected), keys(actual))
+        return F.flatten(F.transform(every, lambda k: changes(F.try_element_at(expected, k), F.try_element_at(actual, k), kind.valueType, below(k.cast("string")))))
+    e, a = expected.cast("string"), actual.cast("string")
+    return F.when(e.eqNullSafe(a), none).otherwise(F.array(F.struct(at.alias("path"), e.alias("expected"), a.alias("actual"))).cast(_CHANGES))
+
+
+def drift_of(docs: DataFrame, key: str, column: str, text: str = "json", volatile: tuple[str, ...] = ("processing",)) -> DataFrame:
+    """(doc_id, path, expected, actual) wherever a replayed document differs from the expectation in its own row, JSON in the column text.
+
+    Equal leaves make no row; no shuffle. Unreadable text expects nothing, as does null.
+    """
+    kind = docs.schema[column].dataType
+    read = docs.select(F.col(key).alias("doc_id"), F.col(column).alias("_actual"), F.from_json(text, kind, {"mode": "PERMISSIVE"}).alias("_told"))
+    rows = read.select("doc_id", F.explode(changes(F.col("_told"), F.col("_actual"), kind)).alias("d")).select("doc_id", "d.*")
+    for name in volatile:
+        rows = rows.where((F.col("path") != name) & ~F.col("path").startswith(f"{name}.") & ~F.col("path").startswith(f"{name}["))
+    return rows
+
+
 def drift(actual: DataFrame, expectations: DataFrame, key: str, column: str, volatile: tuple[str, ...] = ("processing",)) -> DataFrame:
     """(doc_id, path, expected, actual) wherever replayed documents differ from their expectations (doc_id, json).
 
-    A path that only one side has differs unless its value is null.
+    A path that only one side has differs unless its value is null. Documents move once, whole; their leaves do not.
     """
-    told = expected(expectations, actual.schema[column].dataType)
-    for name in volatile:
-        told = told.where((F.col("path") != name) & ~F.col("path").startswith(f"{name}."))
-    return differences(told, flattened(actual, key, column, volatile))
+    both = expectations.select(key, "json").join(actual.select(key, column), key, "full")
+    return drift_of(both, key, column, "json", volatile)

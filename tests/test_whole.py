@@ -277,3 +277,16 @@ def test_misread_dates_against_brute_force(spark, tmp_path):
         if r["a"] > 31 or r["b"] > 31:
             want = repaired(r["a"], r["b"], r["c"])
             assert (r["value"], r["raw"] if want else None) == ((str(want[0]), want[1]) if want else (None, None)), r
+
+
+def test_drift_moves_documents_not_leaves(spark):
+    rows = spark.sql("SELECT id AS doc_id, named_struct('a', id, 'list', transform(sequence(1, 50), x -> named_struct('x', x, 'y', CAST(null AS string))), 'm', map('k', 1, 'l', 2)) AS r FROM range(4)")
+    said = rows.select("doc_id", F.to_json(F.when(F.col("doc_id") == 2, F.col("r").withField("a", F.lit(9).cast("long"))).otherwise(F.col("r"))).alias("json")).where("doc_id < 3")
+    got = golden.drift(rows.where("doc_id > 0"), said, "doc_id", "r")
+    told = {(r["doc_id"], r["path"], r["expected"], r["actual"]) for r in got.collect()}
+    assert {x for x in told if x[0] in (1, 2)} == {(2, "a", "9", "2")}
+    assert len([x for x in told if x[0] == 0]) == 53 and len([x for x in told if x[0] == 3]) == 53  # only one side has these
+    own = golden.drift_of(rows.join(said, "doc_id", "left"), "doc_id", "r")
+    assert {r["doc_id"] for r in own.collect()} == {2, 3}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join FullOuter")  # leaves are made after the join, and only those that differ
