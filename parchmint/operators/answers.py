@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.config import Settings
 from parchmint.functions.money import MONEY
-from parchmint.functions.spans import strip
+from parchmint.functions.spans import let, strip
 
 from .extract import FIELD, field
 from .gates import (
@@ -21,7 +21,6 @@ from .gates import (
     as_text,
     as_time,
     bare,
-    grounded,
     keeps_baseline,
     stands,
 )
@@ -42,32 +41,41 @@ def failure(error: Column, finish: Column) -> Column:
     return F.when(error.isNotNull(), error).when(finish == "length", "LLM_OUTPUT_TRUNCATED")
 
 
-def merged_tax(current: Column, claim: Column, document: Column) -> Column:
-    """struct<value, outcome>: a claim fills only a tax that is missing, and must be readable and in the document."""
+def merged_tax(current: Column, claim: Column, bared: Column) -> Column:
+    """struct<value, outcome>: a claim fills only a tax that is missing, and must be readable and in the document (bare already)."""
     value = as_money(claim)
-    outcome = F.when(current.isNotNull(), "kept").when(F.coalesce(claim, F.lit("")) == "", "skipped").when(value.isNull(), "tax.total:unparseable").when(~grounded(claim, document), "tax.total:ungrounded").otherwise("filled")
+    outcome = F.when(current.isNotNull(), "kept").when(F.coalesce(claim, F.lit("")) == "", "skipped").when(value.isNull(), "tax.total:unparseable").when(~stands(claim, bared), "tax.total:ungrounded").otherwise("filled")
     return F.struct(F.when(outcome == "filled", value).otherwise(current).cast(MONEY).alias("value"), outcome.alias("outcome"))
 
 
-def merged_items(current: Column, claims: Column, document: Column) -> Column:
+def merged_items(current: Column, claims: Column, bared: Column) -> Column:
     """struct<items, rejected, filled>: all or nothing, and only where the rules found no item.
 
-    An item without a description that stands in the document goes; one whose price does not loses the
-    price alone.
+    An item without a description that stands in the document (bare already, so that it is not made bare again for each item)
+    goes; one whose price does not loses the price alone.
     """
     none = F.array().cast(f"array<{ITEM}>")
 
     def judged(x: Column) -> Column:
-        named = F.coalesce(as_text(x["description"]).isNotNull() & grounded(x["description"], document), F.lit(False))
-        price = as_money(x["total_price"])
-        lost = price.isNotNull() & ~grounded(x["total_price"], document)
-        item = F.struct(as_text(x["description"]).alias("description"), as_text(x["sku"]).alias("sku"), as_decimal(x["quantity"]).alias("quantity"), as_money(x["unit_price"]).alias("unit_price"), F.when(~lost, price).alias("total_price"))
-        return F.struct(F.when(named, item.cast(ITEM)).alias("item"), F.when(~named, "items:ungrounded_description").when(lost, "items:ungrounded_price").alias("why"))
+        read = F.struct(as_text(x["description"]).alias("description"), as_money(x["total_price"]).alias("price"))
+        return let(read, lambda r: let(_standing(x, r, bared), lambda t: _judgement(x, r, t)))
 
     own = F.coalesce(current, none)
     told = F.transform(F.when(F.size(own) == 0, F.coalesce(claims, F.array().cast("array<struct<description:string,sku:string,quantity:string,unit_price:string,total_price:string>>"))).otherwise(F.array()), judged)
-    taken = F.array_compact(F.transform(told, lambda x: x["item"]))
-    return F.struct(F.when(F.size(taken) > 0, taken).otherwise(own).alias("items"), F.array_compact(F.transform(told, lambda x: x["why"])).alias("rejected"), (F.size(taken) > 0).alias("filled"))
+    merged = lambda t: F.struct(F.when(F.size(t["taken"]) > 0, t["taken"]).otherwise(own).alias("items"), F.array_compact(F.transform(t["told"], lambda x: x["why"])).alias("rejected"), (F.size(t["taken"]) > 0).alias("filled"))
+    return let(told, lambda t: let(F.struct(t.alias("told"), F.array_compact(F.transform(t, lambda x: x["item"])).alias("taken")), merged))
+
+
+def _standing(claim: Column, read: Column, bared: Column) -> Column:
+    """struct<named, lost> of a claimed item: whether its description stands in the document, and whether its price does not."""
+    named = F.coalesce(read["description"].isNotNull() & stands(claim["description"], bared), F.lit(False))
+    return F.struct(named.alias("named"), (read["price"].isNotNull() & ~stands(claim["total_price"], bared)).alias("lost"))
+
+
+def _judgement(claim: Column, read: Column, told: Column) -> Column:
+    """struct<item, why> of a claimed item."""
+    item = F.struct(read["description"].alias("description"), as_text(claim["sku"]).alias("sku"), as_decimal(claim["quantity"]).alias("quantity"), as_money(claim["unit_price"]).alias("unit_price"), F.when(~told["lost"], read["price"]).alias("total_price"))
+    return F.struct(F.when(told["named"], item.cast(ITEM)).alias("item"), F.when(~told["named"], "items:ungrounded_description").when(told["lost"], "items:ungrounded_price").alias("why"))
 
 
 def merge_answers(docs: DataFrame) -> DataFrame:
@@ -77,11 +85,12 @@ def merge_answers(docs: DataFrame) -> DataFrame:
     """
     docs = docs.withColumn("failure", failure(F.col("error"), F.col("finish")))
     sound = lambda x: F.when(F.col("failure").isNull(), x)
-    docs = docs.withColumns({"_tax": merged_tax(F.col("tax"), sound(F.col("answer.tax_total")), F.col("document")), "_items": merged_items(F.col("items"), sound(F.col("answer.items")), F.col("document"))})
+    docs = docs.withColumn("_bare", bare(F.col("document")))
+    docs = docs.withColumns({"_tax": merged_tax(F.col("tax"), sound(F.col("answer.tax_total")), F.col("_bare")), "_items": merged_items(F.col("items"), sound(F.col("answer.items")), F.col("_bare"))})
     outcome = F.col("_tax.outcome")
     filled = F.array_compact(F.array(F.when(outcome == "filled", "tax.total"), F.when(F.col("_items.filled"), "items")))
     rejected = F.concat(F.array_compact(F.array(F.when(outcome.contains(":"), outcome))), F.col("_items.rejected"))
-    docs = docs.withColumns({"tax": F.col("_tax.value"), "items": F.col("_items.items"), "filled": filled, "rejected": rejected}).drop("_tax", "_items")
+    docs = docs.withColumns({"tax": F.col("_tax.value"), "items": F.col("_items.items"), "filled": filled, "rejected": rejected}).drop("_tax", "_items", "_bare")
     return docs.withColumn("used", F.size("filled") > 0)
 
 

@@ -86,3 +86,11 @@ def test_items_must_match_for_an_exact_document(spark):
 def test_settings_from_the_environment():
     got = Settings.from_environment({"PARCHMINT_REDACT": "false", "PARCHMINT_LLM_THRESHOLD": "0.5", "PARCHMINT_TODAY": "2026-01-01", "OTHER": "x"})
     assert (got.redact, got.llm_threshold, got.today, got.weight_ocr) == (False, 0.5, "2026-01-01", 0.45)
+
+
+def test_a_document_is_made_bare_once(spark):
+    docs = spark.sql("SELECT CAST(null AS decimal(28,6)) AS tax, 'Soap 3.00' AS document, CAST(null AS string) AS error, 'stop' AS finish").withColumn("items", F.array().cast(f"array<{answers.ITEM}>"))
+    docs = docs.withColumn("answer", F.from_json(F.lit('{"items": [{"description": "Soap", "total_price": "3.00"}]}'), answers.ANSWER))
+    plan = answers.merge_answers(docs.repartition(1))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(document") == 1  # it was once for each look into it, within the loop over items
+    assert answers.merge_answers(docs).first()["items"][0]["description"] == "Soap"
