@@ -163,3 +163,16 @@ def test_holders_of_claims_equal_plain_search(spark):
     got = holders(spark.createDataFrame(claims, "item_id long, c string"), spark.createDataFrame(docs, "doc_id long, t string")).collect()
     assert sorted(map(tuple, got)) == sorted((i, d) for i, c in claims for d, t in docs if c and c in t)
     assert holders(spark.createDataFrame([], "item_id long, c string"), spark.createDataFrame(docs, "doc_id long, t string")).count() == 0
+
+
+def test_a_time_is_matched_once_for_all_its_groups(spark):
+    from parchmint.functions import dates
+
+    cases = {
+        "at 2:35:07 p.m. or 3:10 am": ("14:35:07", "2:35:07 p.m."), "12:00 PM": ("12:00:00", "12:00 PM"), "x\n 23 : 59 hrs\ny": ("23:59:00", "23 : 59 hrs"), "13:05 pm": (None, "13:05 pm"),
+        "7 h 05": ("07:05:00", "7 h 05"), "24:00": (None, "24:00"), "1:02:03.5 AM": ("01:02:03", "1:02:03.5 AM"), "1:2": None, "": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "x string").select(dates.parse_time(F.col("x")).alias("t"))
+    assert [g["t"] and (g["t"]["value"], g["t"]["raw"]) for g in rows.collect()] == list(cases.values())
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract") == 0 and plan.count("regexp_replace") == 1  # fourteen walks before
