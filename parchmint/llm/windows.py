@@ -116,8 +116,8 @@ def _cut_up(raw: bytes, width: int, known: np.ndarray | None = None) -> tuple[np
     return x[starts].view(np.int64), [_digest(flat[a:b]) for a, b in zip(froms, tos)], starts, lengths, own.tobytes()
 
 
-def _blocks(width: int):
-    """(hash, digest, low, high, windows) of the blocks of (doc, text), equal ones of ROWS together."""
+def _blocks(width: int, windowed: bool = True):
+    """(hash, digest, low, high, windows) of the blocks of (doc, text), equal ones of ROWS together; windows is null unless windowed."""
     kinds = {"hash": pa.int64(), "digest": pa.binary(), "low": pa.int64(), "high": pa.int64(), "windows": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _blocks(width: int):
                 hashes, digests, starts, lengths, own = _cut_up(raw_text(text), width)
                 for h, d, a, n in zip(hashes.tolist(), digests, starts.tolist(), lengths.tolist()):
                     if (seen := held.get(d)) is None:
-                        held[d] = [h, d, doc, doc, own[8 * a : 8 * (a + n)]]
+                        held[d] = [h, d, doc, doc, own[8 * a : 8 * (a + n)] if windowed else None]
                     else:
                         seen[2], seen[3] = min(seen[2], doc), max(seen[3], doc)
                 if len(held) >= ROWS:
@@ -265,13 +265,15 @@ class WindowIndex:
                 out.append(table.where(known).join(cold, "slot", "left_anti"))
         return [x.select("hash", "digest", "low", "high", "windows") for x in out]
 
-    def add(self, docs: DataFrame, n: int | None = None, size: int | None = None) -> DataFrame:
+    def add(self, docs: DataFrame, n: int | None = None, size: int | None = None, last: bool = False) -> DataFrame:
         """Take a batch (doc, text) in; returns (doc, row, start, n): windows start .. start + n - 1 of its
         texts that a document with a smaller id has too, in the batch or before.
 
         Earlier batches are judged no more. A block whose digest a smaller document has is repeated
         whole; the others of a hash with several digests are compared window by window, by 64 bits of the
         window's own hash under the 64 bits of the block's. n and size are the batch's documents and bytes, if known.
+        After the last batch none may follow: its run holds no windows, which are most of a run, as only later
+        batches would read them there; its own come from its texts, for hashes with several digests alone.
         """
         if n is None or (size is None and self.buckets is None):
             told = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
@@ -284,11 +286,13 @@ class WindowIndex:
             df.write.parquet(passing[-1])
             return self.spark.read.schema(df.schema).parquet(passing[-1])
 
+        if last and not self.scratch:
+            raise ValueError("an index that is kept takes further batches")
         hot = self._hot(docs, n)
-        run = self._write(docs.mapInArrow(_blocks(self.width), BLOCK), hot)
+        run = self._write(docs.mapInArrow(_blocks(self.width, not last), BLOCK), hot)
         own = self.spark.table(run)
         mine = own.select("hash", "digest", "low", "high", "windows")
-        every = mine
+        every, related = mine, None
         if self.runs:
             related = kept_for_now(reduce(DataFrame.unionByName, self._related(own, hot)), "related")
             every = related.withColumn("old", F.lit(1)).unionByName(mine.withColumn("old", F.lit(0)))
@@ -302,7 +306,11 @@ class WindowIndex:
         lows = kept_for_now(every.select("digest", "low", "hash").mapInArrow(split_by(known_bits, True), "digest binary, low long, hash long").groupBy("hash", "digest").agg(F.min("low").alias("low")), "lows")
         judged = found.join(lows, ["hash", "digest"])  # both sides are shuffled for it, so Spark splits a passage that many documents have
         whole = judged.where("low < doc").select("doc", "row", "start", "n")
-        unfolded = every.select("windows", "hash", "low").mapInArrow(_unfolded(many_bits), "hash long, low long, own long, place long")
+        held = every.select("windows", "hash", "low")
+        if last:
+            held = found.where("windows is not null").select("windows", "hash", F.col("doc").alias("low"))
+            held = held if related is None else related.select("windows", "hash", "low").unionByName(held)
+        unfolded = held.mapInArrow(_unfolded(many_bits), "hash long, low long, own long, place long")
         least = kept_for_now(unfolded.groupBy("hash", "own").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").drop("most"), "least")
         contested = judged.where("low >= doc and windows is not null").select("windows", "hash", "doc", "row", "start")
         singles = contested.mapInArrow(_unfolded(None), "hash long, doc long, row long, start long, own long, place long")
@@ -396,7 +404,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if found:
                 own.compact()
             share = parts[len(found)] / sum(parts[:batches])
-            found.append(own.add(part, int(told["n"] * share), int(told["size"] * share)))
+            found.append(own.add(part, int(told["n"] * share), int(told["size"] * share), last=high is None))
         spans = reduce(DataFrame.unionByName, found)
         own.close()
     else:

@@ -701,3 +701,20 @@ def test_many_languages_fit_in_bounded_memory(monkeypatch):
     assert few.told is not None
     with_table, few.told = few.scores(texts[:9]), None
     assert np.allclose(with_table, few.scores(texts[:9]), atol=1e-4)
+
+
+def test_the_run_of_the_last_batch_holds_no_windows(spark):
+    from parchmint.llm.windows import WindowIndex
+
+    words = [f"w{i}" for i in range(90)]
+    texts = [(1, " ".join(words)), (2, " ".join(["x", *words[:60], "y"])), (3, " ".join(["z", *words[20:]])), (4, " ".join(words[5:80] + ["q"] * 30))]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    spans = []
+    for last in (False, True):
+        index = WindowIndex(spark, width=20)
+        first, second = index.add(docs.where("doc < 3")), index.add(docs.where("doc >= 3"), last=last)
+        spans.append({(r["doc"], w) for part in (first, second) for r in part.collect() for w in range(r["start"], r["start"] + r["n"])})
+        held = [spark.table(run).where("windows is not null").count() for run, *_ in index.runs]
+        assert held[0] > 0 and (held[1] == 0) == last
+        index.close()
+    assert spans[0] == spans[1] and {d for d, _ in spans[0]} == {2, 3, 4}
