@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.config import Settings
+from parchmint.functions.spans import let
 from parchmint.operators.gates import FALLBACK
 
 BOX = "array<int>"
@@ -85,6 +86,31 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     return lines.select("doc_id", "first", (F.col("page") - 1).alias("page"), "text", "confidence", "bbox")
 
 
+def lines_of_words(docs: DataFrame, boxes: bool = True) -> DataFrame:
+    """(doc_id, lines) of docs (doc_id, words array<struct<pos, text, conf, left, ... line>>): what words_to_lines tells of them, in the document's row.
+
+    lines is array<struct<first, page, text, confidence, bbox>>, without boxes bbox is null and words need no places. Words are sorted and cut where their line changes:
+    none moves, and each is looked at a fixed number of times.
+    """
+    score = lambda x: F.when(x["conf"] >= 0, F.least(x["conf"] / 100, F.lit(1.0)))
+    own = F.filter("words", lambda x: F.length(F.trim(x["text"])) > 0)
+    placed = lambda x: [x["left"].alias("left"), x["top"].alias("top"), (x["left"] + x["width"]).alias("right"), (x["top"] + x["height"]).alias("low")]
+    told = lambda x: F.struct(F.struct(*[x[c] for c in ("page", "block", "par", "line")]).alias("key"), x["pos"].alias("pos"), x["text"].alias("text"), score(x).alias("score"), *(placed(x) if boxes else []))
+    rows = docs.select("doc_id", F.sort_array(F.transform(own, told)).alias("_words"))
+    n = F.size("_words")
+    begins = lambda i: (i == 0) | ~F.get("_words", i)["key"].eqNullSafe(F.get("_words", i - 1)["key"])
+    rows = rows.withColumn("_starts", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), begins)).otherwise(F.array().cast("array<int>")))
+    each = lambda ws, c: F.transform(ws, lambda x: x[c])
+
+    def line(ws: Column) -> Column:
+        scores = F.array_compact(each(ws, "score"))
+        box = F.array(F.array_min(each(ws, "left")), F.array_min(each(ws, "top")), F.array_max(each(ws, "right")), F.array_max(each(ws, "low"))) if boxes else F.lit(None).cast(BOX)
+        return F.struct(F.array_min(each(ws, "pos")).alias("first"), (F.get(ws, F.lit(0))["key"]["page"] - 1).alias("page"), F.array_join(each(ws, "text"), " ").alias("text"), F.try_divide(F.aggregate(scores, F.lit(0.0), lambda a, s: a + s), F.size(scores)).alias("confidence"), box.alias("bbox"))
+
+    cut = F.transform("_starts", lambda s, j: let(F.slice("_words", s + 1, F.coalesce(F.get("_starts", j + 1), n) - s), line))
+    return rows.select("doc_id", F.sort_array(cut).alias("lines"))
+
+
 def upload_error(length: Column, max_bytes: int = 10 * 1024 * 1024) -> Column:
     """Why an upload of that length is not taken, else null."""
     return F.when(length > max_bytes, "IMAGE_TOO_LARGE").when(length == 0, "EMPTY_FILE")

@@ -176,3 +176,22 @@ def test_a_time_is_matched_once_for_all_its_groups(spark):
     assert [g["t"] and (g["t"]["value"], g["t"]["raw"]) for g in rows.collect()] == list(cases.values())
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract") == 0 and plan.count("regexp_replace") == 1  # fourteen walks before
+
+
+def test_words_become_lines_in_their_document(spark):
+    import random
+
+    from parchmint.sources.recorded import lines_of_words, words_to_lines
+
+    draw = random.Random(3)
+    kind = "doc_id long, pos long, text string, conf double, left int, top int, width int, height int, page int, block int, par int, line long"
+    rows = [(d, p, draw.choice(["a", "b", " ", ""]), draw.choice([-1.0, 30.0, 150.0, None]), *[draw.randrange(9) for _ in range(4)], draw.choice([1, 2]), 1, draw.choice([1, None]), p // 5 % 3) for d in range(4) for p in range(draw.randrange(40))]
+    words = spark.createDataFrame([*rows, (9, 0, " ", 1.0, 1, 1, 1, 1, 1, 1, 1, 1)], kind)
+    want = words_to_lines(words).collect()
+    docs = words.groupBy("doc_id").agg(F.collect_list(F.struct(*words.columns[1:])).alias("words"))
+    got = lines_of_words(docs)
+    told = lambda rows: sorted((r["doc_id"], r["first"], r["page"], r["text"], r["confidence"] and round(r["confidence"], 9), r["bbox"]) for r in rows)
+    assert told(got.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*").collect()) == told(want)
+    assert {r["doc_id"]: r["lines"] for r in got.collect()}[9] == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Generate" not in plan  # that of collect_list above; no row for each word
