@@ -195,3 +195,14 @@ def test_words_become_lines_in_their_document(spark):
     assert {r["doc_id"]: r["lines"] for r in got.collect()}[9] == []
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "Generate" not in plan  # that of collect_list above; no row for each word
+
+
+def test_a_review_is_cut_into_sentences_once(spark):
+    from parchmint.operators.reviews import generated
+
+    none = F.lit(None).cast("string")
+    rows = spark.createDataFrame([("One. Two! Three?",), ("n/a",), (None,), (" Only one",)], "t string")
+    got = rows.select(generated(F.lit("Pan"), F.array(F.lit("x")), 2, none.cast("int"), none, F.col("t"), F.lit("4")).alias("g"))
+    told = [(r["g"]["title"], r["g"]["body"], r["g"]["sentence_count"], r["g"]["error"]) for r in got.collect()]
+    assert told == [("Review of Pan", "One. Two!", 2, None), (None, None, None, "LLM_INVALID_OUTPUT"), (None, None, None, "LLM_INVALID_OUTPUT"), ("Review of Pan", "Only one", 1, None)]
+    assert got._jdf.queryExecution().analyzed().toString().count("split(") == 2  # the answer, and what is left of it
