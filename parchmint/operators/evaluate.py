@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions.money import MONEY
+from parchmint.functions.spans import let
 from parchmint.functions.text import comparison_text
 
 #: The fields compared by default and how.
@@ -54,15 +55,18 @@ def with_item_scores(pairs: DataFrame, expected: str = "expected", actual: str =
 
     Actual items in order take the likest expected one that is free (the first of equals), from half
     alike on; it is right if the prices agree, and taken either way. Words and prices are prepared once
-    for each item, in a projection of their own.
+    for each item, in a projection of their own; the first free item of the very same words is taken without
+    a look at how alike the others are.
     """
-    ready = lambda c: F.transform(c, lambda x: F.struct(words(x["description"]).alias("w"), x["total_price"].try_cast(MONEY).alias("p")))
+    ready = lambda c: F.transform(c, lambda x: F.struct(F.sort_array(words(x["description"])).alias("w"), x["total_price"].try_cast(MONEY).alias("p")))
     rows = pairs.withColumns({"_e": ready(expected), "_a": ready(actual)})
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("right"))
 
     def place(acc: Column, x: Column) -> Column:
         likeness = F.transform("_e", lambda e, i: F.struct(F.when(F.array_contains(acc["used"], i.cast("int")), -1.0).otherwise(overlap(e["w"], x["w"])).alias("s"), (-i).cast("int").alias("i"), e["p"].alias("p")))
-        return F.struct(acc.alias("acc"), F.array_max(likeness).alias("best"), x["p"].alias("p"))
+        same = F.array_min(F.transform("_e", lambda e, i: F.when((e["w"] == x["w"]) & (F.size(e["w"]) > 0) & ~F.array_contains(acc["used"], i.cast("int")), i.cast("int"))))
+        best = let(same, lambda k: F.when(k.isNull(), F.array_max(likeness)).otherwise(F.struct(F.lit(1.0).alias("s"), (-k).cast("int").alias("i"), F.get("_e", k)["p"].alias("p"))))
+        return F.struct(acc.alias("acc"), best.alias("best"), x["p"].alias("p"))
 
     def settle(acc: Column, x: Column) -> Column:
         seen = F.transform(F.array(place(acc, x)), _settled)

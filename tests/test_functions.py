@@ -197,6 +197,16 @@ def test_words_become_lines_in_their_document(spark):
     assert plan.count("Aggregate") == 1 and "Generate" not in plan  # that of collect_list above; no row for each word
 
 
+def test_items_of_the_same_words_are_taken_without_comparing_the_others(spark):
+    from parchmint.operators.evaluate import with_item_scores
+
+    rows = spark.sql("SELECT array(named_struct('description', 'Red Soap bar', 'total_price', '1.00'), named_struct('description', 'soap RED', 'total_price', '2.00'), named_struct('description', 'soap red', 'total_price', '3.00'), named_struct('description', '', 'total_price', '4.00')) AS expected, array(named_struct('description', 'Red soap', 'total_price', '2.00'), named_struct('description', 'red, soap', 'total_price', '3.00'), named_struct('description', 'soap red', 'total_price', '1.00'), named_struct('description', '', 'total_price', '4.00')) AS actual")
+    got = with_item_scores(rows)
+    assert got.first()["scores"]["precision"] == 0.75  # the third takes what is left, two thirds alike; no words are like none
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.index("array_min(transform(_e") < plan.index("array_intersect")  # equal words are looked for first
+
+
 def test_a_review_is_cut_into_sentences_once(spark):
     from parchmint.operators.reviews import generated
 
