@@ -72,10 +72,12 @@ def holders(claims: DataFrame, docs: DataFrame, piece: int = 16) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0), F.length("c") - piece))
     sought = long.select("c", at.alias("at")).select("c", (F.col("at") % piece).alias("way"), F.substr("c", F.col("at") + 1, F.lit(piece)).alias("piece"))
     held = docs.select("doc_id", F.explode(F.array_distinct(_pieces(F.col("t"), piece))).alias("piece"))
-    known = held.join(sought.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    # dealt by piece once: the counts and the pairs below read the same shuffle, so that texts are cut once
+    hits = held.join(sought.select("piece").distinct(), "piece", "left_semi").repartition("piece")
+    known = hits.groupBy("piece").agg(F.count("doc_id").alias("n"))
     rare = sought.join(known, "piece", "left").groupBy("c", "way").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
     looked = rare.where("best.n > 0").select("c", F.col("best.piece").alias("piece")).distinct()
-    pairs = held.join(looked, "piece").select("c", "doc_id").distinct()
+    pairs = hits.join(looked, "piece").select("c", "doc_id").distinct()
     found = pairs.join(docs, "doc_id").where(F.contains(F.col("t"), F.col("c"))).select("c", "doc_id")
 
     brief = texts.where(F.length("c") < 2 * piece - 1).select("c", F.length("c").alias("size"))
