@@ -216,3 +216,24 @@ def test_a_review_is_cut_into_sentences_once(spark):
     told = [(r["g"]["title"], r["g"]["body"], r["g"]["sentence_count"], r["g"]["error"]) for r in got.collect()]
     assert told == [("Review of Pan", "One. Two!", 2, None), (None, None, None, "LLM_INVALID_OUTPUT"), (None, None, None, "LLM_INVALID_OUTPUT"), ("Review of Pan", "Only one", 1, None)]
     assert got._jdf.queryExecution().analyzed().toString().count("split(") == 2  # the answer, and what is left of it
+
+
+def test_most_lines_need_no_search_of_every_category(spark, monkeypatch):
+    """Lines with one phrase, and amounts with thousands, are read without the longer ways, and as those read them."""
+    import re
+
+    from parchmint.functions import money
+    from parchmint.operators import lexicon
+
+    phrases = sorted({p for ps in lexicon.VOCABULARY.values() for p in ps})
+    lines = [f"{a}{p}{b}" for p in phrases for a, b in (("", ""), ("X  ", " 1 234 56"), (f"X{p} ", " 7"))] + ["SOAP 1 234 56", "TIPSY", "", None]
+    alone = [x for x in lines if x and len(re.findall(lexicon.PLACES.replace("(?U)", ""), x)) == 1]
+    assert len(alone) > 300 and {p for p in phrases if p in alone} >= {"TOTAL", "CASH", "VAT", "S&H"}
+    whole = run(spark, lexicon._several, lines)
+    assert run(spark, lexicon.find_labels, lines) == [x if x is not None else [] for x in whole]
+    monkeypatch.setattr(lexicon, "_several", lambda text: F.array().cast(lexicon.LABEL))
+    assert run(spark, lexicon.find_labels, alone) == [whole[lines.index(x)] for x in alone]
+    grouped = ["1,234.56", "1.234,56", "12,345,678.9", "12.345.678,901", "7,5", "7,50"]
+    slow = run(spark, lambda c: money.canonical(c, F.lit("unknown")).try_cast(money.MONEY), grouped)
+    monkeypatch.setattr(money, "canonical", lambda digits, style: F.lit(None).cast("string"))
+    assert [[a["value"] for a in x] for x in run(spark, lambda c: money.amounts(c, F.lit("unknown")), grouped)] == [[v] for v in slow]
