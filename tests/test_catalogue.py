@@ -76,3 +76,15 @@ def test_line_sections(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {(0, "merchant", 2), (0, "metadata", 1), (0, "items", 2), (0, "totals", 1), (0, "payment", 1), (1, "merchant", 2)}
     assert set(map(tuple, catalog.QUERIES["line_sections"](spark, str(tmp_path)).collect())) == want
+
+
+def test_merchant_address_is_read_and_not_added(spark, tmp_path, monkeypatch):
+    """What the query returns is what the lines say: without the line of the city, the address has no city."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(7,), (10,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    read = lambda: {r["doc_id"]: r["address"] for r in catalog.merchant_block(spark, str(tmp_path)).collect()}
+    assert read() == {7: "8 Oak Lane, Springfield, 00007", 10: "11 Oak Street, Springfield, 00010"}
+    printed = catalog.single_lines
+    monkeypatch.setattr(catalog, "single_lines", lambda rows, key, *texts: printed(rows, key, *texts).withColumn("lines", F.filter("lines", lambda x: ~x["text"].contains("Springfield"))))
+    assert read() == {7: "8 Oak Lane", 10: "11 Oak Street"}
