@@ -88,3 +88,26 @@ def test_merchant_address_is_read_and_not_added(spark, tmp_path, monkeypatch):
     printed = catalog.single_lines
     monkeypatch.setattr(catalog, "single_lines", lambda rows, key, *texts: printed(rows, key, *texts).withColumn("lines", F.filter("lines", lambda x: ~x["text"].contains("Springfield"))))
     assert read() == {7: "8 Oak Lane", 10: "11 Oak Street"}
+
+
+def test_envelopes_hold_whole_receipts(spark, tmp_path):
+    """The body that is hashed is that of the contract: the receipt with all its fields, and who asked."""
+    import hashlib
+    import json
+
+    from parchmint.operators.assemble import extract_receipts
+
+    spark.sql("SELECT id AS o_orderkey, DATE '2026-08-01' AS o_orderdate FROM range(1, 4)").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT id % 3 + 1 AS l_orderkey, id AS l_partkey, 1L AS l_suppkey, id AS l_linenumber, id + 0.25D AS l_extendedprice FROM range(9)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT id AS p_partkey, concat('green soap', id) AS p_name FROM range(9)").write.parquet(str(tmp_path / "part.parquet"))
+    docs = catalog._receipts(spark, str(tmp_path)).select("doc_id", "lines")
+    whole = {r[0]: r[1] for r in extract_receipts(docs, catalog.TODAY).selectExpr("doc_id", "to_json(receipt, map('ignoreNullFields', 'false'))").collect()}
+
+    def body(k):
+        told = json.loads(whole[k])["validation"]
+        warnings = json.dumps([{c: x[c] for c in ("code", "message", "field")} for x in told["errors"] + told["warnings"]], separators=(",", ":"))
+        made = f'{{"request_id":"{k}","api_version":"v1","pipeline_version":"1.0.0","schema_version":"1.0","processing_time_ms":0.0}}'
+        return f'{{"success":true,"data":{whole[k]},"warnings":{warnings},"errors":[],"processing":{made}}}'
+
+    got = {r["doc_id"]: r["body_sha256"] for r in catalog.envelopes(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 and got == {k: hashlib.sha256(body(k).encode()).hexdigest() for k in whole}

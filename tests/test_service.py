@@ -94,3 +94,8 @@ def test_a_document_is_made_bare_once(spark):
     plan = answers.merge_answers(docs.repartition(1))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(document") == 1  # it was once for each look into it, within the loop over items
     assert answers.merge_answers(docs).first()["items"][0]["description"] == "Soap"
+
+
+def test_an_error_has_every_key_of_the_contract(spark):
+    bad = json.loads(one(spark, envelope(F.struct(F.lit(1).alias("total")), F.array().cast(f"array<{validate.ISSUE}>"), F.lit("OCR_TIMEOUT"), F.lit("Too slow."), details=F.lit(None).cast("map<string,string>"))))
+    assert bad["errors"] == [{"code": "OCR_TIMEOUT", "message": "Too slow.", "field": None, "details": None}]
