@@ -237,3 +237,17 @@ def test_most_lines_need_no_search_of_every_category(spark, monkeypatch):
     slow = run(spark, lambda c: money.canonical(c, F.lit("unknown")).try_cast(money.MONEY), grouped)
     monkeypatch.setattr(money, "canonical", lambda digits, style: F.lit(None).cast("string"))
     assert [[a["value"] for a in x] for x in run(spark, lambda c: money.amounts(c, F.lit("unknown")), grouped)] == [[v] for v in slow]
+
+
+def test_plain_items_read_as_if_searched(spark):
+    from pyspark.sql import functions as F
+
+    from parchmint.functions import money
+    from parchmint.operators import items
+
+    texts = ["Green Soap 1234.56", "Soap 0.00", "X 12.00", "Fish Box 7.50", "Kit X 123.45", "a 1.00", "Promo Rope 2.00", "Saved Rope 2.00", "Soap 1.2", "Soap  2.00", "Soap 2 3.00", "2 x 3.00 Eggs 6.00", "Ab 99999999.99"]
+    rows = spark.createDataFrame([(t,) for t in texts], "normalized string").withColumn("amounts", money.amounts(F.col("normalized"), F.lit("unknown")))
+    view = F.struct("normalized", F.get("amounts", F.lit(0)).alias("first"), ((F.size("amounts") == 1) & F.col("normalized").rlike(items.PLAIN_ITEM)).alias("plain"))
+    got = rows.withColumn("v", F.transform(F.array(view), lambda x: F.struct(items._of_line(x, F.lit("unknown")).alias("a"), items._searched(x, F.lit("unknown")).alias("b"), x["plain"].alias("plain")))[0]).select("normalized", "v.*").collect()
+    assert [r["normalized"] for r in got if r["a"] != r["b"]] == []
+    assert [r["normalized"] for r in got if r["plain"]] == ["Green Soap 1234.56", "Soap 0.00", "X 12.00", "Fish Box 7.50", "Kit X 123.45", "a 1.00", "Promo Rope 2.00", "Ab 99999999.99"]
