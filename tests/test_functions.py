@@ -239,6 +239,32 @@ def test_most_lines_need_no_search_of_every_category(spark, monkeypatch):
     assert [[a["value"] for a in x] for x in run(spark, lambda c: money.amounts(c, F.lit("unknown")), grouped)] == [[v] for v in slow]
 
 
+def test_what_a_rule_needs_is_never_missing(spark):
+    """Text in which a rule finds something holds what tells that the rule is worth a try."""
+    from pyspark.sql import functions as F
+
+    from parchmint.functions import dates, identifiers
+
+    rules = {n: getattr(identifiers, n) for n in identifiers.MAY}
+    told = {
+        "phone": ["Tel: 555 010 2000", "ph 5550102000", "mobile 555-010-2000", "Contact 5550102000", "call 555 0102000", "FAX 5550102000", "+1 555 010 2000"],
+        "email": ["a@b.co"], "website": ["www.shop.com", "http://shop.com/x"],
+        "tax_id": [f"{w} 123456" for w in ("VAT NO", "gst", "GSTIN", "TIN", "Tax ID", "TAX NO", "ABN", "ACN", "NIF", "CIF", "CUIT", "BIN", "EIN", "UID", "USt-IdNr", "SIRET")],
+        "registration_id": [f"{w} 123456" for w in ("REG NO", "Registration ID", "Company No", "CRN", "BRN", "Trade License", "LICENSE NO")],
+        "receipt_number": [f"{w} 12-A" for w in "Receipt RCPT Invoice INV BILL Order TRANS Transaction TXN TRX REF Reference TICKET CHECK DOC Document SALE REG Register BELEG KASSENBON RECHNUNG QUITTUNG FACTURE RECU FACTURA RECIBO NOTA FATTURA SCONTRINO".split()],
+        "store_id": [f"{w} 12" for w in "store STR BRANCH Loc LOCATION site".split()],
+        "card_type": list(identifiers.CARDS), "auth_code": ["AUTH A123", "Authorisation code 7X77", "approval 1234", "APPR 1234"],
+    }
+    for name, texts in told.items():
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules[name](F.col("t")).isNotNull(), F.col("t").rlike(identifiers.MAY[name])).collect()
+        assert [tuple(r) for r in got] == [(t, True, True) for t in texts], name
+    days = [f"{5} {m} 2026" for m in dates.MONTHS] + [f"{m.upper()} 5, 2026" for m in dates.MONTHS] + ["2026-08-25", "25 / 8 / 26", "65.12.2024"]
+    times = ["2:35 pm", "2.35.10 P.M.", "14:35", "11h20", "11 H 20", "23:59:59", "2.35.10.55am"]
+    for texts, parse, shape in ((days, dates.parse_date, dates.MAY_DATE), (times, dates.parse_time, dates.MAY_TIME)):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse(F.col("t")).isNotNull(), F.col("t").rlike(shape)).collect()
+        assert [tuple(r) for r in got] == [(t, True, True) for t in texts]
+
+
 def test_plain_items_read_as_if_searched(spark):
     from pyspark.sql import functions as F
 
